@@ -24,7 +24,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents of fewer words are neither compared nor part of a reference.
 COMPARE_WORDS = 100
 #: A document whose distance is over either of these is not kept.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.5
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.23
 #: Very common words of each language; the frequencies are those of the corpus.
 COMMON_WORDS: Mapping[str, Sequence[str]] = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "it", "for", "with", "on", "are"),
