@@ -18,7 +18,7 @@ from .common import materialize, table
 
 SHARDS = 16
 SEED = "veilscan"
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 HASH_BITS = 60
 
 
