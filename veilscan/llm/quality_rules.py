@@ -19,7 +19,12 @@ from .common import materialize, table
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
+POINTS, DIGITS, UPPER = ".,;:!?'\"()/_-", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Also end a common word, besides spaces.
+POINTS_AS_GAPS = ".,;:!?"
+#: A window's place in its text takes so many bits: the most that an array can hold.
+PLACE_BITS = 31
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents of fewer words are neither compared nor part of a reference.
 COMPARE_WORDS = 100
@@ -41,41 +46,69 @@ def without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def window_places(words: str, packed: str, bits: int) -> Column:
+    """Places, in order, of the 3-word windows that occur twice or more.
+
+    `packed` is sorted and holds, for each window, the high bits of its hash and its place in the low `bits`: equal
+    windows are neighbours. Whole 64-bit hashes decide. Where a window lies between others that merely share its high
+    bits, which is rare, all of the text's windows are looked through for its twin.
+    """
+    mask = (1 << bits) - 1
+    p = F.col(packed)
+    place = lambda x: x.bitwiseAND(mask).cast("int")
+    hashed = lambda i: F.xxhash64(F.col(words)[i], F.col(words)[i + 1], F.col(words)[i + 2])
+    near = lambda x, y: x.bitwiseAND(~mask) == y.bitwiseAND(~mask)
+    same = lambda x, y: hashed(place(x)) == hashed(place(y))
+    last = F.size(packed) - 1
+
+    def recurs(x: Column, i: Column) -> Column:
+        before, after = F.when(i > 0, p[i - 1]), F.when(i < last, p[i + 1])
+        close = lambda y: F.coalesce(near(x, y), F.lit(False))
+        twin = F.when(close(before), same(x, before)).otherwise(False) | F.when(close(after), same(x, after)).otherwise(False)
+        return F.when(close(before) | close(after), twin | F.exists(p, lambda y: near(x, y) & (x != y) & same(x, y))).otherwise(False)
+
+    seen = F.filter(p, recurs)
+    return F.sort_array(F.transform(seen, place))
+
+
 def document_features(docs: DataFrame, text: str = "text", lang: str = "lang", words: Mapping[str, Sequence[str]] = COMMON_WORDS) -> DataFrame:
     """`docs` without its text, with the counts and the two histograms of each row.
 
-    A null text counts as empty. No word is compared across documents and nothing is shuffled.
+    A null text counts as empty. No word is compared across documents and nothing is shuffled. Sorting the windows of a
+    text takes n log n in its words. Columns of the same names in `docs` are replaced.
     """
-    kept = [c for c in docs.columns if c != text]
+    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_counts", "word_counts", text}
+    kept = [c for c in docs.columns if c not in own]
     df = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    df = df.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
+    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.char_length(without(x, SPACES)) > 0)
+    plain = F.translate(F.lower("_t"), POINTS_AS_GAPS + SPACES, " " * len(POINTS_AS_GAPS + SPACES))
+    df = df.withColumns({"_w": F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), "_lines": lines, "_l": F.split(plain, " ")})
     n = F.size("_w")
-    window = lambda i: F.struct(F.xxhash64(F.col("_w")[i], F.col("_w")[i + 1], F.col("_w")[i + 2]).alias("h"), i.alias("i"))
-    # Sorted, equal windows are neighbours: one pass finds them, so the time is n log n in the words of a document.
-    df = df.withColumn("_p", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))))
-    twin = lambda i: F.when(F.col("_p")[i]["h"] == F.col("_p")[i + 1]["h"], F.array(F.col("_p")[i]["i"], F.col("_p")[i + 1]["i"]))
-    df = df.withColumn("_d", F.when(n >= 4, F.sort_array(F.array_distinct(F.flatten(F.filter(F.transform(F.sequence(F.lit(0), n - 4), twin), lambda x: x.isNotNull()))))))
+    pack = lambda i: F.xxhash64(F.col("_w")[i], F.col("_w")[i + 1], F.col("_w")[i + 2]).bitwiseAND(~((1 << PLACE_BITS) - 1)).bitwiseOR(i.cast("long"))
+    common = reduce(lambda rest, one: F.when(F.col(lang) == one, F.filter("_l", lambda w: w.isin(*words[one]))).otherwise(rest), words, F.lit(None).cast("array<string>"))
+    cut = F.col("_t")
+    classes: list[Column] = []
+    for name, chars in (("_spaces", SPACES), ("_symbols", SYMBOLS), ("_points", POINTS), ("_digits", DIGITS), ("_upper", UPPER)):
+        classes.append(F.char_length(without(cut, chars)).cast("long").alias(name))
+        cut = without(cut, chars)
+    left = dict(zip(("_no_spaces", "_no_symbols", "_no_points", "_no_digits", "_no_upper"), classes, strict=True))
+    size, octets = F.char_length("_t").cast("long"), F.octet_length("_t").cast("long")
+    df = df.select(
+        *[F.col(f"`{c}`") for c in kept], "_w", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), pack))).alias("_p"), common.alias("_common"), size.alias("_chars"), octets.alias("_octets"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), (F.size("_l") - F.size(F.array_remove("_l", ""))).alias("_gaps"), F.size("_l").alias("_plain"),
+        *[v.alias(k) for k, v in left.items()], (size - F.char_length(without(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
+    )
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("_p",)], F.when(F.size("_p") > 1, window_places("_w", "_p", PLACE_BITS)).alias("_d"))
     covered = F.when(F.size("_d") > 0, F.aggregate("_d", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"])).otherwise(0)
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.char_length(without(x, SPACES)) > 0)
-    df = df.withColumns({"n_words": n.cast("long"), "n_repeat_words": covered.cast("long"), "_lines": lines, "_chars": F.char_length("_t"), "word_chars": F.char_length(without(F.col("_t"), SPACES)).cast("long"), "n_symbols": (F.char_length("_t") - F.char_length(without(F.col("_t"), SYMBOLS))).cast("long")})
-    upper, digits, points = (F.char_length(F.regexp_replace("_t", rf"[^{c}]+", "")) for c in ("A-Z", "0-9", r".,;:!?'\"()/_\-"))
-    df = df.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_upper": upper, "_digits": digits, "_points": points, "_spaces": F.col("_chars") - F.col("word_chars"), "_s": F.concat(F.lit(" "), F.regexp_replace(F.lower("_t"), r"[\x20\x09-\x0D.,;:!?]+", "  "), F.lit(" "))})
-    letters = F.col("_chars") - F.col("_upper") - F.col("_digits") - F.col("_spaces") - F.col("_points") - F.col("n_symbols")
-    classes = F.array(*[x.cast("long") for x in (letters, F.col("_upper"), F.col("_digits"), F.col("_spaces"), F.col("_points"), F.col("n_symbols"), F.octet_length("_t") - F.col("_chars"))])
-
-    def count(word: str) -> Column:
-        return ((F.char_length("_s") - F.char_length(F.replace(F.col("_s"), F.lit(f" {word} "), F.lit("")))) / (len(word) + 2)).cast("long")
-
-    def histogram(list_of: Sequence[str]) -> Column:
-        counts = [count(w) for w in list_of]
-        return F.array(*counts)
-
-    by_language = reduce(lambda rest, one: F.when(F.col(lang) == one, histogram(words[one])).otherwise(rest), words, F.lit(None).cast("array<bigint>"))
-    df = df.withColumns({"class_counts": classes, "_known": by_language})
-    rest = F.greatest(F.lit(0).cast("long"), F.col("n_words") - F.aggregate("_known", F.lit(0).cast("long"), lambda a, x: a + x))
-    word_counts = F.when(F.col("_known").isNotNull(), F.concat("_known", F.array(rest)))
+    steps = ["_chars", *left]
+    counts = [F.col(a) - F.col(b) for a, b in zip(steps, steps[1:], strict=False)]
+    spaces, symbols, points, digits, upper = counts
+    class_counts = F.array(F.col(steps[-1]), upper, digits, spaces, points, symbols, F.col("_octets") - F.col("_chars"))
+    tally = lambda one: F.array(*[(F.size("_common") - F.size(F.array_remove("_common", w))).cast("long") for w in words[one]], (F.col("_plain") - F.col("_gaps") - F.size("_common")).cast("long"))
+    word_counts = reduce(lambda rest, one: F.when(F.col(lang) == one, tally(one)).otherwise(rest), words, F.lit(None).cast("array<bigint>"))
+    df = df.select(*[F.col(f"`{c}`") for c in kept], n.cast("long").alias("n_words"), F.col("_no_spaces").alias("word_chars"), "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), class_counts.alias("class_counts"), word_counts.alias("word_counts"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.select(*[F.col(f"`{c}`") for c in kept], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_counts", word_counts.alias("word_counts"))
+    return df.withColumn("base_failed", failed)
 
 
 def divergence(p: Column, q: Column) -> Column:
