@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .credential_scan import op4_secret_links
+from .quality_classifier import op5_quality_fm
 from .quality_rules import op3_quality_divergence
 from .shards import op10_shard_interleave
+from .token_counts import op6_token_rollup
 from .url_filter import op2_url_markov
+from .warc import op7_warc_derivatives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_markov": op2_url_markov,
         "op3_quality_divergence": op3_quality_divergence,
+        "op4_secret_links": op4_secret_links,
+        "op5_quality_fm": op5_quality_fm,
+        "op6_token_rollup": op6_token_rollup,
+        "op7_warc_derivatives": op7_warc_derivatives,
         "op10_shard_interleave": op10_shard_interleave,
     }
 
