@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .credential_scan import op4_secret_links
+from .pieces import op8_piece_scan
 from .quality_classifier import op5_quality_fm
 from .quality_rules import op3_quality_divergence
 from .shards import op10_shard_interleave
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_fm": op5_quality_fm,
         "op6_token_rollup": op6_token_rollup,
         "op7_warc_derivatives": op7_warc_derivatives,
+        "op8_piece_scan": op8_piece_scan,
         "op10_shard_interleave": op10_shard_interleave,
     }
 
