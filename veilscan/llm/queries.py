@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .credential_scan import op4_secret_links
+from .decontamination import op1_simhash_decontamination
 from .pieces import op8_piece_scan
 from .quality_classifier import op5_quality_fm
 from .quality_rules import op3_quality_divergence
@@ -18,6 +19,7 @@ from .warc import op7_warc_derivatives
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_decontamination": op1_simhash_decontamination,
         "op2_url_markov": op2_url_markov,
         "op3_quality_divergence": op3_quality_divergence,
         "op4_secret_links": op4_secret_links,
