@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .credential_scan import op4_secret_links
 from .decontamination import op1_simhash_decontamination
+from .near_duplicates import op9_weighted_minhash
 from .pieces import op8_piece_scan
 from .quality_classifier import op5_quality_fm
 from .quality_rules import op3_quality_divergence
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_rollup": op6_token_rollup,
         "op7_warc_derivatives": op7_warc_derivatives,
         "op8_piece_scan": op8_piece_scan,
+        "op9_weighted_minhash": op9_weighted_minhash,
         "op10_shard_interleave": op10_shard_interleave,
     }
 
