@@ -7,8 +7,8 @@
 3. Texts that agree in all samples of a band share a bucket. Each is compared with the bucket's least member, and with
    the least of those that share the next band, too: links in proportion to the members, not to their pairs.
 4. Links whose exact similarity reaches the threshold join classes. Where a bucket still holds several classes, members
-   outside its largest class are compared with all others by their samples, in blocks, and what may reach the threshold
-   is verified, so a link between classes isn't lost for want of a common neighbour.
+   outside its largest class are compared with all others in blocks, by their samples and then exactly, so a link
+   between classes isn't lost for want of a common neighbour.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ IDF_RANGE = 0.1
 #: Samples are drawn from tables of so many variates.
 VARIATES = 1 << 16
 #: Members of a bucket's block.
-BLOCK = 512
+BLOCK = 256
 #: Shared samples from which on two texts of one bucket are verified: 4 deviations below those at the threshold.
 LEAST_SHARED = math.floor(SAMPLES * THRESHOLD - 4 * math.sqrt(SAMPLES * THRESHOLD * (1 - THRESHOLD)))
 #: Shingles that are sampled at once.
@@ -191,36 +191,63 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return pairs.where("a <> b").distinct()
 
 
-def cross_pairs(members: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different classes in one bucket that share LEAST_SHARED samples at least.
+def similar_to(keys: np.ndarray, times: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]], weights: Weights) -> np.ndarray:
+    """Weighted Jaccard similarities of one text and others, all of them in a few vector steps."""
+    all_keys, all_times = np.concatenate([k for k, _ in others]), np.concatenate([n for _, n in others])
+    starts = np.concatenate([[0], np.cumsum([len(k) for k, _ in others])[:-1]]).astype(np.int64)
+    at = np.minimum(np.searchsorted(keys, all_keys), len(keys) - 1)
+    idf = weights.of(all_keys).astype(np.float64)
+    both = np.add.reduceat(np.where(keys[at] == all_keys, np.minimum(times[at], all_times) * idf, 0.0), starts)
+    total = (times * weights.of(keys).astype(np.float64)).sum() + np.add.reduceat(all_times * idf, starts) - both
+    return both / total
+
+
+def cross_links(members: DataFrame, own: DataFrame, shingles: DataFrame, classes: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Links (a, b) between documents of one bucket that are of different classes yet, where they reach the threshold.
 
     Members outside a bucket's largest class meet all of its members, in blocks of BLOCK on each side, so no task holds
-    a bucket of any size. Buckets of one class, which most are, give nothing.
+    a bucket of any size. A pair is looked at in the first band that both share and nowhere else, if its samples leave
+    the threshold possible, and it is verified on the spot: pairs never leave a block, but for links that join classes
+    there, fewer than the block has members. Buckets of one class, which most are, give nothing.
     """
-    held = materialize(members.select("bucket", "id").join(classes, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c")).distinct(), "bucket-classes")
+    held = materialize(members.select("bucket", "band", "id").join(classes, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("c")).distinct(), "bucket-classes")
     sizes = held.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     mixed = mixed.select("bucket", F.col("top.c").alias("top"), F.expr(f"(n - top.n + {BLOCK - 1}) div {BLOCK}").alias("left_blocks"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("right_blocks"))
     rest = held.join(mixed, "bucket")
     block = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    left = rest.where("c <> top").select("bucket", "id", "c", F.lit(True).alias("left"), block("l", "left_blocks").alias("i"), each("right_blocks").alias("j"))
-    right = rest.select("bucket", "id", "c", F.lit(False).alias("left"), each("left_blocks").alias("i"), block("r", "right_blocks").alias("j"))
-    blocks = left.unionByName(right).join(sketches, "id").select("bucket", "i", "j", "left", "id", "c", "sketch")
+    left = rest.where("c <> top").select("bucket", "band", "id", "c", F.lit(True).alias("left"), block("l", "left_blocks").alias("i"), each("right_blocks").alias("j"))
+    right = rest.select("bucket", "band", "id", "c", F.lit(False).alias("left"), each("left_blocks").alias("i"), block("r", "right_blocks").alias("j"))
+    blocks = left.unionByName(right).join(own.select("id", "sketch", "bands"), "id").join(shingles, "id").select("bucket", "i", "j", "band", "left", "id", "c", "sketch", "bands", "keys", "times")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["left"]], rows[~rows["left"]]
-        found = []
-        if len(a) and len(b):
-            sketch = np.stack([np.frombuffer(x, np.uint16) for x in b["sketch"]])
-            ids, of = b["id"].to_numpy(), b["c"].to_numpy()
-            for i, c, s in a[["id", "c", "sketch"]].itertuples(index=False, name=None):
-                near = np.flatnonzero(((sketch == np.frombuffer(s, np.uint16)).sum(1) >= LEAST_SHARED) & (of != c))
-                found += [(i, int(ids[x])) for x in near]
+        parsed = rows.drop_duplicates(["left", "id", "sketch"])
+        ids, classes, is_left, band = parsed["id"].to_numpy(), parsed["c"].to_numpy(), parsed["left"].to_numpy(), int(parsed["band"].iloc[0])
+        sketch, bands = np.stack([np.frombuffer(x, np.uint16) for x in parsed["sketch"]]), np.stack(list(parsed["bands"]))[:, :band]
+        texts = [(k := np.frombuffer(x, np.uint64), np.frombuffer(n, np.uint32) if n else np.ones(len(k), np.uint32)) for x, n in zip(parsed["keys"], parsed["times"], strict=True)]
+        parent = {c: c for c in classes.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        found, right = [], np.flatnonzero(~is_left)
+        for x in np.flatnonzero(is_left):
+            near = right[(sketch[right] == sketch[x]).sum(1) >= LEAST_SHARED]
+            near = near[~(bands[near] == bands[x]).any(1)] if band else near
+            mine = root(int(classes[x]))
+            near = [y for y in near.tolist() if root(int(classes[y])) != mine]
+            if near:
+                for y, s in zip(near, similar_to(*texts[x], [texts[y] for y in near], weights), strict=True):
+                    if s >= threshold and root(int(classes[y])) != root(int(classes[x])):
+                        parent[root(int(classes[y]))] = root(int(classes[x]))
+                        found.append((int(ids[x]), int(ids[y])))
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    pairs = blocks.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    links = blocks.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -241,7 +268,7 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     alone = texts.join(equal, "words", "left").where("rep is null or rep = id").select("id", "bands", "sketch")
     own = materialize(alone, "representatives")
 
-    banded = own.select("id", F.posexplode("bands").alias("band", "bucket"), "bands").select("id", F.xxhash64("band", "bucket").alias("bucket"), F.get("bands", (F.col("band") + 1) % BANDS).alias("next"))
+    banded = own.select("id", F.posexplode("bands").alias("band", "bucket"), "bands").select("id", "band", F.xxhash64("band", "bucket").alias("bucket"), F.get("bands", (F.col("band") + 1) % BANDS).alias("next"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
     members = materialize(banded.join(shared, "bucket"), "bucket-members")
     wanted = materialize(members.select("id").distinct(), "candidates")
@@ -251,8 +278,7 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     links = materialize(verified(star_pairs(members), shingles, weights, threshold), "links")
     classes = materialize(connected(links.select("a", "b")), "first-classes")
-    sketches = own.select("id", "sketch")
-    more = materialize(verified(cross_pairs(members, sketches, classes), shingles, weights, threshold), "more-links")
+    more = materialize(cross_links(members, own, shingles, classes, weights, threshold), "more-links")
     stars = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
     joined = connected(stars.unionByName(more.select("a", "b")).unionByName(copies))
     return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
