@@ -49,7 +49,7 @@ def test_columns_of_a_table(spark):
 def test_declared_patient_columns(spark):
     labs = spark.createDataFrame([(1, "p7", "diabetes"), (2, "p8", '{"x": ')], "id int, subject string, diagnosis string")
     coverage, found = columns.scan_table(labs, "a/b", Options(), ["id"], {"subject"})
-    assert {(r["location"], r["entity_type"], r["classification"], r["match_count"]) for r in found.collect()} >= {("a%2Fb/subject", "PATIENT_REFERENCE", "personal_data", 2), ("a%2Fb/diagnosis", "HEALTH_INFORMATION", "patient_linked_health", 1)}
+    assert {(r["location"], r["entity_type"], r["classification"], r["match_count"]) for r in found.collect()} >= {("a%2Fb/subject", "PATIENT_REFERENCE", "personal_data", 2), ("a%2Fb/diagnosis", "HEALTH_INFORMATION", "patient_linked_health", 2)}
     assert {r["status"] for r in coverage.where("column = 'diagnosis'").collect()} == {"partial"}
 
 
