@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .credential_scan import op4_secret_links
+from . import oracles
 from .decontamination import op1_simhash_decontamination
 from .near_duplicates import op9_weighted_minhash
 from .pieces import op8_piece_scan
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_markov": oracles.urls(), "op3_quality_divergence": oracles.quality(), "op10_shard_interleave": oracles.shards()}
