@@ -11,9 +11,8 @@ CRC32 = """(SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prep
 
 
 def crc32(text: str) -> str:
-    digits = f"hex(encode({text}))"
-    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT)"
-    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(t[xor(c, b) & 255 + 1], c >> 8)))".replace("& 255 + 1", "& 255) + 1").replace("t[xor(c, b)", "t[(xor(c, b)")
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
 
 
 def shards() -> str:
