@@ -119,7 +119,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     rng = np.random.default_rng(seed)
     machine = Machine(0.0, np.zeros(width, np.float32), np.zeros((width, RANK), np.float32), mean, deviation, edges)
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         machine.bias = 0.0 if not len(labels) else (4.0 if share else -4.0)
         return machine
     # Rows of the rarer label count for more, so that the cut at 1/2 balances both errors.
