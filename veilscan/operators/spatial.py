@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.patterns import MAX_HEIGHTS, MAX_WIDTHS, RUN_GAP, WORD_OVERLAP
+
 #: Cells of the grid on each side of a page, whose coordinates run from 0 to 1.
 GRID = 32
-# How much two boxes must agree to be the same word, and where runs of words break.
-MIN_OVERLAP, MIN_SIDE, MAX_SIZE_RATIO, RUN_GAP = 0.8, 0.7, 1.5, 4.0
 
 
 def cells(left: Column, top: Column, right: Column, bottom: Column) -> Column:
@@ -52,9 +52,17 @@ def owners(words: DataFrame, rectangles: DataFrame, page: str) -> DataFrame:
     return w.select("page", "word").join(one, ["page", "word"], "left")
 
 
-def same_word(text_a: Column, text_b: Column, area: Column, area_a: Column, area_b: Column) -> Column:
-    """Equal texts whose boxes cover most of each other and don't differ much in size."""
-    return (text_a == text_b) & (area >= MIN_OVERLAP * F.least(area_a, area_b)) & (area >= MIN_SIDE * F.greatest(area_a, area_b)) & (F.greatest(area_a, area_b) <= MAX_SIZE_RATIO * F.least(area_a, area_b))
+def same_word(a: str, b: str) -> Column:
+    """Whether structs a and b (text in normal form C, left, top, right, bottom) are one word seen twice."""
+    c = lambda w, f: F.col(f"{w}.{f}")
+
+    def side(low: str, high: str, least: float, ratio: int) -> Column:
+        x, y = c(a, high) - c(a, low), c(b, high) - c(b, low)
+        shared = F.least(c(a, high), c(b, high)) - F.greatest(c(a, low), c(b, low))
+        apart = F.abs(c(a, low) + c(a, high) - c(b, low) - c(b, high))
+        return (shared >= least * F.least(x, y)) & (F.greatest(x, y) <= ratio * F.least(x, y)) & (apart <= F.least(x, y))
+
+    return (c(a, "text") == c(b, "text")) & side("left", "right", WORD_OVERLAP[0], MAX_WIDTHS) & side("top", "bottom", WORD_OVERLAP[1], MAX_HEIGHTS)
 
 
 def islands(rows: DataFrame, by: list[str], order: list[str], starts: Column, out: str = "run") -> DataFrame:

@@ -14,7 +14,7 @@ from ..common import ship
 from ..functions.recognizers import CARDS, RULES
 from ..functions.structured import page_text_udf, render_udf
 from ..functions.text import bounded, csv_guard, location, object_key, segments, structured_kind, windows
-from ..operators import catalog, columns, compare, evaluate, findings, graph, retention, spatial
+from ..operators import catalog, columns, compare, evaluate, findings, graph, layout, retention, spatial
 from ..sources.options import Options
 from ..sources.tables import parquet_table
 
@@ -458,3 +458,40 @@ def line_components(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     edges = c.where("id % 5 <> 0").select(F.col("id").alias("a"), (F.col("id") + 7).alias("b")).join(c.select(F.col("id").alias("b")), "b", "left_semi")
     return graph.components(edges, c)
+
+
+# Pages of words.
+
+
+def page_words(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each customer: a patient's field, a diagnosis right below it or far below, and a doctor's line."""
+    k = F.col("c_custkey")
+    line = lambda text, top, n: F.struct(F.split(text, " ").alias("w"), F.lit(top).cast("double").alias("top"), F.lit(n).alias("line"))
+    far = F.when(k % 2 == 0, line(F.lit("Diagnosis: diabetes"), 0.13, 2)).otherwise(line(F.lit("Diagnosis: diabetes"), 0.5, 2))
+    rows = t(spark, d, "customer").select(k.alias("page"), F.explode(F.array(line(F.concat(F.lit("MRN: C000"), k), 0.1, 1), far, line(F.lit("Dr. Somebody"), 0.8, 3))).alias("l"))
+    each = rows.select("page", "l.top", "l.line", F.posexplode("l.w").alias("i", "text"))
+    left = 0.1 + F.col("i") * 0.12
+    return each.select("page", "text", left.alias("left"), "top", (left + 0.1).alias("right"), (F.col("top") + 0.02).alias("bottom"), F.lit(1).alias("block"), "line", (F.col("line") * 10 + F.col("i")).alias("ordinal"))
+
+
+@query("""
+SELECT c_custkey AS page, 0 AS region, 'record' AS kind, 'explicit_patient_field' AS reason, 'MRN: C000' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'Diagnosis: diabetes' ELSE '' END AS text FROM customer
+UNION ALL SELECT c_custkey, 1, 'residual', 'unlabelled_content', 'Diagnosis: diabetes' FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, 1 + c_custkey % 2, 'residual', 'nonpatient_section', 'Dr. Somebody' FROM customer""")
+def layout_regions(spark: SparkSession, d: str) -> DataFrame:
+    return layout.page_regions(page_words(spark, d), ["page"]).select("page", "region", "kind", "reason", "text")
+
+
+@query("""
+SELECT c_custkey AS page, 'MRN' AS entity_type, 'personal_data' AS classification, 1::BIGINT AS match_count, 'region:1/record' AS segment FROM customer
+UNION ALL SELECT c_custkey, 'HEALTH_INFORMATION', CASE WHEN c_custkey % 2 = 0 THEN 'patient_linked_health' ELSE 'clinical_content' END, 2, CASE WHEN c_custkey % 2 = 0 THEN 'region:1/record' ELSE 'region:2/segment:1/block:1/row:1' END FROM customer""")
+def layout_findings(spark: SparkSession, d: str) -> DataFrame:
+    return layout.document_findings(page_words(spark, d), ["page"]).select("page", "entity_type", "classification", "match_count", "segment")
+
+
+@query("SELECT c_custkey AS page, 'MRN: C000' || c_custkey || chr(10) || 'Diagnosis: diabetes' || chr(10) || 'Dr. Somebody' || CASE WHEN c_custkey % 2 = 1 THEN chr(10) || chr(10) || 'Diagnosis: cancer' ELSE '' END AS text, CASE WHEN c_custkey % 2 = 1 THEN 2 ELSE 3 END::BIGINT AS suppressed, (c_custkey % 2)::BIGINT AS conflicts FROM customer")
+def channel_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The second channel repeats the first, but for one word on every other page."""
+    w = page_words(spark, d)
+    read = w.withColumn("text", F.when((F.col("page") % 2 == 1) & (F.col("text") == "diabetes"), "cancer").otherwise(F.col("text")))
+    both = w.withColumn("channel", F.lit("native")).unionByName(read.withColumn("channel", F.lit("ocr")))
+    return layout.page_texts(both, ["page"]).select("page", "text", "suppressed", "conflicts")
