@@ -46,6 +46,11 @@ def without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def one_of(chars: str) -> str:
+    """A pattern for runs of these characters."""
+    return "[" + "".join(c if c.isalnum() else "\\" + c for c in chars) + "]+"
+
+
 def window_places(words: str, packed: str, bits: int) -> Column:
     """Places, in order, of the 3-word windows that occur twice or more.
 
@@ -80,33 +85,28 @@ def document_features(docs: DataFrame, text: str = "text", lang: str = "lang", w
     own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_counts", "word_counts", text}
     kept = [c for c in docs.columns if c not in own]
     df = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.char_length(without(x, SPACES)) > 0)
-    plain = F.translate(F.lower("_t"), POINTS_AS_GAPS + SPACES, " " * len(POINTS_AS_GAPS + SPACES))
-    df = df.withColumns({"_w": F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), "_lines": lines, "_l": F.split(plain, " ")})
+    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD))
+    df = df.withColumns({"_w": F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), "_lines": lines, "_l": F.split(F.lower("_t"), rf"[\x20\x09-\x0D{POINTS_AS_GAPS}]+")})
     n = F.size("_w")
     pack = lambda i: F.xxhash64(F.col("_w")[i], F.col("_w")[i + 1], F.col("_w")[i + 2]).bitwiseAND(~((1 << PLACE_BITS) - 1)).bitwiseOR(i.cast("long"))
     common = reduce(lambda rest, one: F.when(F.col(lang) == one, F.filter("_l", lambda w: w.isin(*words[one]))).otherwise(rest), words, F.lit(None).cast("array<string>"))
-    cut = F.col("_t")
-    classes: list[Column] = []
-    for name, chars in (("_spaces", SPACES), ("_symbols", SYMBOLS), ("_points", POINTS), ("_digits", DIGITS), ("_upper", UPPER)):
-        classes.append(F.char_length(without(cut, chars)).cast("long").alias(name))
-        cut = without(cut, chars)
-    left = dict(zip(("_no_spaces", "_no_symbols", "_no_points", "_no_digits", "_no_upper"), classes, strict=True))
+    # Cutting out what is rare is the cheapest way to count it.
+    removed = {name: F.char_length(F.regexp_replace("_t", chars, "")).cast("long").alias(name) for name, chars in (("_symbols", one_of(SYMBOLS)), ("_points", one_of(POINTS)), ("_digits", "[0-9]+"), ("_upper", "[A-Z]+"))}
+    removed = {"_spaces": F.char_length(without(F.col("_t"), SPACES)).cast("long").alias("_spaces")} | removed
     size, octets = F.char_length("_t").cast("long"), F.octet_length("_t").cast("long")
     df = df.select(
         *[F.col(f"`{c}`") for c in kept], "_w", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), pack))).alias("_p"), common.alias("_common"), size.alias("_chars"), octets.alias("_octets"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), (F.size("_l") - F.size(F.array_remove("_l", ""))).alias("_gaps"), F.size("_l").alias("_plain"),
-        *[v.alias(k) for k, v in left.items()], (size - F.char_length(without(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        *removed.values(),
     )
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("_p",)], F.when(F.size("_p") > 1, window_places("_w", "_p", PLACE_BITS)).alias("_d"))
     covered = F.when(F.size("_d") > 0, F.aggregate("_d", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"])).otherwise(0)
-    steps = ["_chars", *left]
-    counts = [F.col(a) - F.col(b) for a, b in zip(steps, steps[1:], strict=False)]
-    spaces, symbols, points, digits, upper = counts
-    class_counts = F.array(F.col(steps[-1]), upper, digits, spaces, points, symbols, F.col("_octets") - F.col("_chars"))
+    spaces, symbols, points, digits, upper = (F.col("_chars") - F.col(c) for c in removed)
+    letters = F.col("_chars") - spaces - symbols - points - digits - upper
+    class_counts = F.array(letters, upper, digits, spaces, points, symbols, F.col("_octets") - F.col("_chars"))
     tally = lambda one: F.array(*[(F.size("_common") - F.size(F.array_remove("_common", w))).cast("long") for w in words[one]], (F.col("_plain") - F.col("_gaps") - F.size("_common")).cast("long"))
     word_counts = reduce(lambda rest, one: F.when(F.col(lang) == one, tally(one)).otherwise(rest), words, F.lit(None).cast("array<bigint>"))
-    df = df.select(*[F.col(f"`{c}`") for c in kept], n.cast("long").alias("n_words"), F.col("_no_spaces").alias("word_chars"), "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), class_counts.alias("class_counts"), word_counts.alias("word_counts"))
+    df = df.select(*[F.col(f"`{c}`") for c in kept], n.cast("long").alias("n_words"), F.col("_spaces").alias("word_chars"), symbols.alias("n_symbols"), "n_dup_lines", covered.cast("long").alias("n_repeat_words"), class_counts.alias("class_counts"), word_counts.alias("word_counts"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 
