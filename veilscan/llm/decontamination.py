@@ -44,6 +44,11 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _SHIFTS).sum(1, dtype=np.uint64)
 
 
+def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
 def weighted_similarity(a: Counter, b: Counter) -> float:
     shared = sum(min(n, b[k]) for k, n in a.items() if k in b)
     total = sum(a.values()) + sum(b.values()) - shared
@@ -110,7 +115,7 @@ class Benchmark:
             here = windows(hashes, k)
             hits = np.flatnonzero(bitmap[here >> np.uint64(44)])
             if len(hits):
-                hits = hits[np.isin(here[hits], keys)]
+                hits = hits[among(here[hits], keys)]
             if len(hits):
                 for n in sizes:
                     if n <= len(words):
@@ -119,7 +124,7 @@ class Benchmark:
 
     def _of_size(self, n: int, k: int, here: np.ndarray, hits: np.ndarray, threshold: float) -> list[tuple[object, int, int, float, int]]:
         names, counters, index, keys = self.sizes[n]
-        own = hits[np.isin(here[hits], keys)]
+        own = hits[among(here[hits], keys)]
         if not len(own):
             return []
         m = n - k + 1  # shingles of a window
