@@ -41,6 +41,8 @@ CHUNK_CHARS = 65_536
 #: Units whose pieces a worker remembers, and the longest of them.
 REMEMBERED, LONGEST_UNIT = 300_000, 64
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Tokens that are handed on at once.
+TOKENS_AT_ONCE = 2_000_000
 DIGEST = 2_147_483_647
 NEVER = float("-inf")
 
@@ -387,10 +389,16 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     key_type = docs.schema[key].dataType.simpleString()
 
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(path)
+        v, names = vocabulary(path), ["k", "chunk", "first", "n_tokens", "ids_sum", "ids_weighted", "exact", "ids"]
         for batch in batches:
-            rows = [(k, 0, 0, *part(v, v.encode(normalised(t or "")), t or "", True, with_ids)) for k, t in batch.itertuples(index=False, name=None)]
-            yield pd.DataFrame(rows, columns=["k", "chunk", "first", "n_tokens", "ids_sum", "ids_weighted", "exact", "ids"])
+            rows, held = [], 0
+            for k, t in batch.itertuples(index=False, name=None):
+                rows.append((k, 0, 0, *part(v, v.encode(normalised(t or "")), t or "", True, with_ids)))
+                held += rows[-1][3]
+                if held >= TOKENS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         margin = vocabulary(path).longest
