@@ -48,8 +48,9 @@ def owners(words: DataFrame, rectangles: DataFrame, page: str) -> DataFrame:
     w = words.select(F.col(page).alias("page"), F.col("id").alias("word"), x.alias("x"), y.alias("y"), cells(x, y, x, y)[0].alias("cell"))
     r = rectangles.select(F.col(page).alias("page"), F.col("id").alias("rectangle"), "left", "top", "right", "bottom", F.explode(cells(F.col("left"), F.col("top"), F.col("right"), F.col("bottom"))).alias("cell"))
     inside = w.join(r, ["page", "cell"]).where("x >= left and x <= right and y >= top and y <= bottom")
-    one = inside.groupBy("page", "word").agg(F.count(F.lit(1)).alias("n"), F.min("rectangle").alias("rectangle")).where("n = 1").drop("n")
-    return w.select("page", "word").join(one, ["page", "word"], "left")
+    # Words may share an id: rows are told apart by their places, and equal ones meet the same rectangles.
+    one = inside.groupBy("page", "word", "x", "y").agg(F.min("rectangle").alias("rectangle"), F.max("rectangle").alias("other")).where("rectangle = other").drop("other")
+    return w.join(one, ["page", "word", "x", "y"], "left").select("page", "word", "rectangle")
 
 
 def same_word(a: str, b: str) -> Column:

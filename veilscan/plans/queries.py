@@ -421,7 +421,7 @@ BOX_SQL = "(SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id,
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     left, top = (F.col("l_partkey") % 97) / 100.0, (F.col("l_quantity") * 13 % 89) / 100.0
-    return t(spark, d, "lineitem").where("l_orderkey % 8 = 0").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("page"), left.alias("left"), top.alias("top"), F.least(F.lit(1.0), left + 0.04).alias("right"), F.least(F.lit(1.0), top + 0.02).alias("bottom"))
+    return t(spark, d, "lineitem").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("page"), left.alias("left"), top.alias("top"), F.least(F.lit(1.0), left + 0.04).alias("right"), F.least(F.lit(1.0), top + 0.02).alias("bottom"))
 
 
 @query(f"""SELECT a.page, a.id AS a, b.id AS b FROM {BOX_SQL} a JOIN {BOX_SQL} b ON a.page = b.page AND a.id < b.id AND a."left" < b."right" AND b."left" < a."right" AND a.top < b.bottom AND b.top < a.bottom""")
