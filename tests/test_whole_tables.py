@@ -53,3 +53,12 @@ def test_words_that_share_an_id_keep_their_owners(spark):
     words = spark.createDataFrame([(1, 7, 0.0, 0.1), (1, 7, 0.0, 0.1), (1, 7, 0.6, 0.7), (1, 8, 0.4, 0.6)], "page int, id int, left double, right double").selectExpr("*", "0.0D as top", "0.1D as bottom")
     halves = spark.createDataFrame([(1, 1, 0.0, 0.5), (1, 2, 0.5, 1.0)], "page int, id int, left double, right double").selectExpr("*", "0.0D as top", "1.0D as bottom")
     assert sorted(map(str, map(tuple, spatial.owners(words, halves, "page").collect()))) == ["(1, 7, 1)", "(1, 7, 1)", "(1, 7, 2)", "(1, 8, None)"]
+
+
+def test_every_row_is_searched_for_references(spark):
+    tables = TABLES.with_name("sf0.01")
+    keys = [k for (k,) in duckdb.sql(f"select c_custkey from '{tables}/customer.parquet'").fetchall()]
+    said = lambda of: sum(1 + (k % 5 != 0) for k in of)
+    other = [k for k in keys if k % 3 == 0]
+    want = {("visits/mrn", "MRN", "personal_data", len(keys)), ("visits/diagnosis", "MRN", "personal_data", len(other)), ("visits/diagnosis", "HEALTH_INFORMATION", "clinical_content", said(other)), ("visits/diagnosis", "HEALTH_INFORMATION", "patient_linked_health", said(k for k in keys if k % 3))}
+    assert len(keys) == 1500 and {(r["location"], r["entity_type"], r["classification"], r["match_count"]) for r in REGISTRY["row_references"][0](spark, str(tables)).collect()} == want

@@ -203,7 +203,7 @@ def row_references(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     said = F.concat(F.when(k % 5 == 0, "no findings").otherwise("diabetes"), F.when(k % 3 == 0, F.concat(F.lit(", see MRN: X000"), k)).otherwise(""))
     visits = t(spark, d, "customer").select(F.concat(F.lit("A000"), k).alias("mrn"), said.alias("diagnosis"), k.alias("visit"))
-    return columns.scan_table(visits, "visits", key=["visit"], fingerprint=False)[1].drop("segment")
+    return columns.scan_table(visits, "visits", Options(full_scan=True), fingerprint=False)[1].drop("segment")
 
 
 @query("SELECT 'no%20such%2Ftable' AS location, 'inaccessible' AS status, 'requested_table_not_discovered' AS reason")
