@@ -129,6 +129,25 @@ def test_leaks_against_brute_force(spark, text, documents):
     assert all(r["leaks"] == [] for r in none) and find_leaks(documents(rows).limit(0), spark.createDataFrame(items, "item_id int, text string")).count() == 0
 
 
+def test_documents_shorter_than_an_item_are_compared(spark, text, documents):
+    import re
+
+    def similar(doc, item):
+        w, q = (re.findall(r"\w+", x.lower()) for x in (doc, item))
+        n, k = min(len(q), len(w)), min(5, len(q))
+        shingles = lambda x: collections.Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+        return any((t := (shingles(w[i : i + n]) | shingles(q)).total()) and (shingles(w[i : i + n]) & shingles(q)).total() / t >= 0.8 for i in range(len(w) - n + 1))
+
+    items = [(i, text(37 - i % 3, 800 + i)) for i in range(6)] + [(20, "only four words here"), (21, "one two three four five six"), (22, text(400, 900))]
+    rows = []
+    for _, t in items:
+        w = t.split()
+        rows += [" ".join(x) for x in (w[:-1], w[1:], w[2:-2], w[: len(w) * 7 // 8], w[: len(w) * 3 // 4], w[: len(w) // 2], w[: len(w) // 2] + w[len(w) // 2 + 1 :]) if x]
+    docs = documents([(i, t, "en", "s") for i, t in enumerate(rows)])
+    got = {(r["doc_id"], int(m["item"])): (m["start"], m["end"]) for r in find_leaks(docs, spark.createDataFrame(items, "item_id int, text string")).collect() for m in r["leaks"]}
+    assert got == {(i, j): (0, len(t)) for i, t in enumerate(rows) for j, q in items if similar(t, q)} and len(got) > 20
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=P.MODEL)

@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index, and exact similarity of candidates.
 
-A document's window of as many words as an item is a candidate if the 64-bit SimHashes of both differ in `RADIUS` bits
+A document's window of as many words as an item, or a shorter document as a whole, is a candidate if the 64-bit SimHashes of both differ in `RADIUS` bits
 at most. The index splits a fingerprint into `RADIUS` + 1 blocks: two fingerprints within the radius agree in one block
 at least, so looking up every block finds all of them. Candidates are then compared by the weighted Jaccard similarity
 of their shingles, each weighing as often as it occurs.
@@ -105,7 +105,10 @@ class Benchmark:
             self.gates[k] = bitmap, keys, [n for n in self.sizes if min(SIZE, n) == k]
 
     def matches(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[object, int, int, float, int]]:
-        """(item, first word, words, similarity, distance) of the best windows; those of one item don't overlap."""
+        """(item, first word, words, similarity, distance) of the best windows; those of one item don't overlap.
+
+        A window has as many words as the item, or all words of a document that has fewer.
+        """
         words = WORD.findall(text) if text else []
         if not words:
             return []
@@ -118,16 +121,17 @@ class Benchmark:
                 hits = hits[among(here[hits], keys)]
             if len(hits):
                 for n in sizes:
-                    if n <= len(words):
-                        found += self._of_size(n, k, here, hits, threshold)
+                    # A document shorter than the item is one window, if so few shingles can be similar enough.
+                    if len(here) / (n - k + 1) >= threshold:
+                        found += self._of_size(n, min(n, len(words)), k, here, hits, threshold)
         return found
 
-    def _of_size(self, n: int, k: int, here: np.ndarray, hits: np.ndarray, threshold: float) -> list[tuple[object, int, int, float, int]]:
+    def _of_size(self, n: int, size: int, k: int, here: np.ndarray, hits: np.ndarray, threshold: float) -> list[tuple[object, int, int, float, int]]:
         names, counters, index, keys = self.sizes[n]
         own = hits[among(here[hits], keys)]
         if not len(own):
             return []
-        m = n - k + 1  # shingles of a window
+        m = size - k + 1  # shingles of a window
         last = len(here) - m
         edge = np.zeros(len(here) + 2, np.int64)
         np.add.at(edge, np.maximum(0, own - m + 1), 1)
@@ -151,9 +155,9 @@ class Benchmark:
         for item, of in best.items():
             taken: list[int] = []
             for s, start, distance in sorted(of):
-                if all(abs(start - t) >= n for t in taken):
+                if all(abs(start - t) >= size for t in taken):
                     taken.append(start)
-                    out.append((names[item], start, n, -s, distance))
+                    out.append((names[item], start, size, -s, distance))
         return out
 
 
