@@ -155,3 +155,13 @@ def test_pages_of_all_kinds(spark):
     assert len({r["record_id"] for r in got if r["page_id"] == 1}) == 2 and derive_pages(df.limit(0)).count() == 0
     assert b"\nX: y" not in bytes(Record({"A": "u\r\nX: y"}))
     assert plain_text("x 1 < 2 &lt;p&gt;") == "x 1 < 2 <p>"
+
+
+def test_pages_that_leave_end_tags_out_keep_their_text():
+    own = '<meta charset="utf-8"><title>t <!-- </title>\n<link rel="x"><style>a</style><script>"</head><body>"</script><!-- c -->'
+    for page in ("<head>{}<body><p>hello world</p>", "<head>{}<p>hello world</p>", "<head>{}</head><body>hello world", "<head lang=en>{}hello world</html>", "<head>{}<noscript><p>hello world</p>", "<head>{}<template>hello world", "<HEAD>{}<BODY>hello world<script>no end"):
+        assert plain_text("<!DOCTYPE html><html>" + page.format(own)) == "hello world", page
+    assert plain_text("<p>a<noscript>b</noscript><template>c</template><noscript>d<template>e") == "ade"
+    assert plain_text("<p>a<svg><title>drawing</title></svg><!-- b") == "adrawing" and plain_text("<header>a</header><style>b") == "a"
+    assert plain_text("<template>" * 50_000 + "x") == "x"
+    assert derived(response_record("u", b"<html><head><title>x</title><body><p>hello world</p>"))[1].block == b"hello world"

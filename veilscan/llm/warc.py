@@ -27,8 +27,13 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespa
 VERSION = "WARC/1.1"
 DERIVED = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, block binary"
 
-#: Their content is no text.
-SILENT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Their content is no text; a title is none within a head.
+SILENT = re.compile(r"<!--|<(script|style|template|noscript|title|head)\b[^>]*>", re.I)
+CLOSES = {"": re.compile("-->"), **{x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "template", "noscript", "title")}}
+#: Without an end, they take the rest of the page. Of the others, only the tag goes.
+ENDLESS = ("", "script", "style")
+#: What may stand between these in a head. Anything else ends it, since `</head>` and `<body>` may be left out.
+IN_HEAD = re.compile(r"(?:\s|</?(?:meta|link|base|basefont|bgsound)\b[^>]*>|<[!?](?!--)[^>]*>)*+", re.I)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>", re.I)
 CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
 TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
@@ -51,10 +56,34 @@ def one_line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value).strip()
 
 
+def audible(markup: str) -> str:
+    """The markup without what is no text."""
+    out, at, head, unclosed = [], 0, None, set()
+    while m := SILENT.search(markup, at):
+        name = (m[1] or "").lower()
+        out.append(markup[at : m.start()])
+        if head is not None and not IN_HEAD.fullmatch(markup, head, m.start()):
+            head = None
+        at = m.end()
+        if name == "head":
+            head = at
+        elif name != "title" or head is not None:
+            end = None if name in unclosed else CLOSES[name].search(markup, at)
+            if end:
+                at = end.end()
+            elif name in ENDLESS:
+                at = len(markup)
+            else:
+                unclosed.add(name)
+            if head is not None:
+                head = at
+    out.append(markup[at:])
+    return "".join(out)
+
+
 def plain_text(markup: str) -> str:
     """The text that a reader sees: block elements break lines, cells become tabs, entities are decoded."""
-    text = SILENT.sub("", markup)
-    text = TAG.sub("", CELL.sub("\t", BREAK.sub("\n", text)))
+    text = TAG.sub("", CELL.sub("\t", BREAK.sub("\n", audible(markup))))
     lines = (LINE.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
