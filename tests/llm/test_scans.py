@@ -165,3 +165,16 @@ def test_pages_that_leave_end_tags_out_keep_their_text():
     assert plain_text("<p>a<svg><title>drawing</title></svg><!-- b") == "adrawing" and plain_text("<header>a</header><style>b") == "a"
     assert plain_text("<template>" * 50_000 + "x") == "x"
     assert derived(response_record("u", b"<html><head><title>x</title><body><p>hello world</p>"))[1].block == b"hello world"
+
+
+def test_records_after_a_malformed_one_are_read(spark, tmp_path):
+    a, b = (response_record(f"http://{x}/", f"<p>{x}".encode()) for x in "ab")
+    for n, bad in enumerate((b"WARC/1.1\r\nWARC-Type: response\r\n\r\nlost WARC/ text\r\n\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\nlost\r\n\r\n", b"WARC/1.1\r\nContent-Length: 999999\r\n\r\nlost\r\n\r\n")):
+        passed = []
+        assert list(parse_records(bytes(a) + bad + bytes(b), passed)) == [a, b] and [x.strip() for x in passed] == [bad.strip()]
+        (tmp_path / f"{n}.warc").write_bytes(bytes(a) + bad + bytes(b))
+    got = read_warc(spark, str(tmp_path)).collect()
+    assert len(got) == 9 and sum(r["headers"] is None and b"lost" in r["block"] for r in got) == 3
+    assert derive_records(read_warc(spark, str(tmp_path))).count() == 12
+    passed = []
+    assert list(parse_records(bytes(a), passed)) == [a] and passed == []

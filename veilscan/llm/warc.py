@@ -40,6 +40,7 @@ TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 LANGUAGE = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+START = re.compile(rb"^WARC/", re.M)
 LINE = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -121,22 +122,31 @@ class Response:
             return "utf-8"
 
 
-def parse_records(data: bytes) -> Iterator[Record]:
-    """All records of a WARC file, gzip or plain. What follows a cut or malformed record is left out."""
+def parse_records(data: bytes, passed: list[bytes] | None = None) -> Iterator[Record]:
+    """All records of a WARC file, gzip or plain.
+
+    After a cut or malformed record, reading goes on at the next line that starts one. Stretches that belong to no record
+    are put into `passed`.
+    """
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
+    at = seek = 0
+    skip = lambda stretch: passed.append(stretch) if passed is not None and stretch.strip(b"\r\n") else None
+    while (found := START.search(data, seek)) or data.startswith(b"WARC/", seek):
+        start = seek if data.startswith(b"WARC/", seek) else found.start()
         end = data.find(b"\r\n\r\n", start)
         if end < 0:
-            return
+            break
         pairs = (x.partition(":") for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:])
         headers = {k.strip(): v.strip() for k, _, v in pairs if k}
         length = headers.get("Content-Length", "")
-        if not length.isdigit() or end + 4 + int(length) > len(data):
-            return
-        at = end + 4 + int(length)
+        if not re.fullmatch("[0-9]{1,18}", length) or end + 4 + int(length) > len(data):
+            seek = end + 4
+            continue
+        skip(data[at:start])
+        at = seek = end + 4 + int(length)
         yield Record({k: v for k, v in headers.items() if k != "Content-Length"}, data[end + 4 : at])
+    skip(data[at:])
 
 
 def response_record(uri: str, markup: bytes, date: str = DATE, content_type: str = "text/html; charset=utf-8") -> Record:
@@ -167,14 +177,18 @@ def derived(source: Record) -> list[Record]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, headers, block) of all records in the WARC files at `path`, each file in one task."""
+    """(file, n, headers, block) of all records in the WARC files at `path`, each file in one task.
+
+    Stretches that belong to no record follow as rows without headers.
+    """
     ship(spark)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
-                found = list(parse_records(bytes(data)))
-                yield pd.DataFrame({"file": name, "n": range(len(found)), "headers": [r.headers for r in found], "block": [r.block for r in found]})
+                passed: list[bytes] = []
+                found = [(r.headers, r.block) for r in parse_records(bytes(data), passed)] + [(None, x) for x in passed]
+                yield pd.DataFrame({"file": name, "n": range(len(found)), "headers": [h for h, _ in found], "block": [b for _, b in found]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInPandas(parse, "file string, n long, headers map<string,string>, block binary")
