@@ -96,9 +96,9 @@ def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 1 << 63, 300, np.uint64)
     index = BlockIndex(prints)
-    for q in [*prints[:5], *rng.integers(0, 1 << 63, 20, np.uint64), prints[0] ^ np.uint64((1 << RADIUS) - 1)]:
-        d = np.bitwise_count(prints ^ q)
-        assert sorted(index.within(q)) == [(i, int(d[i])) for i in np.flatnonzero(d <= RADIUS)]
+    asked = np.array([*prints[:5], *rng.integers(0, 1 << 63, 20, np.uint64), prints[0] ^ np.uint64((1 << RADIUS) - 1), *[p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, False))) for k in (RADIUS, RADIUS + 1) for p in prints[:50]]])
+    want = [(q, i, int(d)) for q, f in enumerate(asked) for i, d in enumerate(np.bitwise_count(prints ^ f)) if d <= RADIUS]
+    assert sorted(zip(*(x.tolist() for x in index.within(asked)), strict=True)) == want and len(want) >= 55
     assert packed(signs(prints[:3]))[0] == prints[0]
 
 
@@ -106,9 +106,20 @@ def brute_leaks(doc, item):
     import re
 
     w, q = (re.findall(r"\w+", (x or "").lower()) for x in (doc, item))
-    k = min(5, len(q))
+    n, k = min(len(q), len(w)), min(5, len(q))
     shingles = lambda x: collections.Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
-    return bool(q) and any(sum((shingles(w[i : i + len(q)]) & shingles(q)).values()) / sum((shingles(w[i : i + len(q)]) | shingles(q)).values()) >= 0.8 for i in range(len(w) - len(q) + 1))
+    return bool(n) and any(sum((shingles(w[i : i + n]) & shingles(q)).values()) / sum((shingles(w[i : i + n]) | shingles(q)).values()) >= 0.8 for i in range(len(w) - n + 1))
+
+
+def test_a_large_benchmark_takes_passes(spark, text, documents, monkeypatch):
+    from veilscan.llm import decontamination as D
+
+    items = [(i, text(20, 700 + i)) for i in range(12)]
+    docs = documents([(i, text(60, i) + " " + items[i][1], "en", "s") for i in range(12)])
+    found = lambda: sorted((r["doc_id"], r["text"], r["kept"], tuple(m["item"] for m in r["leaks"])) for r in find_leaks(docs, spark.createDataFrame(items, "item_id int, text string")).collect())
+    whole = found()
+    monkeypatch.setattr(D, "BLOCK_CHARS", 600)
+    assert found() == whole and [r[3] for r in whole] == [(str(i),) for i in range(12)]
 
 
 def test_leaks_against_brute_force(spark, text, documents):
@@ -156,6 +167,14 @@ def library():
 CASES = ["a", "  ", "a  b ", "x" * 50, " lead", "漢字かな😀 test", "thethethethethe" * 4, "▁a ▁▁b", "trail   ", "a\tb\n\nc é́ß", "\0 \r\n"]
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_two_levels_choose_the_same_states(text, fan):
+    v = P.vocabulary()
+    chunks = P.chunks_of(P.normalised(text(80, fan)), 6, v.longest)
+    matrices = [c.matrix(v) for c in chunks]
+    assert P.scanned(matrices, fan) == P.best_states(matrices) and len(matrices) > 4 * fan
+
+
 @pytest.mark.parametrize("size", [1, 3, 7, 40])
 def test_chunks_give_the_librarys_pieces(library, text, size):
     v = P.vocabulary()
@@ -199,6 +218,35 @@ def test_encoding_of_documents(spark, documents, library, text):
     assert [i for r in by[5] for i in r["ids"]] == library.encode("y" * 700) and len(by[5]) == 3
     assert sorted(i for r in by[4] for i in r["ids"]) == sorted(library.encode(long) + library.encode(long + "x"))
     assert P.encode_documents(documents(rows).limit(0)).count() == 0
+    back = collections.defaultdict(list)
+    for r in P.decode_documents(P.encode_documents(documents(rows), chunk_chars=300, fan=2)).collect():
+        back[r["row"], r["doc_id"]].append((r["chunk"], r["text"]))
+    assert sorted((k[1], "".join(t for _, t in sorted(v))) for k, v in back.items()) == sorted((i, t or "") for i, t, _, _ in rows)
+
+
+def test_keys_of_text_and_several_texts_of_a_key(spark, text):
+    a, b = text(120, 1), text(120, 2)
+    rows = [("x", a), ("y", a.upper()), ("z", b), ("w", edited(b, 0.01, 3)), ("v", text(120, 4)), (None, a)]
+    got = {r["doc_id"]: r["class_id"] for r in duplicate_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"x": "x", "y": "x", "z": "w", "w": "w"}
+    rows = [(5, a), (5, b), (7, edited(a, 0.01, 5)), (8, edited(b, 0.01, 6)), (9, b), (9, text(120, 8)), (10, text(120, 8))]
+    got = {r["doc_id"]: r["class_id"] for r in duplicate_classes(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == dict.fromkeys((5, 7, 8, 9, 10), 5)
+
+
+def test_few_samples_are_rare_at_the_threshold():
+    import math
+
+    from veilscan.llm.near_duplicates import LEAST_SHARED, SAMPLES
+
+    assert sum(math.comb(SAMPLES, k) * 0.8**k * 0.2 ** (SAMPLES - k) for k in range(LEAST_SHARED)) < 3e-5
+
+
+def test_frequent_shingles_weigh_less_and_noise_does_not():
+    counts = np.full(1 << 18, 40, np.int64) + np.random.default_rng(1).poisson(5, 1 << 18)
+    counts[7] += 50_000
+    w = Weights(counts, 100_000)
+    assert w.table[7] < 0.91 and (w.table == 1).mean() > 0.999
 
 
 def test_pipeline(spark, tmp_path):

@@ -2,8 +2,12 @@
 
 A credential often comes in parts: an access identifier, a secret, an endpoint. A part that could be anything by itself
 is reported where complementary parts share its scope: a stretch of `SCOPE` characters around it that no blank line
-ends. Parts of a document are sorted, and each is joined to those whose intervals its scope meets by bisection; only the
-part's own span is emitted, never all pairs, so the time is n log n in the parts of a document.
+ends. Parts of a document are sorted, and each is joined to the nearest complementary ones before and after it by
+bisection: if those are out of its scope, so are all others. Only the part's own span is emitted, never all pairs, so the
+time is n log n in the parts of a document.
+
+Parts are: identifiers (named ones, and e-mail addresses as login names), secrets (named ones, and lone tokens of high
+entropy) and endpoints (addresses with a scheme, named hosts, and IP addresses).
 """
 
 from __future__ import annotations
@@ -12,14 +16,15 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, table
+from .common import kept_columns, ship, table, tidy
 
 Span = tuple[str, int, int]
 
@@ -39,6 +44,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 IDENTIFIER = re.compile(r"""(?i:client|account|app|tenant|access[_-]?key|key|user)[_-]?(?i:id|name)\b["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII)
 WEAK_SECRET = re.compile(r"""(?i:pwd|pass(?:phrase)?|auth|credential|private[_-]?key|signature|sas)\b["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=~!@%-]{6,})""", re.ASCII)
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
+ADDRESS = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?!\.?[0-9])")
 ENDPOINT = re.compile(r"""(?i:https?|ftp|s3|jdbc:[a-z]+|amqp|redis|postgres(?:ql)?|mysql|mongodb)://[^\s"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?""", re.ASCII)
 BLANK = re.compile(r"\n[ \t\r]*\n")
 
@@ -59,33 +66,55 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def weak_parts(text: str, base: list[Span]) -> dict[str, list[tuple[int, int]]]:
-    """Candidates outside the spans of `base`."""
-    taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
-    reach: list[int] = []
-    for _, e in taken:
-        reach.append(max(e, reach[-1] if reach else 0))
+class Spans:
+    """Intervals by their starts, with the greatest end among those up to each."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
+        self.spans = sorted(spans)
+        self.starts = [s for s, _ in self.spans]
+        self.reach = list(accumulate((e for _, e in self.spans), max))
+
+    def before(self, at: int) -> int | None:
+        """The greatest end of those that start before `at`."""
+        i = bisect_left(self.starts, at)
+        return self.reach[i - 1] if i else None
 
-    def free(s: int, e: int) -> bool:
-        i = bisect_left(starts, e)
-        return i == 0 or reach[i - 1] <= s
+    def after(self, at: int) -> int | None:
+        """The least start from `at` on."""
+        i = bisect_left(self.starts, at)
+        return self.starts[i] if i < len(self.starts) else None
 
+    def meets(self, s: int, e: int) -> bool:
+        end = self.before(e)
+        return end is not None and end > s
+
+
+def weak_parts(text: str, base: list[Span]) -> dict[str, list[tuple[int, int]]]:
+    """Candidates outside the spans of `base`. A lone token or address that is within another part is none of its own."""
+    taken = Spans((s, e) for _, s, e in base)
+    found = lambda pattern, but: [m.span() for m in pattern.finditer(text) if not any(x.meets(*m.span()) for x in but)]
     parts: dict[str, list[tuple[int, int]]] = {"identifier": [], "secret": [], "endpoint": []}
     marks = ":" in text or "=" in text
     if marks:
-        parts["identifier"] = [m.span() for m in IDENTIFIER.finditer(text) if free(*m.span())]
-        parts["secret"] = [m.span() for m in WEAK_SECRET.finditer(text) if free(*m.span())]
-        parts["endpoint"] = [m.span() for m in ENDPOINT.finditer(text) if free(*m.span())]
-    ends = [p for ps in parts.values() for p in ps]
-    for m in TOKEN.finditer(text):
-        t = m.group()
-        if re.search("[a-z]", t) and re.search("[A-Z]", t) and re.search("[0-9]", t) and entropy(t) >= MIN_ENTROPY and free(*m.span()) and not any(s < m.end() and m.start() < e for s, e in ends):
-            parts["secret"].append(m.span())
-    parts["secret"].sort()
+        parts["secret"] = found(WEAK_SECRET, [taken])
+    tokens = [(s, e) for s, e in found(TOKEN, [taken]) if secret_like(text[s:e])]
+    if not tokens and not parts["secret"] and all(k == "access" for k, _, _ in base):
+        return parts  # nothing that the others could complement
+    if marks:
+        parts |= {"identifier": found(IDENTIFIER, [taken]), "endpoint": found(ENDPOINT, [taken])}
+    named = Spans(p for ps in parts.values() for p in ps)
+    if "@" in text:
+        parts["identifier"] += found(EMAIL, [taken, named])
+    parts["endpoint"] += found(ADDRESS, [taken, named])
+    named = Spans(p for ps in parts.values() for p in ps)
+    parts["secret"] += [t for t in tokens if not named.meets(*t)]
     return parts
 
 
+def secret_like(token: str) -> bool:
+    return bool(re.search("[a-z]", token) and re.search("[A-Z]", token) and re.search("[0-9]", token)) and entropy(token) >= MIN_ENTROPY
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak parts with complementary ones in their scope.
 
@@ -95,28 +124,21 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     weak = weak_parts(text, base)
     if not any(weak.values()):
         return []
-    secrets = sorted(weak["secret"] + [(s, e) for k, s, e in base if k != "access"])
-    partners = sorted(weak["identifier"] + weak["endpoint"] + [(s, e) for k, s, e in base if k == "access"])
-    if not secrets or not partners:
+    secrets = Spans(weak["secret"] + [(s, e) for k, s, e in base if k != "access"])
+    partners = Spans(weak["identifier"] + weak["endpoint"] + [(s, e) for k, s, e in base if k == "access"])
+    if not secrets.spans or not partners.spans:
         return []
     blanks = [m.start() for m in BLANK.finditer(text)]
+    # Parts hold no line ends, so what lies between two of them decides.
+    near = lambda a, b: b - a <= SCOPE and bisect_left(blanks, a) == bisect_left(blanks, b)
 
-    def meets(part: tuple[int, int], others: list[tuple[int, int]], widest: int) -> bool:
+    def meets(part: tuple[int, int], others: Spans) -> bool:
         s, e = part
-        for i in range(bisect_left(others, (s - SCOPE - widest, 0)), len(others)):
-            s2, e2 = others[i]
-            if s2 > e + SCOPE:
-                return False
-            if e2 >= s - SCOPE and bisect_left(blanks, min(e, e2)) == bisect_left(blanks, max(s, s2)):
-                return True
-        return False
+        end, start = others.before(e), others.after(e)
+        return (end is not None and (end > s or near(end, s))) or (start is not None and near(e, start))
 
-    def widest(parts: list[tuple[int, int]]) -> int:
-        return max(e - s for s, e in parts)
-
-    w_secret, w_partner = widest(secrets), widest(partners)
-    found = [("secret", *p) for p in weak["secret"] if meets(p, partners, w_partner)]
-    return found + [(k, *p) for k in ("identifier", "endpoint") for p in weak[k] if meets(p, secrets, w_secret)]
+    found = [("secret", *p) for p in weak["secret"] if meets(p, partners)]
+    return found + [(k, *p) for k in ("identifier", "endpoint") for p in weak[k] if meets(p, secrets)]
 
 
 def all_spans(text: str | None) -> list[Span]:
@@ -157,15 +179,22 @@ def redact_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def scan_secrets(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """`docs` with an array of (kind, start, end) in code points, end exclusive; empty where nothing is found.
 
-    Every row is scanned whole and by itself, so nothing is shuffled and rows may repeat. A column `out` is replaced.
+    Every row is scanned whole and by itself, so nothing is shuffled and rows may repeat. Null and empty texts have no
+    spans, an empty table gives no rows. A column `out` is replaced, whatever its case; names that differ in case only
+    are refused (ValueError).
     """
     ship(docs.sparkSession)
-    return docs.withColumn(out, spans_udf(F.col(text)))
+    return docs.select(*[F.col(f"`{c}`") for c in kept_columns(docs, out)], spans_udf(F.col(f"`{text}`")).alias(out))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """`docs` with secrets replaced in the text and `n_chars` set to what is left; null texts stay null."""
+    """`docs` with secrets replaced in the text and `n_chars` set to what is left; null texts stay null.
+
+    Rows may repeat, other columns stay as they are, and a table without `n_chars` gets none. Names that differ in case
+    only are refused (ValueError).
+    """
     ship(docs.sparkSession)
+    kept_columns(docs)
     cleaned = docs.withColumn(text, redact_udf(F.col(text)))
     return cleaned.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else cleaned
 
@@ -175,6 +204,8 @@ def joined(spans: Column) -> Column:
 
 
 def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans and all spans of every row of `documents`. Null and empty texts have none;
+    repeated rows each give a row; an empty table gives none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_secrets(docs).select("doc_id", "spans")
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -1,12 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index, and exact similarity of candidates.
 
 A document's window of as many words as an item, or a shorter document as a whole, is a candidate if the 64-bit SimHashes of both differ in `RADIUS` bits
-at most. The index splits a fingerprint into `RADIUS` + 1 blocks: two fingerprints within the radius agree in one block
-at least, so looking up every block finds all of them. Candidates are then compared by the weighted Jaccard similarity
-of their shingles, each weighing as often as it occurs.
+at most. The index splits a fingerprint into `BLOCKS` blocks of 16 bits: of two fingerprints within the radius, one block
+differs in `RADIUS // BLOCKS` bits at most, so looking up, in each block, the values that are so near finds all of them.
+Candidates are then compared by the weighted Jaccard similarity of their shingles, each weighing as often as it occurs.
 
 Only windows that share a shingle with some item of their size are fingerprinted; any other has a similarity of 0. So
-what is gathered is the benchmark alone, in blocks of `BLOCK_CHARS`; documents are read where they are and never
+what is gathered is the benchmark alone, a block of `BLOCK_CHARS` at a time; documents are read where they are and never
 shuffled.
 """
 
@@ -22,15 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, table
+from .common import kept_columns, materialize, own, own_name, ship, table, tidy
 from .shingles import SIZE, WORD, windows, word_hashes
 
 THRESHOLD = 0.8
 #: Bits in which fingerprints may differ. At a similarity of 0.8 they differ in 10 on average, with a deviation of 3.
 RADIUS = 20
 BITS = 64
+#: Blocks of the multi-index. Values of 16 bits that differ in 5 at most are a tenth of all, so four blocks leave a third
+#: of the items of a size; the distance of whole fingerprints leaves 1 in 800 of unrelated ones.
+BLOCKS = 4
 #: Characters of the benchmark that executors hold at once; a larger one takes several passes.
 BLOCK_CHARS = 8_000_000
+#: Windows times items of their size that are looked up at once.
+PAIRS_AT_ONCE = 1_000_000
 _SHIFTS = np.arange(BITS, dtype=np.uint64)
 
 
@@ -56,28 +61,26 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 
 
 class BlockIndex:
-    """Fingerprints of the items of one size, by the value of each of RADIUS + 1 blocks of bits."""
-
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
-        self.prints, self.radius = prints, radius
-        bounds = np.linspace(0, BITS, radius + 2).astype(int)
-        self.blocks = [(np.uint64(lo), np.uint64((1 << int(hi - lo)) - 1)) for lo, hi in zip(bounds, bounds[1:], strict=False)]
-        self.tables: list[dict[int, np.ndarray]] = []
-        for shift, mask in self.blocks:
-            values: dict[int, list[int]] = defaultdict(list)
-            for i, v in enumerate(((prints >> shift) & mask).tolist()):
-                values[v].append(i)
-            self.tables.append({v: np.array(x) for v, x in values.items()})
-
-    def within(self, fingerprint: np.uint64) -> list[tuple[int, int]]:
-        """(item, distance) of all fingerprints within the radius."""
-        found = [t[v] for (shift, mask), t in zip(self.blocks, self.tables, strict=True) if (v := int((fingerprint >> shift) & mask)) in t]
-        if not found:
-            return []
-        items = np.unique(np.concatenate(found))
-        distance = np.bitwise_count(self.prints[items] ^ fingerprint)
-        near = distance <= self.radius
-        return list(zip(items[near].tolist(), distance[near].tolist(), strict=True))
+    """Fingerprints of the items of one size, by the value of each of BLOCKS blocks of bits."""
+
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS) -> None:
+        self.prints, self.radius, self.near = prints, radius, radius // blocks
+        width = BITS // blocks
+        self.shifts, self.mask = [np.uint64(width * i) for i in range(blocks)], np.uint64((1 << width) - 1)
+        #: For each block: its distinct values, and the place of each item's among them.
+        self.tables = [np.unique((prints >> s) & self.mask, return_inverse=True) for s in self.shifts]
+
+    def within(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the fingerprint, item and distance of all pairs within the radius."""
+        near = np.zeros((len(fingerprints), len(self.prints)), bool)
+        for shift, (values, of) in zip(self.shifts, self.tables, strict=True):
+            mine, at = np.unique((fingerprints >> shift) & self.mask, return_inverse=True)
+            hits = np.bitwise_count(mine[:, None] ^ values[None, :]) <= self.near
+            near |= hits[at][:, of]
+        which, items = np.nonzero(near)
+        distance = np.bitwise_count(fingerprints[which] ^ self.prints[items])
+        close = distance <= self.radius
+        return which[close], items[close], distance[close]
 
 
 class Benchmark:
@@ -138,19 +141,20 @@ class Benchmark:
         np.add.at(edge, own + 1, -1)
         starts = np.flatnonzero(np.cumsum(edge)[: last + 1] > 0)
         best: dict[int, list[tuple[float, int, int]]] = defaultdict(list)
+        step = max(1, min(4096, PAIRS_AT_ONCE // len(names)))  # windows at once
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-            for at in range(0, len(run), 4096):  # so many windows at once
-                part = run[at : at + 4096]
+            for at in range(0, len(run), step):
+                part = run[at : at + step]
                 if not len(part):
                     continue
                 sums = np.cumsum(signs(here[part[0] : part[-1] + m]), axis=0)
                 sums = np.concatenate([np.zeros((1, BITS), sums.dtype), sums])
                 prints = packed(sums[m:] - sums[:-m])
-                for start, fingerprint in zip(part.tolist(), prints, strict=True):
-                    for item, distance in index.within(fingerprint):
-                        s = weighted_similarity(counters[item], Counter(here[start : start + m].tolist()))
-                        if s >= threshold:
-                            best[item].append((-s, start, distance))
+                for start, item, distance in zip(*(x.tolist() for x in index.within(prints)), strict=True):
+                    start = int(part[start])
+                    s = weighted_similarity(counters[item], Counter(here[start : start + m].tolist()))
+                    if s >= threshold:
+                        best[item].append((-s, start, distance))
         out = []
         for item, of in best.items():
             taken: list[int] = []
@@ -161,12 +165,11 @@ class Benchmark:
         return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[object, str | None]]]:
-    """The items in blocks of about BLOCK_CHARS; one block is in the driver at a time while it is packed."""
-    total = benchmark.agg(F.sum(F.char_length(text))).first()[0] or 0
-    n = -(-total // BLOCK_CHARS) or 1
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, n: int) -> Iterator[list[tuple[object, str | None]]]:
+    """The items in `n` blocks of about BLOCK_CHARS; one block is in the driver at a time."""
     at = F.pmod(F.xxhash64(item, text), F.lit(n))
-    return [[tuple(r) for r in benchmark.where(at == b).select(item, text).collect()] for b in range(n)]
+    for b in range(n):
+        yield [tuple(r) for r in benchmark.where(at == b).select(item, text).collect()]
 
 
 MATCH = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -177,14 +180,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
     Whole texts are searched, row by row. Null and empty texts, an empty benchmark and items without words match
     nothing. Repeated items each match; of one item, the best windows that don't overlap are given. A column `out` is
-    replaced.
+    replaced; columns whose names differ in case only are refused (ValueError).
+
+    A benchmark of more than BLOCK_CHARS takes a pass for each block of it, written before the next one, so no worker
+    ever holds two blocks.
     """
     ship(docs.sparkSession)
-    found = []
-    for block in benchmark_blocks(benchmark, item, item_text):
+    kept = kept_columns(docs, out)
+    n = -(-(benchmark.agg(F.sum(F.char_length(item_text))).first()[0] or 0) // BLOCK_CHARS) or 1
+    searched = docs
+    for i, block in enumerate(benchmark_blocks(benchmark, item, item_text, n)):
         held = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS at most, or one item
-        found.append(F.pandas_udf(searcher(held, threshold), MATCH)(F.col(text)))
-    return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])
+        found = F.pandas_udf(searcher(held, threshold), MATCH)(F.col(f"`{text}`"))
+        before = [] if i == 0 else [own("leaks")]
+        searched = searched.select(*[F.col(f"`{c}`") for c in (docs.columns if i < n - 1 else kept)], F.concat(*before, found).alias(own_name("leaks")))
+        if i < n - 1:
+            searched = materialize(searched, "leaks")
+    return searched.withColumnRenamed(own_name("leaks"), out)
 
 
 def searcher(held: Broadcast, threshold: float) -> Callable:
@@ -193,6 +205,7 @@ def searcher(held: Broadcast, threshold: float) -> Callable:
         for batch in batches:
             yield pd.Series([spans_of(items, t, threshold) for t in batch], index=batch.index, dtype=object)
 
+    search = tidy(search)
     search.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return search
 
@@ -207,6 +220,8 @@ def spans_of(items: Benchmark, text: str | None, threshold: float) -> list[dict]
 
 
 def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, similarity, hamming, start, end) of every benchmark item found in `documents`, a row for each
+    place. Null and empty texts give none, repeated rows give theirs each, an empty table gives none."""
     leaks = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     each = leaks.select("doc_id", F.explode("leaks").alias("m"))
     return each.select("doc_id", F.col("m.item").cast("long").alias("item_id"), F.round("m.similarity", 9).alias("similarity"), F.col("m.distance").alias("hamming"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))

@@ -1,12 +1,13 @@
 """Near-duplicates: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-1. Document frequencies of shingles are counted over all documents in a table of hashed places of fixed size.
-2. Each text gets `BANDS` x `ROWS` improved consistent weighted samples of its shingles, weighted by count and IDF. Two
-   texts agree in a sample with the probability of their weighted Jaccard similarity. Texts of equal words are one class
-   at once and are represented by one document from here on.
-3. Texts that agree in all samples of a band share a bucket. Each is compared with the bucket's least member, and with
+1. Texts of equal words are one class at once, found by a digest; one document represents them from here on. The shingles
+   of representatives are written once, and all that follows reads them instead of the texts.
+2. Document frequencies of shingles are counted over all representatives in a table of hashed places of fixed size.
+3. Each representative gets `BANDS` x `ROWS` improved consistent weighted samples of its shingles, weighted by count and
+   IDF. Two texts agree in a sample with the probability of their weighted Jaccard similarity.
+4. Texts that agree in all samples of a band share a bucket. Each is compared with the bucket's least member, and with
    the least of those that share the next band, too: links in proportion to the members, not to their pairs.
-4. Links whose exact similarity reaches the threshold join classes. Where a bucket still holds several classes, members
+5. Links whose exact similarity reaches the threshold join classes. Where a bucket still holds several classes, members
    outside its largest class are compared with all others in blocks, by their samples and then exactly, so a link
    between classes isn't lost for want of a common neighbour.
 """
@@ -21,8 +22,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, ship, table
+from .common import kept_columns, materialize, own, own_name, ship, table, tidy
 from .components import connected
 from .shingles import counted, keys_of
 
@@ -32,27 +34,35 @@ BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
 #: Hashed places in which document frequencies are counted; the table of this size goes to every executor.
 PLACES_BITS = 18
-#: IDF is 1 for a shingle of one document and falls to 1 - IDF_RANGE for one of all documents. A wide range would take
-#: copies apart, as what they share is frequent because it was copied.
+#: IDF is 1 for a shingle of one text and falls, with the logarithm of its frequency, to 1 - IDF_RANGE for one of all
+#: texts. A wide range would take copies apart, as what they share is frequent because it was copied.
 IDF_RANGE = 0.1
+#: A place tells a shingle's frequency from that of others in it from so many deviations on; below, it counts as 1.
+DEVIATIONS = 4
 #: Samples are drawn from tables of so many variates.
 VARIATES = 1 << 16
 #: Members of a bucket's block.
 BLOCK = 256
-#: Shared samples from which on two texts of one bucket are verified: 4 deviations below those at the threshold.
+#: Shared samples from which on two texts of one bucket are verified: 4 deviations below those at the threshold. A pair
+#: at exactly 0.8 has fewer with a probability of 0.00003.
 LEAST_SHARED = math.floor(SAMPLES * THRESHOLD - 4 * math.sqrt(SAMPLES * THRESHOLD * (1 - THRESHOLD)))
 #: Shingles that are sampled at once.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
 #: Lists of ids up to so many rows are broadcast; longer ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
 
+def key_type(docs: DataFrame, key: str) -> str:
+    """The type that keys have in here: whole numbers as long, all others as string."""
+    return "long" if isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else "string"
+
+
 class Weights:
     """IDF by hashed place. What other shingles add to a place, on average, is taken off."""
 
     def __init__(self, counts: np.ndarray, documents: int) -> None:
-        total = counts.sum()
-        frequency = np.maximum(1.0, counts - (total - counts) / max(1, len(counts) - 1))
+        others = (counts.sum() - counts) / max(1, len(counts) - 1)
+        frequency = np.where(counts - others > DEVIATIONS * np.sqrt(others), np.maximum(1.0, counts - others), 1.0)
         span = math.log(max(2, documents))
         self.table = (1 - IDF_RANGE * np.minimum(1.0, np.log(frequency) / span)).astype(np.float32)
 
@@ -89,74 +99,86 @@ class Sampler:
         return out
 
 
-def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Documents by hashed place of their shingles, and how many have any. 2 ** PLACES_BITS rows come to the driver."""
+def digests(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, words) of every text that has words and a key: a digest of its words in lower case."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [" ".join(t.lower().split()) if t else "" for t in batch["t"]]
+            yield pd.DataFrame({"id": batch["id"], "words": [xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) if w else None for w in words]})[lambda x: x["words"].notna()]
+
+    kind = key_type(docs, key)
+    return docs.select(F.col(key).cast(kind).alias("id"), F.col(text).alias("t")).where("id is not null").mapInPandas(tidy(digest), f"id {kind}, words binary")
+
+
+def shingle_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, words, keys, times) of every text that has words: digest and sorted shingles; `times` is empty where each
+    occurs once."""
+
+    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, held = [], 0
+            for i, t in batch.itertuples(index=False, name=None):
+                k, n = counted(keys_of(t))
+                if len(k):
+                    rows.append((i, xxhash.xxh3_128_digest(" ".join(t.lower().split()).encode("utf-8", "surrogatepass")), k.tobytes(), b"" if (n == 1).all() else n.astype(np.uint32).tobytes()))
+                    held += len(k)
+                if held >= AT_ONCE:
+                    yield pd.DataFrame(rows, columns=["id", "words", "keys", "times"])
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "words", "keys", "times"])
+
+    kind = key_type(docs, key)
+    return docs.select(F.col(key).cast(kind).alias("id"), F.col(text).alias("t")).where("id is not null").mapInPandas(tidy(shingle), f"id {kind}, words binary, keys binary, times binary")
+
+
+def frequencies(shingles: DataFrame) -> tuple[np.ndarray, int]:
+    """Texts by hashed place of their shingles, and how many there are. 2 ** PLACES_BITS rows come to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = np.zeros((1 << PLACES_BITS) + 1, np.int64)  # the last counts the documents
+        places = np.zeros((1 << PLACES_BITS) + 1, np.int64)  # the last counts the texts
         for batch in batches:
-            for t in batch[text]:
-                keys = np.unique(keys_of(t))
-                if len(keys):
-                    places += np.bincount(keys >> np.uint64(64 - PLACES_BITS), minlength=len(places)) if len(keys) > 4096 else 0
-                    if len(keys) <= 4096:
-                        np.add.at(places, keys >> np.uint64(64 - PLACES_BITS), 1)
-                    places[-1] += 1
+            for k in batch["keys"]:  # a text's shingles are distinct, but not their places
+                at = (np.frombuffer(k, np.uint64) >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
+                if len(at) > 4096:
+                    places += np.bincount(at, minlength=len(places))
+                else:
+                    np.add.at(places, at, 1)
+            places[-1] += len(batch)
         at = np.flatnonzero(places)
         yield pd.DataFrame({"place": at.astype(np.int32), "n": places[at]})
 
-    sums = docs.select(text).mapInPandas(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    sums = shingles.select("keys").mapInPandas(tidy(count), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((1 << PLACES_BITS) + 1, np.int64)
     counts[sums["place"].to_numpy()] = sums["n"].to_numpy()
     return counts[:-1], int(counts[-1])
 
 
-def sampled(docs: DataFrame, key: str, text: str, weights: Weights) -> DataFrame:
-    """(id, words, bands, sketch) of every text that has words: its words' digest, a key for each band, 16 bits of each
-    sample."""
-    schema = "id long, words binary, bands array<bigint>, sketch binary"
+def sampled(shingles: DataFrame, weights: Weights) -> DataFrame:
+    """(id, words, bands, sketch): a key for each band, and 16 bits of each sample."""
+    schema = f"id {shingles.schema['id'].dataType.simpleString()}, words binary, bands array<bigint>, sketch binary"
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler()
         for batch in batches:
-            ids, words, held, size = [], [], [], 0
-            for k, t in batch.itertuples(index=False, name=None):
-                keys = keys_of(t)
-                if not len(keys) or k is None or k != k:
-                    continue
-                ids.append(int(k))
-                words.append(xxhash.xxh3_128_digest(" ".join(t.lower().split()).encode("utf-8", "surrogatepass")))
-                held.append(counted(keys))
-                size += len(keys)
-                if size >= AT_ONCE:
-                    yield rows(sampler, ids, words, held)
-                    ids, words, held, size = [], [], [], 0
-            if ids:
-                yield rows(sampler, ids, words, held)
-
-    def rows(sampler: Sampler, ids: list, words: list, held: list) -> pd.DataFrame:
-        keys = np.concatenate([k for k, _ in held])
-        times = np.concatenate([n for _, n in held])
-        starts = np.concatenate([[0], np.cumsum([len(k) for k, _ in held])[:-1]]).astype(np.int64)
+            sizes = batch["keys"].map(len).cumsum() // (8 * AT_ONCE)
+            for _, part in batch.groupby(sizes):
+                yield rows(sampler, part)
+
+    def rows(sampler: Sampler, part: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(k, np.uint64) for k in part["keys"]]
+        times = np.concatenate([np.frombuffer(n, np.uint32) if n else np.ones(len(k), np.uint32) for k, n in zip(held, part["times"], strict=True)])
+        keys = np.concatenate(held)
+        starts = np.concatenate([[0], np.cumsum([len(k) for k in held])[:-1]]).astype(np.int64)
         found = sampler.samples(keys, times.astype(np.float32) * weights.of(keys), starts)
-        bands = np.empty((len(ids), BANDS), np.int64)
+        bands = np.empty((len(part), BANDS), np.int64)
         for b in range(BANDS):
             bands[:, b] = [xxhash.xxh64_intdigest(x.tobytes(), b) >> 1 for x in found[:, b * ROWS : (b + 1) * ROWS]]
         low = (found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
-        return pd.DataFrame({"id": ids, "words": words, "bands": list(bands), "sketch": [x.tobytes() for x in low]})
-
-    return docs.select(F.col(key).cast("long").alias("_k"), text).mapInPandas(sample, schema)
-
-
-def shingle_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, keys, times): sorted shingles; `times` is empty where each occurs once."""
+        return pd.DataFrame({"id": part["id"].to_numpy(), "words": part["words"].to_numpy(), "bands": list(bands), "sketch": [x.tobytes() for x in low]})
 
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [counted(keys_of(t)) for t in batch[text]]
-            yield pd.DataFrame({"id": batch["_k"].to_numpy(), "keys": [k.tobytes() for k, _ in found], "times": [b"" if (n == 1).all() else n.astype(np.uint32).tobytes() for _, n in found]})
-
-    return docs.select(F.col(key).cast("long").alias("_k"), text).where(F.col("_k").isNotNull()).mapInPandas(shingle, "id long, keys binary, times binary")
+    return shingles.select("id", "words", "keys", "times").mapInPandas(tidy(sample), schema)
 
 
 def weighted_jaccard(a: bytes, a_times: bytes, b: bytes, b_times: bytes, weights: Weights) -> float:
@@ -178,9 +200,10 @@ def verified(pairs: DataFrame, shingles: DataFrame, weights: Weights, threshold:
             s = [weighted_jaccard(*x, weights) for x in batch[["a_keys", "a_times", "b_keys", "b_times"]].itertuples(index=False, name=None)]
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": np.array(s, np.float64)})[lambda x: x["similarity"] >= threshold]
 
+    kind = shingles.schema["id"].dataType.simpleString()
     of = lambda c: shingles.select(F.col("id").alias(c), F.col("keys").alias(f"{c}_keys"), F.col("times").alias(f"{c}_times"))
     joined = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
-    return joined.mapInPandas(verify, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return joined.mapInPandas(tidy(verify), f"a {kind}, b {kind}, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -202,7 +225,7 @@ def similar_to(keys: np.ndarray, times: np.ndarray, others: list[tuple[np.ndarra
     return both / total
 
 
-def cross_links(members: DataFrame, own: DataFrame, shingles: DataFrame, classes: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+def cross_links(members: DataFrame, sketches: DataFrame, shingles: DataFrame, classes: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """Links (a, b) between documents of one bucket that are of different classes yet, where they reach the threshold.
 
     Members outside a bucket's largest class meet all of its members, in blocks of BLOCK on each side, so no task holds
@@ -210,6 +233,7 @@ def cross_links(members: DataFrame, own: DataFrame, shingles: DataFrame, classes
     the threshold possible, and it is verified on the spot: pairs never leave a block, but for links that join classes
     there, fewer than the block has members. Buckets of one class, which most are, give nothing.
     """
+    kind = shingles.schema["id"].dataType.simpleString()
     held = materialize(members.select("bucket", "band", "id").join(classes, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("c")).distinct(), "bucket-classes")
     sizes = held.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
@@ -219,66 +243,78 @@ def cross_links(members: DataFrame, own: DataFrame, shingles: DataFrame, classes
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     left = rest.where("c <> top").select("bucket", "band", "id", "c", F.lit(True).alias("left"), block("l", "left_blocks").alias("i"), each("right_blocks").alias("j"))
     right = rest.select("bucket", "band", "id", "c", F.lit(False).alias("left"), each("left_blocks").alias("i"), block("r", "right_blocks").alias("j"))
-    blocks = left.unionByName(right).join(own.select("id", "sketch", "bands"), "id").join(shingles, "id").select("bucket", "i", "j", "band", "left", "id", "c", "sketch", "bands", "keys", "times")
+    # A key may have several texts: a sketch belongs to the shingles of its own.
+    full = sketches.select("id", "words", "sketch", "bands").join(shingles, ["id", "words"])
+    blocks = left.unionByName(right).join(full, "id").select("bucket", "i", "j", "band", "left", "id", "c", "words", "sketch", "bands", "keys", "times")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        parsed = rows.drop_duplicates(["left", "id", "sketch"])
-        ids, classes, is_left, band = parsed["id"].to_numpy(), parsed["c"].to_numpy(), parsed["left"].to_numpy(), int(parsed["band"].iloc[0])
+        parsed = rows.drop_duplicates(["left", "id", "words"])
+        ids, classes, is_left, band = parsed["id"].tolist(), parsed["c"].tolist(), parsed["left"].to_numpy(), int(parsed["band"].iloc[0])
         sketch, bands = np.stack([np.frombuffer(x, np.uint16) for x in parsed["sketch"]]), np.stack(list(parsed["bands"]))[:, :band]
         texts = [(k := np.frombuffer(x, np.uint64), np.frombuffer(n, np.uint32) if n else np.ones(len(k), np.uint32)) for x, n in zip(parsed["keys"], parsed["times"], strict=True)]
-        parent = {c: c for c in classes.tolist()}
+        parent = {c: c for c in classes}
 
-        def root(c: int) -> int:
+        def root(c: object) -> object:
             while parent[c] != c:
                 parent[c] = c = parent[parent[c]]
             return c
 
         found, right = [], np.flatnonzero(~is_left)
-        for x in np.flatnonzero(is_left):
+        for x in np.flatnonzero(is_left).tolist():
             near = right[(sketch[right] == sketch[x]).sum(1) >= LEAST_SHARED]
             near = near[~(bands[near] == bands[x]).any(1)] if band else near
-            mine = root(int(classes[x]))
-            near = [y for y in near.tolist() if root(int(classes[y])) != mine]
+            mine = root(classes[x])
+            near = [y for y in near.tolist() if root(classes[y]) != mine]
             if near:
                 for y, s in zip(near, similar_to(*texts[x], [texts[y] for y in near], weights), strict=True):
-                    if s >= threshold and root(int(classes[y])) != root(int(classes[x])):
-                        parent[root(int(classes[y]))] = root(int(classes[x]))
-                        found.append((int(ids[x]), int(ids[y])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+                    if s >= threshold and root(classes[y]) != root(classes[x]):
+                        parent[root(classes[y])] = root(classes[x])
+                        found.append((ids[x], ids[y]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64 if kind == "bigint" else object)
 
-    links = blocks.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    links = blocks.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """`docs` less the keys (id) of `gone`, which is broadcast if it has BROADCAST_ROWS rows at most."""
+    listed = gone.select(F.col("id").alias(own_name("gone")))
+    listed = F.broadcast(listed) if gone.count() <= BROADCAST_ROWS else listed
+    return docs.join(listed, F.col(f"`{key}`").cast(key_type(docs, key)) == own("gone"), "left_anti")
+
+
 def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of the documents that share a class with another one; a class is named by its least id.
 
     Words are what white space separates, in lower case; a text of fewer than five is one shingle. Null and empty texts
     have no words and are in no class, and so are rows with a null key. Rows that repeat a key are one document with
-    several texts. An empty table gives no rows.
+    several texts. Keys of whole numbers are long, all others are compared as strings. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    weights = Weights(*frequencies(docs, text))
-    texts = materialize(sampled(docs, key, text, weights), "samples")
+    kept_columns(docs)
+    ship(docs.sparkSession)
+    texts = materialize(digests(docs, key, text), "words")
 
     # Equal words: one representative, found by partial aggregation, so a class may have any share of the rows.
     equal = materialize(texts.groupBy("words").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("words", "rep"), "equal-texts")
-    copies = texts.select("id", "words").join(equal, "words").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    alone = texts.join(equal, "words", "left").where("rep is null or rep = id").select("id", "bands", "sketch")
-    own = materialize(alone, "representatives")
-
-    banded = own.select("id", F.posexplode("bands").alias("band", "bucket"), "bands").select("id", "band", F.xxhash64("band", "bucket").alias("bucket"), F.get("bands", (F.col("band") + 1) % BANDS).alias("next"))
+    copies = materialize(texts.join(equal, "words").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "copies")
+    # A key with other texts besides a copy stays, for their sake.
+    several = materialize(texts.groupBy("id").agg(F.min("words").alias("low"), F.max("words").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-keys")
+    folded = materialize(copies.select(F.col("a").alias("id")).distinct().join(several.where("low <> high").select("id"), "id", "left_anti"), "folded")
+    rows = shingle_rows(without(docs, key, folded), key, text)
+    shingles = materialize(rows if several.isEmpty() else rows.dropDuplicates(["id", "words"]), "shingles")
+    weights = Weights(*frequencies(shingles))
+    sketches = materialize(sampled(shingles, weights), "samples")
+
+    banded = sketches.select("id", F.posexplode("bands").alias("band", "bucket"), "bands").select("id", "band", F.xxhash64("band", "bucket").alias("bucket"), F.get("bands", (F.col("band") + 1) % BANDS).alias("next"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
     members = materialize(banded.join(shared, "bucket"), "bucket-members")
     wanted = materialize(members.select("id").distinct(), "candidates")
     few = wanted.count() <= BROADCAST_ROWS
-    candidates = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, F.col(key) == F.col("id"), "left_semi")
-    shingles = materialize(shingle_rows(candidates, key, text), "shingles")
+    compared = materialize(shingles.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "compared-shingles")
 
-    links = materialize(verified(star_pairs(members), shingles, weights, threshold), "links")
+    links = materialize(verified(star_pairs(members), compared, weights, threshold), "links")
     classes = materialize(connected(links.select("a", "b")), "first-classes")
-    more = materialize(cross_links(members, own, shingles, classes, weights, threshold), "more-links")
+    more = materialize(cross_links(members, sketches, compared, classes, weights, threshold), "more-links")
     stars = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
     joined = connected(stars.unionByName(more.select("a", "b")).unionByName(copies))
     return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
@@ -287,22 +323,25 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class stays, with all its columns: the one with the least key.
 
-    Documents without words stay. Rows that repeat both key and text are one document: one of them stays.
+    Documents without words stay, and so do those without a key. Rows that repeat both key and text are one document:
+    one of them stays. Columns may have any names but reserved ones (ValueError). An empty table stays empty.
     """
     classes = materialize(duplicate_classes(docs, key, text, threshold), "classes")
-    gone = materialize(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")), "dropped")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    repeated = materialize(docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNotNull() & (F.col("n") > 1)).select(F.col(key).alias("_twice")), "repeated-keys")
+    gone = materialize(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("id")), "dropped")
+    left = without(docs, key, gone)
+    k = F.col(f"`{key}`")
+    repeated = materialize(docs.where(k.isNotNull()).groupBy(k.cast(key_type(docs, key)).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated-keys")
     if repeated.isEmpty():
         return left
-    again = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
-    once = left.join(again, F.col(key) == F.col("_twice"), "left_anti")
-    return once.unionByName(left.join(again, F.col(key) == F.col("_twice"), "left_semi").dropDuplicates([key, text]))
+    again = repeated.select(F.col("id").alias(own_name("gone")))
+    again = F.broadcast(again) if repeated.count() <= BROADCAST_ROWS else again
+    return without(left, key, repeated).unionByName(left.join(again, k.cast(key_type(docs, key)) == own("gone"), "left_semi").dropDuplicates([key, text]))
 
 
 def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id) of every row of `documents`, null and empty texts and repeated rows included; a document
+    without near-duplicates is a class of its own. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    classes = duplicate_classes(docs).select(F.col("doc_id").alias("_d"), "class_id")
+    classes = duplicate_classes(docs).select(F.col("doc_id").alias("d"), "class_id")
     ids = docs.select("doc_id")
-    return ids.join(classes, F.col("doc_id") == F.col("_d"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return ids.join(classes, F.col("doc_id") == F.col("d"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -17,6 +17,9 @@ Where no piece of the vocabulary holds a space mark after another character, as
 goes through the places before space marks. There both sides are independent: a chunk's matrix is the product of the
 part before its first such place, a number, and the part after its last. The number's part is a sequence of units of
 space and word, whose pieces are remembered.
+
+The scan over a document's matrices has two levels: `FAN` neighbours are multiplied in a task each, the products decide
+the states between such stretches, and each stretch then decides those within it, again in a task each.
 """
 
 from __future__ import annotations
@@ -32,17 +35,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ship, table
+from .common import materialize, ship, table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Documents of more characters are cut into chunks of so many, which any executor may take.
-CHUNK_CHARS = 65_536
+CHUNK_CHARS = 16_384
+#: Matrices that are multiplied, and whose states are chosen, in one task.
+FAN = 256
 #: Units whose pieces a worker remembers, and the longest of them.
-REMEMBERED, LONGEST_UNIT = 300_000, 64
+REMEMBERED, LONGEST_UNIT = 200_000, 64
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Tokens that are handed on at once.
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 500_000
 DIGEST = 2_147_483_647
 NEVER = float("-inf")
 
@@ -61,10 +66,10 @@ class Vocabulary:
     unknown: int = 0
     byte_ids: list[int] = field(default_factory=list)
     special: frozenset[int] = frozenset()
-    encoder: object = None
 
     def __post_init__(self) -> None:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.special}
+        self.score = {p: self.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.cuts = not any(p[i] == MARK != p[i - 1] for p in self.ids for i in range(1, len(p)))
         self.penalty = min([self.scores[i] for i in self.ids.values()], default=0.0) - 10.0
@@ -79,13 +84,16 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[str]:
         """BPE by definition: join the adjacent pair whose piece has the best score, the leftmost of equals, and again."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
-                break
-            k = -best[1]
+        parts, score = list(text), self.score.get
+        joint = [score(x + y, NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+        while joint and (best := max(joint)) > NEVER:
+            k = joint.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del joint[k]
+            if k < len(joint):
+                joint[k] = score(parts[k] + parts[k + 1], NEVER)
+            if k:
+                joint[k - 1] = score(parts[k - 1] + parts[k], NEVER)
         return parts
 
     def fit(self, a: str, b: str) -> bool:
@@ -117,18 +125,13 @@ class Vocabulary:
         """Ids of a unit of space marks and a word, remembered if it is short."""
         found = self.known.get(text)
         if found is None:
-            found = np.array(self._unit(text), self.dtype).tobytes()
+            found = np.array(self._path(text), self.dtype).tobytes()
             if len(text) <= LONGEST_UNIT:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[text] = found
         return found
 
-    def _unit(self, text: str) -> list[int]:
-        if self.encoder is not None and text[0] == MARK:  # the library puts one mark before what it gets
-            return self.encoder.encode(text[1:].replace(MARK, " ")) if len(text) > 1 else self._path(text)
-        return self._path(text)
-
     def _path(self, text: str) -> list[int]:
         if self.kind == "bpe" and len(text) <= LONGEST_UNIT:
             return [i for p in self.merge(text) for i in self.to_ids(p)]
@@ -161,7 +164,6 @@ def restored(text: str) -> str:
 def vocabulary(path: str = MODEL) -> Vocabulary:
     from pathlib import Path
 
-    import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
 
     model = proto.ModelProto()
@@ -173,7 +175,7 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     usual = {model.SentencePiece.NORMAL, model.SentencePiece.USER_DEFINED}
     byte_ids = [i for i, p in enumerate(model.pieces) if p.type == model.SentencePiece.BYTE]
     special = frozenset(i for i, p in enumerate(model.pieces) if p.type not in usual)
-    return Vocabulary([p.piece for p in model.pieces], [p.score for p in model.pieces], kind, max(0, trained.unk_id), byte_ids, special, sentencepiece.SentencePieceProcessor(model_file=path))
+    return Vocabulary([p.piece for p in model.pieces], [p.score for p in model.pieces], kind, max(0, trained.unk_id), byte_ids, special)
 
 
 # The max-plus algebra.
@@ -324,12 +326,18 @@ class Chunk:
 
 
 def chunks_of(text: str, size: int, margin: int) -> list[Chunk]:
-    n = len(text)
-    return [Chunk(text[max(0, s - margin) : min(n, s + size + margin)], max(0, s - margin), s, min(n, s + size), s + size >= n) for s in range(0, n, size)]
+    return [chunk_at(text, s, size, margin) for s in range(0, len(text), size)]
+
+
+def product(matrices: list[Matrix]) -> Matrix:
+    """All of them in order, pairwise: any grouping gives the same."""
+    while len(matrices) > 1:
+        matrices = [multiply(matrices[i], matrices[i + 1]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
 
 
-def best_states(matrices: list[Matrix]) -> list[State]:
-    """States of the best path at every boundary, the start and the end included.
+def best_states(matrices: list[Matrix], entry: State = START, end: State | None = None) -> list[State]:
+    """States of the best path from `entry` to `end` (the best one there is) at every boundary, both included.
 
     Products are formed pairwise up a tree and the choice goes down again: the work can be shared out at every level.
     """
@@ -337,8 +345,7 @@ def best_states(matrices: list[Matrix]) -> list[State]:
     while len(levels[-1]) > 1:
         below = levels[-1]
         levels.append([multiply(below[i], below[i + 1]) if i + 1 < len(below) else below[i] for i in range(0, len(below), 2)])
-    whole = levels[-1][0][START]
-    bounds = [START, max((w, s) for s, w in whole.items())[1]]
+    bounds = [entry, end if end is not None else max((w, s) for s, w in levels[-1][0][entry].items())[1]]
     for below in reversed(levels[:-1]):
         finer = [bounds[0]]
         for i in range(0, len(below), 2):
@@ -350,111 +357,183 @@ def best_states(matrices: list[Matrix]) -> list[State]:
     return bounds
 
 
-def encode_chunked(v: Vocabulary, text: str, size: int) -> bytes:
+def scanned(matrices: list[Matrix], fan: int) -> list[State]:
+    """The same by two levels, as the tasks do it."""
+    parts = [matrices[i : i + fan] for i in range(0, len(matrices), fan)]
+    bounds = best_states([product(p) for p in parts])
+    inner = [best_states(p, bounds[i], bounds[i + 1])[:-1] for i, p in enumerate(parts)]
+    return [s for p in inner for s in p] + bounds[-1:]
+
+
+def encode_chunked(v: Vocabulary, text: str, size: int, fan: int = FAN) -> bytes:
     """The scan in one process, as the tests use it."""
     if not text:
         return b""
     chunks = chunks_of(text, size, v.longest)
-    states = best_states([c.matrix(v) for c in chunks])
+    states = scanned([c.matrix(v) for c in chunks], fan)
     return b"".join(c.backtrace(v, a, b) for c, a, b in zip(chunks, states, states[1:], strict=False))
 
 
-def digest_parts(ids: np.ndarray) -> tuple[int, int]:
-    """Sum of the ids, and of each times its place from 1, both modulo DIGEST; a later stretch adds its places' offset."""
-    x = ids.astype(np.int64)
+def digest_parts(values: np.ndarray) -> tuple[int, int]:
+    """Sum of the values, and of each times its place from 1, both modulo DIGEST; a later stretch adds its places' offset."""
+    x = values.astype(np.int64)
     places = np.arange(1, len(x) + 1, dtype=np.int64) % DIGEST
     return int(x.sum() % DIGEST), int((places * x % DIGEST).sum() % DIGEST)
 
 
-CHUNK = ["text", "offset", "start", "end", "last"]
-PART = "n_tokens long, ids_sum long, ids_weighted long, exact boolean, ids array<int>"
+CHUNK, STATE = ["text", "offset", "start", "end", "last"], ["s0", "s1", "e0", "e1"]
+PART = "n_tokens long, ids_sum long, ids_weighted long, n_decoded long, text_sum long, text_weighted long, exact boolean, ids array<int>"
+NAMES = [x.split()[0] for x in PART.split(", ")]
 
 
 def part(v: Vocabulary, ids: bytes, wanted: str, first: bool, with_ids: bool) -> tuple:
+    """PART of a chunk: its ids and their digest, the text that they decode to as a digest of its code points, and
+    whether that is the wanted one."""
     array = np.frombuffer(ids, v.dtype)
-    total, weighted = digest_parts(array)
     text = v.decode(ids)
-    return len(array), total, weighted, (restored(text) if first else text) == wanted, array.astype(np.int32) if with_ids else None
+    text = restored(text) if first else text
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return len(array), *digest_parts(array), len(points), *digest_parts(points), text == wanted, array.astype(np.int32) if with_ids else None
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, chunk_chars: int = CHUNK_CHARS, with_ids: bool = True) -> DataFrame:
-    """Rows of (key, chunk, first, n_tokens, ids_sum, ids_weighted, exact, ids), in `chunk` order for each document.
+def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, chunk_chars: int = CHUNK_CHARS, with_ids: bool = True, fan: int = FAN) -> DataFrame:
+    """Rows of (row, key, chunk, first, first_char, PART), in `chunk` order for each row of `docs`.
 
     A document of up to `chunk_chars` characters is one chunk; larger ones go through the max-plus scan, and no task has
-    to hold one of those whole but the one that reads it. `first` counts the ids before the chunk. `exact` tells that
+    to hold one of those whole but the one that reads it. `first` and `first_char` count the ids and the decoded characters
+    before the chunk. `exact` tells that
     decoding gives the text back; a text with the space mark itself in it comes back with spaces. Null and empty texts
-    give one chunk without ids. Keys may repeat: rows are told apart by a number that the written input keeps.
+    give one chunk without ids. Keys may be null or repeat: `row` numbers the rows of `docs`. Other columns of `docs` are
+    left out, whatever their names. An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    key_type = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType.simpleString()
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    columns = ["row", "k", "chunk", "first", "first_char", *NAMES]
+    out = f"row long, k {kind}, chunk int, first long, first_char long, {PART}"
 
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, names = vocabulary(path), ["k", "chunk", "first", "n_tokens", "ids_sum", "ids_weighted", "exact", "ids"]
+        v = vocabulary(path)
         for batch in batches:
             rows, held = [], 0
-            for k, t in batch.itertuples(index=False, name=None):
-                rows.append((k, 0, 0, *part(v, v.encode(normalised(t or "")), t or "", True, with_ids)))
-                held += rows[-1][3]
+            for row, k, t in batch.itertuples(index=False, name=None):
+                rows.append((row, k, 0, 0, 0, *part(v, v.encode(normalised(t or "")), t or "", True, with_ids)))
+                held += rows[-1][5]
                 if held >= TOKENS_AT_ONCE:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=columns)
+        v.fits.clear()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         margin = vocabulary(path).longest
         for batch in batches:
             for row, k, t in batch.itertuples(index=False, name=None):
-                whole = normalised(t)
+                whole, rows, held = normalised(t), [], 0
                 for i in range(0, len(whole), chunk_chars):
-                    c = chunks_of_one(whole, i, chunk_chars, margin)
-                    yield pd.DataFrame({"row": [row], "k": [k], "chunk": [i // chunk_chars], "text": [c.text], "offset": [c.offset], "start": [c.start], "end": [c.end], "last": [c.last]})
+                    c = chunk_at(whole, i, chunk_chars, margin)
+                    rows.append((row, k, i // chunk_chars, -(-len(whole) // chunk_chars), c.text, c.offset, c.start, c.end, c.last))
+                    held += len(c.text)
+                    if held >= TOKENS_AT_ONCE:
+                        yield pd.DataFrame(rows, columns=["row", "k", "chunk", "n_chunks", *CHUNK])
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=["row", "k", "chunk", "n_chunks", *CHUNK])
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for batch in batches:
             packed = [pack(Chunk(*c).matrix(v)) for c in batch[CHUNK].itertuples(index=False, name=None)]
-            yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "matrix": packed})
+            yield pd.DataFrame({"row": batch["row"], "stretch": batch["chunk"] // fan, "chunk": batch["chunk"], "n_chunks": batch["n_chunks"], "matrix": packed})
+
+    def stretches(rows: pd.DataFrame, at: str) -> Iterator[tuple[tuple, list[Matrix], pd.DataFrame]]:
+        for key, part in rows.sort_values(["row", "stretch", at]).groupby(["row", "stretch"]):
+            yield key, [unpack(x) for x in part["matrix"]], part
+
+    def combine(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(row, 0, n, pack(product(m))) for (row, n), m, _ in stretches(rows, "chunk")], columns=["row", "stretch", "chunk", "matrix"])
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        states = best_states([unpack(x) for x in rows["matrix"]])
-        return pd.DataFrame([(r, n, *a, *b) for r, n, a, b in zip(rows["row"], rows["chunk"], states, states[1:], strict=False)], columns=["row", "chunk", "s0", "s1", "e0", "e1"])
+        """The states of each of a stretch's matrices: between the bounds it has, or from the start to the best end."""
+        out = []
+        for (row, _), m, part in stretches(rows, "chunk"):
+            bounds = tuple(int(part[c].iloc[0]) for c in STATE) if STATE[0] in part else None
+            states = best_states(m, bounds[:2], bounds[2:]) if bounds else best_states(m)
+            out += [(row, n, *a, *b) for n, a, b in zip(part["chunk"], states, states[1:], strict=False)]
+        return pd.DataFrame(out, columns=["row", "chunk", *STATE])
+
+    def dealt(rows: DataFrame, n: int, *by: str):  # noqa: ANN202
+        """Groups of stretches, of about `fan` matrices in all."""
+        groups = max(1, n // fan)
+        tasks = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return rows.withColumn("group", F.pmod(F.xxhash64(*by), F.lit(groups))).repartition(tasks, "group").groupBy("group")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for batch in batches:
-            out = []
+            rows = []
             for row, k, n, s0, s1, e0, e1, *c in batch[["row", "k", "chunk", "s0", "s1", "e0", "e1", *CHUNK]].itertuples(index=False, name=None):
                 chunk = Chunk(*c)
                 ids = chunk.backtrace(v, (s0, s1), (e0, e1))
                 wanted = chunk.text[s1 - chunk.offset : e1 - chunk.offset].replace(MARK, " ")
-                out.append((row, k, n, 0, *part(v, ids, wanted[1:] if n == 0 else wanted, n == 0, with_ids)))
-            yield pd.DataFrame(out, columns=["row", "k", "chunk", "first", "n_tokens", "ids_sum", "ids_weighted", "exact", "ids"])
-
-    long = F.char_length(F.coalesce(F.col(text), F.lit(""))) > chunk_chars - 1
-    out = f"k {key_type}, chunk int, first long, {PART}"
-    done = docs.where(~long).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(small, out)
-    giants = docs.where(long).select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
-    rows = materialize(giants.mapInPandas(cut, f"row long, k {key_type}, chunk int, text string, offset long, start long, end long, last boolean"), "piece-chunks")
-    spread = rows.repartition("row", "chunk")
-    # A matrix has the few states of a boundary on each side, so those of one document go to one task.
-    states = materialize(spread.mapInPandas(matrices, "row long, chunk int, matrix binary").groupBy("row").applyInPandas(choose, "row long, chunk int, s0 long, s1 long, e0 long, e1 long"), "piece-states")
-    traced = spread.join(states, ["row", "chunk"]).mapInPandas(trace, f"row long, {out}")
-    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("row").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    traced = traced.withColumn("first", before).drop("row")
+                rows.append((row, k, n, 0, 0, *part(v, ids, wanted[1:] if n == 0 else wanted, n == 0, with_ids)))
+            yield pd.DataFrame(rows, columns=columns)
+
+    long = F.char_length(F.coalesce("t", F.lit(""))) > chunk_chars - 1
+    done = numbered.where(~long).mapInPandas(tidy(small), out)
+    chunks = numbered.where(long).mapInPandas(tidy(cut), f"row long, k {kind}, chunk int, n_chunks int, text string, offset long, start long, end long, last boolean")
+    # The chunks of one document are dealt out before they are written, so each table below reads them in any task.
+    rows = materialize(chunks.repartition("row", "chunk"), "piece-chunks")
+    leaves = materialize(rows.mapInPandas(tidy(matrices), "row long, stretch int, chunk int, n_chunks int, matrix binary"), "piece-matrices")
+    chosen = "row long, chunk int, " + ", ".join(f"{c} long" for c in STATE)
+    n, low, high = leaves.agg(F.count(F.lit(1)), F.min("n_chunks"), F.max("n_chunks")).first()
+    found = []
+    if n and low <= fan:
+        found.append(dealt(leaves.where(F.col("n_chunks") <= fan), n, "row").applyInPandas(choose, chosen))
+    if n and high > fan:
+        several = leaves.where(F.col("n_chunks") > fan)
+        products = dealt(several, n, "row", "stretch").applyInPandas(combine, "row long, stretch int, chunk int, matrix binary")
+        bounds = materialize(dealt(products, n // fan, "row").applyInPandas(choose, chosen), "piece-bounds").withColumnRenamed("chunk", "stretch")
+        found.append(dealt(several.join(bounds, ["row", "stretch"]), n, "row", "stretch").applyInPandas(choose, chosen))
+    if not found:
+        return done.withColumnRenamed("k", key)
+    states = materialize(found[0].unionByName(found[1]) if len(found) > 1 else found[0], "piece-states")
+    traced = rows.join(states, ["row", "chunk"]).mapInPandas(tidy(trace), out)
+    before = lambda n: F.coalesce(F.sum(n).over(Window.partitionBy("row").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Rows of both branches are numbered by themselves: those of large documents are made negative.
+    traced = traced.withColumns({"first": before("n_tokens"), "first_char": before("n_decoded"), "row": -1 - F.col("row")})
     return done.unionByName(traced).withColumnRenamed("k", key)
 
 
-def chunks_of_one(text: str, start: int, size: int, margin: int) -> Chunk:
+def decode_documents(parts: DataFrame, key: str = "doc_id", path: str = MODEL) -> DataFrame:
+    """(row, key, chunk, text) of encoded `parts` with ids: their texts in `chunk` order give the document.
+
+    Each chunk is decoded by itself, so no document has to be whole anywhere. Null ids give an empty text.
+    """
+    ship(parts.sparkSession)
+    kind = parts.schema[key].dataType.simpleString()
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(path)
+        for batch in batches:
+            texts = [v.decode(np.array([] if ids is None else ids, v.dtype).tobytes()) for ids in batch["ids"]]
+            yield pd.DataFrame({"row": batch["row"], "k": batch["k"], "chunk": batch["chunk"], "text": [restored(t) if n == 0 else t for t, n in zip(texts, batch["chunk"], strict=True)]})
+
+    return parts.select("row", F.col(f"`{key}`").alias("k"), "chunk", "ids").mapInPandas(tidy(decode), f"row long, k {kind}, chunk int, text string").withColumnRenamed("k", key)
+
+
+def chunk_at(text: str, start: int, size: int, margin: int) -> Chunk:
     n = len(text)
     low = max(0, start - margin)
     return Chunk(text[low : min(n, start + size + margin)], low, start, min(n, start + size), start + size >= n)
 
 
 def op8_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = encode_documents(docs, with_ids=False)
-    weighted = (F.col("ids_weighted") + (F.col("first") % DIGEST) * F.col("ids_sum")) % DIGEST
-    return parts.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), (F.sum("ids_sum") % DIGEST).alias("ids_sum"), (F.sum(weighted) % DIGEST).alias("ids_digest"), F.min("exact").alias("exact")
-    )
+    """For every row of `documents`: its chunks, tokens, digests of its ids and of the text they decode to, and whether
+    that is the text. Rows that repeat a doc_id stay apart; null and empty texts have no tokens. An empty table gives no
+    rows."""
+    parts = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+    shifted = lambda weighted, total, at: (F.col(weighted) + (F.col(at) % DIGEST) * F.col(total)) % DIGEST
+    return parts.groupBy("row", "doc_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), (F.sum("ids_sum") % DIGEST).alias("ids_sum"), (F.sum(shifted("ids_weighted", "ids_sum", "first")) % DIGEST).alias("ids_digest"),
+        (F.sum(shifted("text_weighted", "text_sum", "first_char")) % DIGEST).alias("text_digest"), F.min("exact").alias("exact"),
+    ).drop("row")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import kept_columns, released, ship, table, tidy
 
 #: Labelled rows used to fit, at most: those with the lowest md5 of their key.
 MAX_TRAIN = 6_000
@@ -28,7 +28,7 @@ HASHED, BINS = 4_096, 8
 RANK, EPOCHS, BATCH, RATE, DECAY = 6, 14, 128, 0.02, 1e-4
 METADATA = ("n_chars",)
 #: Words whose place a worker remembers, at most.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 STATISTICS = ("words", "word_length", "distinct", "upper", "digits", "points", "symbols", "spaces", "lines", "repeated_lines", "repeated_pairs", "longest_word", "non_ascii", "commonest_word")
 
 _places: dict[str, int] = {}
@@ -155,37 +155,54 @@ def is_held_out(key: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
+def known(docs: DataFrame, metadata: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{m}`").cast("double") if m in docs.columns else F.lit(None).cast("double") for m in metadata]
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = METADATA, max_train: int = MAX_TRAIN) -> Machine:
-    """Fit on `max_train` labelled rows at most whose key is not held out. Null labels and texts without label don't count."""
+    """Fit on `max_train` labelled rows at most whose key is not held out. Null labels and texts without label don't count.
+
+    Metadata that `docs` lacks count as null. Where keys repeat, the rows with the lowest keys are taken, and no more than
+    `max_train` come to the driver. Without labelled rows of both kinds the score is a constant.
+    """
     ship(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_held_out(F.col(key))).select(F.col(key), F.col(label).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.md5(F.col(key).cast("string")), key, "_label").limit(max_train)
-    rows = docs.select(key, F.col(text).alias("_text"), *[F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(metadata)]).join(F.broadcast(chosen), key)  # max_train rows at most
+    rows = docs.select(key, F.col(text).alias("_text"), *[c.alias(f"_m{i}") for i, c in enumerate(known(docs, metadata))]).join(F.broadcast(chosen), key)  # max_train rows at most
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [features(t, m) for t, *m in batch[["_text", *[f"_m{i}" for i in range(len(metadata))]]].itertuples(index=False)]
             yield pd.DataFrame({"k": batch[key].astype(str), "y": batch["_label"], "a": [x[0].tobytes() for x in out], "v": [x[1].tobytes() for x in out], "s": [x[2].tobytes() for x in out]})
 
-    found = rows.mapInPandas(extract, "k string, y int, a binary, v binary, s binary").toPandas().sort_values(["k", "y", "a"], kind="stable").head(max_train)
+    found = rows.mapInPandas(tidy(extract), "k string, y int, a binary, v binary, s binary").orderBy("k", "y", "a", "v", "s").limit(max_train).toPandas()
     parsed = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), np.frombuffer(s, np.float32)) for a, v, s in zip(found.a, found.v, found.s, strict=True)]
     return fit(parsed, found.y.to_numpy(np.float32))
 
 
 def score_documents(docs: DataFrame, machine: Machine, text: str = "text", metadata: tuple[str, ...] = METADATA, out: str = "score") -> DataFrame:
-    """`docs` with the score appended. Each row is scored whole and by itself; a column `out` is replaced."""
+    """`docs` with the score appended. Each row is scored whole and by itself, null and empty texts too.
 
+    Metadata that `docs` lacks count as null. An empty table stays empty. A column `out` is replaced, whatever its case;
+    names that differ in case only are refused (ValueError).
+    """
     ship(docs.sparkSession)
+    kept = kept_columns(docs, out)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for texts, *known in batches:
-            yield pd.Series([machine.score(t, m) for t, *m in zip(texts, *known, strict=True)], index=texts.index, dtype="float64")
+        try:
+            for texts, *values in batches:
+                yield pd.Series([machine.score(t, m) for t, *m in zip(texts, *values, strict=True)], index=texts.index, dtype="float64")
+        finally:
+            released(_places)
 
-    return docs.withColumn(out, score(F.col(text), *[F.col(m).cast("double") for m in metadata]))
+    return docs.select(*[F.col(f"`{c}`") for c in kept], score(F.col(f"`{text}`"), *known(docs, metadata)).alias(out))
 
 
 def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of `documents`: null and empty texts have the score of a text
+    without words, repeated rows the same one each, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import kept_columns, materialize, own, own_name, table
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -82,20 +82,19 @@ def document_features(docs: DataFrame, text: str = "text", lang: str = "lang", w
     A null text counts as empty. No word is compared across documents and nothing is shuffled. Sorting the windows of a
     text takes n log n in its words. Columns of the same names in `docs` are replaced.
     """
-    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_counts", "word_counts", text}
-    kept = [c for c in docs.columns if c not in own]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    kept = kept_columns(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_counts", "word_counts", text)
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{lang}`").alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD))
     df = df.withColumns({"_w": F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), "_lines": lines, "_l": F.split(F.lower("_t"), rf"[\x20\x09-\x0D{POINTS_AS_GAPS}]+")})
     n = F.size("_w")
     pack = lambda i: F.xxhash64(F.col("_w")[i], F.col("_w")[i + 1], F.col("_w")[i + 2]).bitwiseAND(~((1 << PLACE_BITS) - 1)).bitwiseOR(i.cast("long"))
-    common = reduce(lambda rest, one: F.when(F.col(lang) == one, F.filter("_l", lambda w: w.isin(*words[one]))).otherwise(rest), words, F.lit(None).cast("array<string>"))
+    common = reduce(lambda rest, one: F.when(F.col("lang") == one, F.filter("_l", lambda w: w.isin(*words[one]))).otherwise(rest), words, F.lit(None).cast("array<string>"))
     # Cutting out what is rare is the cheapest way to count it.
     removed = {name: F.char_length(F.regexp_replace("_t", chars, "")).cast("long").alias(name) for name, chars in (("_symbols", one_of(SYMBOLS)), ("_points", one_of(POINTS)), ("_digits", "[0-9]+"), ("_upper", "[A-Z]+"))}
     removed = {"_spaces": F.char_length(without(F.col("_t"), SPACES)).cast("long").alias("_spaces")} | removed
     size, octets = F.char_length("_t").cast("long"), F.octet_length("_t").cast("long")
     df = df.select(
-        *[F.col(f"`{c}`") for c in kept], "_w", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), pack))).alias("_p"), common.alias("_common"), size.alias("_chars"), octets.alias("_octets"),
+        "row", "lang", "_w", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), pack))).alias("_p"), common.alias("_common"), size.alias("_chars"), octets.alias("_octets"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), (F.size("_l") - F.size(F.array_remove("_l", ""))).alias("_gaps"), F.size("_l").alias("_plain"),
         *removed.values(),
     )
@@ -105,8 +104,8 @@ def document_features(docs: DataFrame, text: str = "text", lang: str = "lang", w
     letters = F.col("_chars") - spaces - symbols - points - digits - upper
     class_counts = F.array(letters, upper, digits, spaces, points, symbols, F.col("_octets") - F.col("_chars"))
     tally = lambda one: F.array(*[(F.size("_common") - F.size(F.array_remove("_common", w))).cast("long") for w in words[one]], (F.col("_plain") - F.col("_gaps") - F.size("_common")).cast("long"))
-    word_counts = reduce(lambda rest, one: F.when(F.col(lang) == one, tally(one)).otherwise(rest), words, F.lit(None).cast("array<bigint>"))
-    df = df.select(*[F.col(f"`{c}`") for c in kept], n.cast("long").alias("n_words"), F.col("_spaces").alias("word_chars"), symbols.alias("n_symbols"), "n_dup_lines", covered.cast("long").alias("n_repeat_words"), class_counts.alias("class_counts"), word_counts.alias("word_counts"))
+    word_counts = reduce(lambda rest, one: F.when(F.col("lang") == one, tally(one)).otherwise(rest), words, F.lit(None).cast("array<bigint>"))
+    df = df.select("row.*", n.cast("long").alias("n_words"), F.col("_spaces").alias("word_chars"), symbols.alias("n_symbols"), "n_dup_lines", covered.cast("long").alias("n_repeat_words"), class_counts.alias("class_counts"), word_counts.alias("word_counts"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 
@@ -121,12 +120,12 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def language_references(features: DataFrame, lang: str = "lang") -> DataFrame:
-    """(language, class_reference, word_reference): the summed histograms, a row for each language."""
+    """The summed histograms, a row for each language: its name and both of them, in columns of the operator's own."""
     used = features.where(~F.col("base_failed") & (F.col("n_words") >= COMPARE_WORDS) & F.col(lang).isNotNull())
     most = max(len(w) for w in COMMON_WORDS.values()) + 1
     sums = [F.sum(F.get("class_counts", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("word_counts", F.lit(i))).alias(f"w{i}") for i in range(most)]
     seen = lambda c, n: F.filter(F.array(*[F.col(f"{c}{i}") for i in range(n)]), lambda x: x.isNotNull())
-    return used.groupBy(F.col(lang).alias("_lang")).agg(*sums).select("_lang", seen("c", len(CLASSES)).alias("class_reference"), seen("w", most).alias("word_reference"))
+    return used.groupBy(F.col(f"`{lang}`").alias(own_name("lang"))).agg(*sums).select(own_name("lang"), seen("c", len(CLASSES)).alias(own_name("class")), seen("w", most).alias(own_name("word")))
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -134,21 +133,25 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> Da
 
     Null and empty texts have no words and fail the base rules. A document of fewer than COMPARE_WORDS words, or of a
     null or unknown language, or of one without any reference, is kept if it passes the base rules. Its distances are
-    null where nothing is compared.
+    null where nothing is compared. Repeated rows are judged each, and an empty table stays empty. Columns that are named
+    like an output are replaced, whatever their case; names that differ in case only are refused (ValueError).
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept_columns(docs, "class_distance", "word_distance", "kept")])
     features = materialize(document_features(docs, text, lang), "quality-features")
     references = materialize(language_references(features, lang), "quality-references")
     if references.count() <= BROADCAST_LANGUAGES:
         references = F.broadcast(references)
-    joined = features.join(references, F.col(lang) == F.col("_lang"), "left")
+    joined = features.join(references, F.col(f"`{lang}`") == own("lang"), "left")
     long_enough = F.col("n_words") >= COMPARE_WORDS
     # Both histograms of a row come from its own language's lists, so their lengths agree.
-    joined = joined.withColumn("class_distance", F.when(long_enough, divergence(F.col("class_counts"), F.col("class_reference"))))
-    joined = joined.withColumn("word_distance", F.when(long_enough, divergence(F.col("word_counts"), F.col("word_reference"))))
+    joined = joined.withColumn("class_distance", F.when(long_enough, divergence(F.col("class_counts"), own("class"))))
+    joined = joined.withColumn("word_distance", F.when(long_enough, divergence(F.col("word_counts"), own("word"))))
     odd = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return joined.withColumn("kept", ~F.col("base_failed") & ~odd).drop("_lang", "class_reference", "word_reference")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~odd).drop(*map(own_name, ("lang", "class", "word")))
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base_failed, distances and kept of every row of `documents`. Null and empty texts have no words and fail,
+    repeated rows are judged each, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return judge_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 9).alias("class_distance"), F.round("word_distance", 9).alias("word_distance"))

@@ -10,7 +10,7 @@ import xxhash
 #: Words of a shingle.
 SIZE = 5
 #: Words whose hash a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"\w+")
 

@@ -1,9 +1,10 @@
 """Token counts, and totals by source, language and tokenizer version that signed changes keep up to date.
 
 A change is a row with a sign: +1 for what a batch adds, -1 for what it takes back; a revised count is one of each. A
-batch is summed to one row for each group and written as its own folder; the writer's success mark, which comes last,
-commits it. A batch that is applied again, after a failure or by mistake, finds its mark and changes nothing. Totals are
-the sum of the committed batches; compaction folds those into a base.
+batch is summed to one row for each group and written by each attempt into a folder of its own; the writer's success
+mark, which comes last, commits it. Of a batch that was written by several attempts, at once or again after a failure,
+one committed attempt counts: the one with the least name. Totals are the sum of the committed batches; compaction folds
+those into a base that names them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_dir, ship, table
+from .common import kept_columns, materialize, scratch_dir, ship, table, tidy
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting pattern of byte-level BPE.
@@ -56,8 +57,12 @@ def pieces(text: str) -> Iterator[str]:
 
 
 def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", path: str = TOKENIZER) -> DataFrame:
-    """`docs` with the tokens of the whole text; null and empty texts have 0. A column `out` is replaced."""
+    """`docs` with the tokens of the whole text; null and empty texts have 0, repeated rows the same each.
+
+    A column `out` is replaced, whatever its case; names that differ in case only are refused (ValueError).
+    """
     ship(docs.sparkSession)
+    kept = kept_columns(docs, out)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = tokenizer(path).encode_ordinary
@@ -65,7 +70,7 @@ def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", pat
             yield pd.Series([sum(len(encode(p)) for p in pieces(t)) if t else 0 for t in batch], index=batch.index, dtype="int64")
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(out, F.pandas_udf(count, T.LongType())(F.col(text)))
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.pandas_udf(tidy(count), T.LongType())(F.col(f"`{text}`")).alias(out))
 
 
 def inserted(counts: DataFrame) -> DataFrame:
@@ -90,71 +95,101 @@ def changes(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFra
 class Rollup:
     """Totals below one folder, on any file system that Spark writes to."""
 
+    SCHEMA = T.StructType([T.StructField(g, T.StringType()) for g in GROUPS] + [T.StructField(s, T.LongType()) for s in SUMS])
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _committed(self, pattern: str) -> list[str]:
-        """Names of the folders that have a success mark."""
+        """Folders below the path that have a success mark, in order."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}/_SUCCESS")
         found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []
-        return sorted(x.getPath().getParent().getName() for x in found)
+        depth = pattern.count("/") + 1
+        return sorted("/".join(x.getPath().getParent().toString().split("/")[-depth:]) for x in found)
+
+    def _attempts(self) -> dict[str, str]:
+        """The folder that counts, by batch."""
+        found: dict[str, str] = {}
+        for folder in self._committed("deltas/batch=*/attempt=*"):
+            found.setdefault(folder.split("/")[1].partition("=")[2], folder)
+        return found
+
+    def _versions(self) -> list[int]:
+        return sorted(int(x.split("/")[1].partition("=")[2]) for x in self._committed("base/version=*/totals"))
 
     def batches(self) -> list[str]:
-        return [x.partition("=")[2] for x in self._committed("deltas/batch=*")]
+        """Names of the committed batches."""
+        return sorted(self._attempts())
 
     def apply(self, batch: str, signed: DataFrame) -> bool:
         """Sum and commit a batch of signed rows (GROUPS, n_tokens, n_chars, sign); False if it was committed before.
 
-        Null groups are groups of their own; null counts add nothing. An empty batch is committed, too. What a failed
-        attempt has left is overwritten. Rows are summed before they are shuffled, so one source may have most of them.
+        Null groups are groups of their own; null counts add nothing. An empty batch is committed, too. Rows are summed
+        before they are shuffled, so one source may have most of them. Two writers may apply one batch at once.
         """
         if not batch or not all(c.isalnum() or c in "-_." for c in batch):
             raise ValueError(f"a batch's name has letters, digits and -_. only: {batch!r}")
-        if batch in self.batches():
+        if batch in self._attempts():
             return False
         sums = signed.groupBy(*GROUPS).agg(F.sum(F.col("sign").cast("long")).alias("n_docs"), *[F.sum(F.col("sign") * F.coalesce(F.col(c), F.lit(0)).cast("long")).alias(c) for c in SUMS[1:]])
-        sums.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        sums.write.parquet(f"{self.path}/deltas/batch={batch}/attempt={uuid4().hex}")
         return True
 
-    def totals(self) -> DataFrame:
-        """Totals of all committed batches; groups that have come down to nothing are left out."""
-        bases = self._committed("base/version=*/totals")
-        versions = sorted(int(x.rpartition("=")[2]) for x in self._versions()) if bases else []
-        schema = T.StructType([T.StructField(g, T.StringType()) for g in GROUPS] + [T.StructField(s, T.LongType()) for s in SUMS])
-        read = self.spark.read.schema(schema)
-        folded: set[str] = set()
-        parts = []
-        if versions:
-            base = f"{self.path}/base/version={versions[-1]}"
-            folded = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{base}/batches").collect()}
-            parts.append(read.parquet(f"{base}/totals"))
-        if rest := [b for b in self.batches() if b not in folded]:
-            parts.append(read.parquet(*[f"{self.path}/deltas/batch={b}" for b in rest]))
-        all_parts = parts[0] if parts else self.spark.createDataFrame([], schema)
-        for p in parts[1:]:
-            all_parts = all_parts.unionByName(p)
-        summed = all_parts.groupBy(*GROUPS).agg(*[F.sum(s).alias(s) for s in SUMS])
+    def _folded(self, version: int) -> set[str]:
+        return {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/base/version={version}/batches").collect()}
+
+    def _sum(self, versions: list[int], attempts: dict[str, str]) -> DataFrame:
+        """The last base and the attempts that are not in it."""
+        folded = self._folded(versions[-1]) if versions else set()
+        folders = [f"base/version={versions[-1]}/totals"] if versions else []
+        folders += [f for b, f in attempts.items() if b not in folded]
+        parts = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], self.SCHEMA)
+        summed = parts.groupBy(*GROUPS).agg(*[F.sum(s).alias(s) for s in SUMS])
         return summed.where(" or ".join(f"{s} <> 0" for s in SUMS))
 
-    def _versions(self) -> list[str]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/base/version=*/totals/_SUCCESS")
-        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []
-        return [x.getPath().getParent().getParent().getName() for x in found]
+    def totals(self) -> DataFrame:
+        """Totals of all committed batches; groups that have come down to nothing are left out."""
+        return self._sum(self._versions(), self._attempts())
 
     def compact(self) -> int:
-        """Fold the committed batches into a new base, whose totals are written last; returns its version."""
-        version = max([0, *[int(x.partition("=")[2]) for x in self._versions()]]) + 1
-        names = self.batches()
+        """Fold the batches that are committed now into a new base, whose totals are written last; returns its version.
+
+        Names and totals come from one listing, so a batch that is committed meanwhile is in neither and still counts.
+        """
+        versions, attempts = self._versions(), self._attempts()
+        version = max([0, *versions]) + 1
         base = f"{self.path}/base/version={version}"
+        names = sorted({*attempts, *(self._folded(versions[-1]) if versions else ())})
         self.spark.createDataFrame([(b,) for b in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{base}/batches")
-        self.totals().write.mode("overwrite").parquet(f"{base}/totals")
+        self._sum(versions, attempts).write.mode("overwrite").parquet(f"{base}/totals")
         return version
 
 
+def earlier(counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A snapshot of counts before `counts`, by a rule on the keys' remainder by 10, so that there is something to keep
+    up with: 3 had not come yet, 5 had three tokens and nine characters more, 7 had a twin that is gone since, and 8
+    belonged to another source. Null keys are as they are now."""
+    rest = F.coalesce(F.pmod(F.col(key), F.lit(10)), F.lit(0))
+    longer = F.when(rest == 5, 1).otherwise(0)
+    before = counts.where(rest != 3).withColumns({"n_tokens": F.col("n_tokens") + 3 * longer, "n_chars": F.col("n_chars") + 9 * longer, "source": F.when(rest == 8, F.lit("moved")).otherwise(F.col("source"))})
+    return before.unionByName(counts.where(rest == 7).withColumn(key, -1 - F.col(key)))
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of `documents` by source, language and tokenizer version, after a first snapshot (`earlier`) was loaded,
+    folded, and revised by a batch of signed changes, which is delivered twice.
+
+    Null and empty texts count as documents without tokens, repeated rows count each, null sources and languages are
+    groups of their own, and an empty table has no totals.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    counts = count_tokens(docs).select("doc_id", "source", "lang", F.lit(tokenizer_version()).alias("tokenizer"), "n_tokens", F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+    counts = count_tokens(docs).select("doc_id", "source", "lang", F.lit(tokenizer_version()).alias("tokenizer"), "n_tokens", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    counts = materialize(counts, "token-counts")
+    before = earlier(counts)
     rollup = Rollup(spark, f"{scratch_dir(spark)}/veilscan-scratch/token-rollup-{uuid4().hex}")
-    rollup.apply("load", inserted(counts))
-    rollup.apply("load", inserted(counts))  # delivered twice, counted once
+    rollup.apply("load", inserted(before))
+    rollup.compact()
+    revision = materialize(changes(before, counts), "token-changes")
+    rollup.apply("revision", revision)
+    rollup.apply("revision", revision)  # delivered twice, counted once
     return rollup.totals()

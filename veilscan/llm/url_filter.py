@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import kept_columns, materialize, table
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,8 @@ FOLDS = 4
 UNIT = 1_000_000_000
 #: Models up to so many rows are broadcast to the scoring join; larger ones are joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Distinct URLs whose grams one task takes apart.
+URLS_OF_A_TASK = 5_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -114,35 +116,36 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RUL
     """`pages` with host, path, rule, verdict, url_score (billionths a character; null if a rule decides) appended.
 
     Null or empty URLs score as the empty text, whose only character is the end mark. If the ruled URLs lack accepted
-    or rejected ones, the threshold is 0. Repeated rows get the same answer, each once. Columns of the same names in
-    `pages` are replaced.
+    or rejected ones, the threshold is 0. Repeated rows get the same answer, each once. An empty table stays empty.
+    Columns of the same names in `pages` are replaced, whatever their case; names that differ in case only are refused
+    (ValueError).
     """
-    own = {"host", "path", "rule", "verdict", "url_score"}
-    kept = [c for c in pages.columns if c not in own]
-    host, path = host_of(F.col(url)), path_of(F.col(url))
+    kept = kept_columns(pages, "host", "path", "rule", "verdict", "url_score")
+    host, path = host_of(F.col(f"`{url}`")), path_of(F.col(f"`{url}`"))
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host.alias("host"), path.alias("path"), scored_part(F.col(f"`{url}`")).alias("s"))
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    base = pages.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"host": host, "path": path})
-    ruled = base.withColumn("rule", name).withColumn("_rule_verdict", verdict).withColumn("_s", scored_part(F.col(url)))
+    ruled = base.withColumn("rule", name).withColumn("ruled", verdict)
 
-    texts = ruled.select("_s", "_rule_verdict").groupBy("_s", "_rule_verdict").agg(F.count(F.lit(1)).alias("m"))
-    held = F.crc32(F.encode(F.col("_s"), "UTF-8")) % FOLDS == 0
-    learn = lambda v: F.sum(F.when((F.col("_rule_verdict") == v) & ~F.col("held"), F.col("m")).otherwise(0))
+    texts = ruled.select("s", "ruled").groupBy("s", "ruled").agg(F.count(F.lit(1)).alias("m"))
+    held = F.crc32(F.encode(F.col("s"), "UTF-8")) % FOLDS == 0
+    learn = lambda v: F.sum(F.when((F.col("ruled") == v) & ~F.col("held"), F.col("m")).otherwise(0))
     texts = materialize(texts.withColumn("held", held), "url-texts")
-    counts = texts.select("_rule_verdict", "held", "m", F.explode(grams(F.col("_s"), order)).alias("gram")).groupBy("gram").agg(learn("allow").alias("na"), learn("block").alias("nr"))
+    # A URL becomes a hundred grams: its row goes to a task of few before that.
+    n = -(-texts.count() // URLS_OF_A_TASK) or 1
+    texts = materialize(texts.repartition(n, "s"), "url-parts") if n > 1 else texts
+    counts = texts.select("ruled", "held", "m", F.explode(grams(F.col("s"), order)).alias("gram")).groupBy("gram").agg(learn("allow").alias("na"), learn("block").alias("nr"))
     model = materialize(markov_model(materialize(counts, "url-grams"), order), "url-model")
     if model.count() <= BROADCAST_ROWS:
         model = F.broadcast(model)
 
-    each = texts.select("_s").distinct()
-    scores = each.select("_s", F.explode(grams(F.col("_s"), order)).alias("gram")).join(model, "gram").groupBy("_s").agg(F.floor(F.sum("llr") / F.count(F.lit(1))).alias("url_score"))
+    each = texts.select("s").distinct()
+    each = each.repartition(n, "s") if n > 1 else each
+    scores = each.select("s", F.explode(grams(F.col("s"), order)).alias("gram")).join(model, "gram").groupBy("s").agg(F.floor(F.sum("llr") / F.count(F.lit(1))).alias("url_score"))
     scores = materialize(scores, "url-scores")
-    threshold = calibrated(texts.where("held and _rule_verdict is not null").join(scores, "_s"))
-    judged = ruled.join(scores, "_s", "left")
+    threshold = calibrated(texts.where("held and ruled is not null").join(scores, "s"))
+    judged = ruled.join(scores, "s", "left")
     by_method = F.when(F.col("url_score") >= F.lit(threshold), "allow").otherwise("block")
-    return judged.select(
-        *[F.col(f"`{c}`") for c in kept], "host", "path", "rule", F.coalesce("_rule_verdict", by_method).alias("verdict"),
-        F.when(F.col("_rule_verdict").isNull(), F.col("url_score")).alias("url_score"),
-    )
+    return judged.select("row.*", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("url_score")).alias("url_score"))
 
 
 def calibrated(scores: DataFrame) -> int:
@@ -150,7 +153,7 @@ def calibrated(scores: DataFrame) -> int:
 
     One row for each class comes to the driver. Without either class: 0.
     """
-    stats = {r["_rule_verdict"]: r for r in scores.groupBy("_rule_verdict").agg((F.sum(F.col("m") * F.col("url_score")) / F.sum("m")).alias("mean"), (F.sum(F.col("m").cast("double") * F.col("url_score") * F.col("url_score")) / F.sum("m")).alias("square")).collect()}
+    stats = {r["ruled"]: r for r in scores.groupBy("ruled").agg((F.sum(F.col("m") * F.col("url_score")) / F.sum("m")).alias("mean"), (F.sum(F.col("m").cast("double") * F.col("url_score") * F.col("url_score")) / F.sum("m")).alias("square")).collect()}
     if not {"allow", "block"} <= stats.keys():
         return 0
     mean = {k: r["mean"] for k, r in stats.items()}
@@ -161,5 +164,7 @@ def calibrated(scores: DataFrame) -> int:
 
 
 def op2_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every row of `pages`. Null and empty URLs have empty hosts and paths and are judged
+    as empty texts, repeated rows each, an empty table gives no rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "url_score")

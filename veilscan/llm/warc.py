@@ -13,6 +13,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,11 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import kept_columns, ship, table, tidy
 
 DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 VERSION = "WARC/1.1"
+#: Bytes of records that are handed on at once.
+BYTES_AT_ONCE = 16_000_000
 DERIVED = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, block binary"
 
 #: Their content is no text; a title is none within a head.
@@ -37,10 +40,13 @@ IN_HEAD = re.compile(r"(?:\s|</?(?:meta|link|base|basefont|bgsound)\b[^>]*>|<[!?
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>", re.I)
 CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
 TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANGUAGE = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TITLE = re.compile(r"<title\b[^>]*>", re.I)
+HTML = re.compile(r"<html\b[^>]*>", re.I)
+LANGUAGE = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+LINKING = re.compile(r"<(a|link|img|script|iframe)\b[^>]*>", re.I)
+TARGET = re.compile(r"\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 START = re.compile(rb"^WARC/", re.M)
+CHUNK_SIZE = re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n")
 LINE = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -57,10 +63,36 @@ def one_line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value).strip()
 
 
+def closed_tags(markup: str) -> int:
+    """The place after the last `>`. Up to there every tag that begins also ends, so patterns of tags never look from
+    each `<` to the end of a page in vain: the time is in proportion to the page."""
+    return markup.rfind(">") + 1
+
+
+def title_of(markup: str, bound: int) -> str | None:
+    start = TITLE.search(markup, 0, bound)
+    end = start and CLOSES["title"].search(markup, start.end())
+    return html.unescape(LINE.sub(" ", markup[start.end() : end.start()])) if end else None
+
+
+def language_of(markup: str, bound: int) -> str | None:
+    tag = HTML.search(markup, 0, bound)
+    found = tag and LANGUAGE.search(markup, tag.start(), tag.end())
+    return found[1] if found else None
+
+
+def links_of(markup: str, bound: int) -> Iterator[tuple[str, str, str]]:
+    """(element, attribute, target) of each link: the first attribute of its tag that names one."""
+    for tag in LINKING.finditer(markup, 0, bound):
+        if found := TARGET.search(markup, tag.start(), tag.end()):
+            yield tag[1].lower(), found[1].lower(), html.unescape(found[2] or found[3] or found[4] or "")
+
+
 def audible(markup: str) -> str:
     """The markup without what is no text."""
     out, at, head, unclosed = [], 0, None, set()
-    while m := SILENT.search(markup, at):
+    bound = max(closed_tags(markup), markup.rfind("<!--") + 4)
+    while m := SILENT.search(markup, at, bound):
         name = (m[1] or "").lower()
         out.append(markup[at : m.start()])
         if head is not None and not IN_HEAD.fullmatch(markup, head, m.start()):
@@ -84,7 +116,9 @@ def audible(markup: str) -> str:
 
 def plain_text(markup: str) -> str:
     """The text that a reader sees: block elements break lines, cells become tabs, entities are decoded."""
-    text = TAG.sub("", CELL.sub("\t", BREAK.sub("\n", audible(markup))))
+    text = audible(markup)
+    bound = closed_tags(text)
+    text = TAG.sub("", CELL.sub("\t", BREAK.sub("\n", text[:bound]))) + text[bound:]
     lines = (LINE.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -113,6 +147,16 @@ class Response:
         status, *rest = head.decode("latin-1").split("\r\n")
         return cls(status, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest) if k}, payload)
 
+    def content(self) -> bytes:
+        """The payload without transfer and content encodings; as far as it goes where those are cut or malformed."""
+        data = self.payload
+        if "chunked" in self.headers.get("transfer-encoding", "").lower():
+            data = unchunked(data)
+        for coding in reversed(self.headers.get("content-encoding", "").lower().split(",")):
+            if coding.strip() in ("gzip", "x-gzip", "deflate"):
+                data = inflated(data)
+        return data
+
     @property
     def charset(self) -> str:
         m = re.search(r"charset=[\"']?([\w-]+)", self.headers.get("content-type", ""), re.I)
@@ -122,14 +166,72 @@ class Response:
             return "utf-8"
 
 
+def unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while m := CHUNK_SIZE.match(data, at):
+        n = int(m[1], 16)
+        if not n:
+            break
+        out.append(data[m.end() : m.end() + n])
+        at = m.end() + n + 2
+    return b"".join(out) if at else data
+
+
+def inflated(data: bytes) -> bytes:
+    """gzip or deflate, as far as it goes; what is neither stays as it is."""
+    for window in (47, -15):
+        reader = zlib.decompressobj(window)
+        try:
+            found = reader.decompress(data)
+        except zlib.error:
+            continue
+        if found or reader.eof:
+            return found
+    return data
+
+
+def members(data: bytes, passed: list[bytes] | None = None) -> Iterator[bytes]:
+    """Each gzip member's bytes, one at a time; plain data as they are. A cut member gives what it still holds, and data
+    that are no member end the file: they are put into `passed`."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    rest = data
+    while rest:
+        reader = zlib.decompressobj(31)
+        out: list[bytes] = []
+        try:
+            out.append(reader.decompress(rest))
+        except zlib.error:
+            reader = zlib.decompressobj(31)  # byte by byte up to the fault would be slow: by small stretches
+            try:
+                for i in range(0, len(rest), 512):
+                    out.append(reader.decompress(rest[i : i + 512]))
+            except zlib.error:
+                pass
+            if out:
+                yield b"".join(out)
+            if passed is not None:
+                passed.append(rest)
+            return
+        yield b"".join(out)
+        rest = reader.unused_data
+
+
+def parse_file(data: bytes, passed: list[bytes] | None = None) -> Iterator[Record]:
+    """All records of a WARC file, gzip or plain. Members are read one by one, and a record may not reach over two."""
+    for member in members(data, passed):
+        yield from parse_records(member, passed)
+
+
 def parse_records(data: bytes, passed: list[bytes] | None = None) -> Iterator[Record]:
-    """All records of a WARC file, gzip or plain.
+    """All records of a stretch of WARC data; gzip data are inflated whole first.
 
     After a cut or malformed record, reading goes on at the next line that starts one. Stretches that belong to no record
     are put into `passed`.
     """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = b"".join(members(data, passed))
     at = seek = 0
     skip = lambda stretch: passed.append(stretch) if passed is not None and stretch.strip(b"\r\n") else None
     while (found := START.search(data, seek)) or data.startswith(b"WARC/", seek):
@@ -161,13 +263,14 @@ def derived(source: Record) -> list[Record]:
         return []
     h = source.headers
     response = Response.parse(source.block)
-    markup = response.payload.decode(response.charset, "replace")
+    markup = response.content().decode(response.charset, "replace")
+    bound = closed_tags(markup)
     origin, payload_digest = h.get("WARC-Record-ID", ""), h.get("WARC-Payload-Digest") or digest(response.payload)
-    title, language = TITLE.search(markup), LANGUAGE.search(markup)
+    title, language = title_of(markup, bound), language_of(markup, bound)
     fields = [("source-record-id", origin), ("source-block-digest", h.get("WARC-Block-Digest") or digest(source.block)), ("source-payload-digest", payload_digest), ("http-status", response.status)]
     fields += [(f"http-header-{k}", v) for k, v in response.headers.items()]
-    fields += [("charset", response.charset)] + ([("language", language[1])] if language else []) + ([("title", html.unescape(LINE.sub(" ", title[1])))] if title else [])
-    fields += [("outlink", f"{html.unescape(m[3] or m[4] or m[5] or '')} {m[1].lower()}/@{m[2].lower()}") for m in LINK.finditer(markup)]
+    fields += [("charset", response.charset)] + ([("language", language)] if language else []) + ([("title", title)] if title is not None else [])
+    fields += [("outlink", f"{target} {element}/@{attribute}") for element, attribute, target in links_of(markup, bound)]
     metadata = "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields).encode("utf-8", "replace")
     text = plain_text(markup).encode("utf-8", "replace")
     out = []
@@ -177,9 +280,11 @@ def derived(source: Record) -> list[Record]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, headers, block) of all records in the WARC files at `path`, each file in one task.
+    """(file, n, headers, block) of all records in the WARC files at `path`, each file in one task, a gzip member at a
+    time.
 
-    Stretches that belong to no record follow as rows without headers.
+    Stretches that belong to no record follow as rows without headers: malformed records, the rest of a cut or damaged
+    file. Records before those are kept. A folder without files gives no rows.
     """
     ship(spark)
 
@@ -187,20 +292,31 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
                 passed: list[bytes] = []
-                found = [(r.headers, r.block) for r in parse_records(bytes(data), passed)] + [(None, x) for x in passed]
-                yield pd.DataFrame({"file": name, "n": range(len(found)), "headers": [h for h, _ in found], "block": [b for _, b in found]})
+                rows, n, held = [], 0, 0
+                for r in parse_file(bytes(data), passed):
+                    rows.append((name, n, r.headers, r.block))
+                    n, held = n + 1, held + len(r.block)
+                    if held >= BYTES_AT_ONCE:
+                        yield pd.DataFrame(rows, columns=["file", "n", "headers", "block"])
+                        rows, held = [], 0
+                rows += [(name, n + i, None, x) for i, x in enumerate(passed)]
+                yield pd.DataFrame(rows, columns=["file", "n", "headers", "block"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(parse, "file string, n long, headers map<string,string>, block binary")
+    return files.mapInPandas(tidy(parse), "file string, n long, headers map<string,string>, block binary")
 
 
 def derive_records(responses: DataFrame, keys: tuple[str, ...] = (), headers: str = "headers", block: str = "block") -> DataFrame:
     """Metadata and conversion records of WARC records with `headers` (a map) and `block` (binary); `keys` are kept.
 
     Records are derived one by one: nothing is shuffled, and repeated rows give repeated records. A null block counts as
-    empty, null headers as none, and records of other types give nothing.
+    empty, null headers as none, and records of other types give nothing. An empty table gives no rows. Transfer and
+    content encodings are taken off. `keys` that are named like an output column are refused (ValueError).
     """
     ship(responses.sparkSession)
+    kept_columns(responses)
+    if clash := {k.lower() for k in keys} & {x.split()[0] for x in DERIVED.split(", ")}:
+        raise ValueError(f"keys are named like outputs: {sorted(clash)}")
     schema = ", ".join([*[f"`{k}` {responses.schema[k].dataType.simpleString()}" for k in keys], DERIVED])
 
     def derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +327,7 @@ def derive_records(responses: DataFrame, keys: tuple[str, ...] = (), headers: st
                     rows.append((*key, *of(r)))
             yield pd.DataFrame(rows, columns=[*keys, *[x.split()[0] for x in DERIVED.split(", ")]])
 
-    return responses.select(*keys, headers, block).mapInPandas(derive, schema)
+    return responses.select(*keys, headers, block).mapInPandas(tidy(derive), schema)
 
 
 def of(r: Record) -> tuple:
@@ -221,7 +337,8 @@ def of(r: Record) -> tuple:
 
 
 def derive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
-    """The records derived from stored pages: each is made a response first. Null pages and addresses count as empty."""
+    """The records derived from stored pages: each is made a response first. Null pages and addresses count as empty,
+    repeated rows give repeated records, other columns are left out, and an empty table gives no rows."""
     ship(pages.sparkSession)
     schema = f"`{key}` {pages.schema[key].dataType.simpleString()}, {DERIVED}"
 
@@ -230,7 +347,7 @@ def derive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", marku
             rows = [(k, *of(r)) for k, u, m in batch[[key, url, markup]].itertuples(index=False, name=None) for r in derived(response_record(u or "", (m or "").encode("utf-8", "replace")))]
             yield pd.DataFrame(rows, columns=[key, *[x.split()[0] for x in DERIVED.split(", ")]]).astype({key: "object"})
 
-    return pages.select(key, url, markup).mapInPandas(derive, schema)
+    return pages.select(key, url, markup).mapInPandas(tidy(derive), schema)
 
 
 def write_warc(records: DataFrame, path: str, headers: str = "headers", block: str = "block") -> None:
@@ -241,9 +358,11 @@ def write_warc(records: DataFrame, path: str, headers: str = "headers", block: s
         for batch in batches:
             yield pd.DataFrame({"record": [gzip.compress(bytes(Record(dict(h or {}), bytes(b or b""))), mtime=0) for h, b in zip(batch[headers], batch[block], strict=True)]})
 
-    records.select(headers, block).mapInPandas(pack, "record binary").write.parquet(path)
+    records.select(headers, block).mapInPandas(tidy(pack), "record binary").write.parquet(path)
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and the conversion record of every row of `pages`, blocks as text. Null pages and addresses count as
+    empty, repeated rows give repeated records, an empty table gives no rows."""
     found = derive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.withColumn("block", F.col("block").cast("string"))
