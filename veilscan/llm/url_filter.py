@@ -76,14 +76,15 @@ def scored_part(url: Column) -> Column:
     return F.regexp_replace(text, r"(?s)^.*?://", "")
 
 
-def grams(text: Column, order: int = ORDER) -> Column:
-    """Each character with up to `order` before it; \\x02 pads the start and \\x03 ends the text.
+def with_grams(rows: DataFrame, text: str, order: int = ORDER) -> DataFrame:
+    """`rows` with a row for each character: `gram` is it with up to `order` before it; \\x02 pads the start and \\x03 ends
+    the text.
 
-    The text is split into characters once, so a very long URL takes time in proportion to its length.
+    The text is split into characters in a step of its own: within the lambda it would be split again for each of them.
     """
-    padded = F.concat(F.lit("\x02" * order), text, F.lit("\x03"))
-    chars = F.split(padded, "")
-    return F.transform(F.sequence(F.lit(1), F.char_length(text) + 1), lambda i: F.array_join(F.slice(chars, i, order + 1), ""))
+    split = rows.withColumn("chars", F.split(F.concat(F.lit("\x02" * order), text, F.lit("\x03")), ""))
+    each = F.transform(F.sequence(F.lit(1), F.char_length(text) + 1), lambda i: F.array_join(F.slice("chars", i, order + 1), ""))
+    return split.withColumn("gram", F.explode(each)).drop("chars")
 
 
 def markov_model(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -124,26 +125,27 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RUL
     host, path = host_of(F.col(f"`{url}`")), path_of(F.col(f"`{url}`"))
     base = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host.alias("host"), path.alias("path"), scored_part(F.col(f"`{url}`")).alias("s"))
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    ruled = base.withColumn("rule", name).withColumn("ruled", verdict)
+    # Grams carry a digest instead of the text, which may be long.
+    ruled = base.withColumns({"rule": name, "ruled": verdict, "id": F.md5(F.encode("s", "UTF-8"))})
 
-    texts = ruled.select("s", "ruled").groupBy("s", "ruled").agg(F.count(F.lit(1)).alias("m"))
+    texts = ruled.groupBy("id", "s", "ruled").agg(F.count(F.lit(1)).alias("m"))
     held = F.crc32(F.encode(F.col("s"), "UTF-8")) % FOLDS == 0
     learn = lambda v: F.sum(F.when((F.col("ruled") == v) & ~F.col("held"), F.col("m")).otherwise(0))
     texts = materialize(texts.withColumn("held", held), "url-texts")
     # A URL becomes a hundred grams: its row goes to a task of few before that.
     n = -(-texts.count() // URLS_OF_A_TASK) or 1
-    texts = materialize(texts.repartition(n, "s"), "url-parts") if n > 1 else texts
-    counts = texts.select("ruled", "held", "m", F.explode(grams(F.col("s"), order)).alias("gram")).groupBy("gram").agg(learn("allow").alias("na"), learn("block").alias("nr"))
+    texts = materialize(texts.repartition(n, "id"), "url-parts") if n > 1 else texts
+    counts = with_grams(texts, "s", order).groupBy("gram").agg(learn("allow").alias("na"), learn("block").alias("nr"))
     model = materialize(markov_model(materialize(counts, "url-grams"), order), "url-model")
     if model.count() <= BROADCAST_ROWS:
         model = F.broadcast(model)
 
-    each = texts.select("s").distinct()
-    each = each.repartition(n, "s") if n > 1 else each
-    scores = each.select("s", F.explode(grams(F.col("s"), order)).alias("gram")).join(model, "gram").groupBy("s").agg(F.floor(F.sum("llr") / F.count(F.lit(1))).alias("url_score"))
+    each = texts.groupBy("id").agg(F.first("s").alias("s"))
+    each = each.repartition(n, "id") if n > 1 else each
+    scores = with_grams(each, "s", order).select("id", "gram").join(model, "gram").groupBy("id").agg(F.floor(F.sum("llr") / F.count(F.lit(1))).alias("url_score"))
     scores = materialize(scores, "url-scores")
-    threshold = calibrated(texts.where("held and ruled is not null").join(scores, "s"))
-    judged = ruled.join(scores, "s", "left")
+    threshold = calibrated(texts.where("held and ruled is not null").join(scores, "id"))
+    judged = ruled.join(scores, "id", "left")
     by_method = F.when(F.col("url_score") >= F.lit(threshold), "allow").otherwise("block")
     return judged.select("row.*", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("url_score")).alias("url_score"))
 
