@@ -152,6 +152,32 @@ def test_files(spark, tmp_path):
     assert scan(spark, "filesystem", {}, {"max_files": 0})[0].first()["reason"] == "invalid_scan_options"
 
 
+def test_links_special_files_and_the_cap(spark, tmp_path):
+    import os
+
+    outside = tmp_path / "outside"
+    (outside / "folder").mkdir(parents=True)
+    (outside / "secret.txt").write_text("mrn A123")
+    (outside / "folder/other.txt").write_text("x")
+    root = tmp_path / "root"
+    root.mkdir()
+    for n in "abc":
+        (root / f"{n}.txt").write_text(n)
+    (root / "link.txt").symlink_to(outside / "secret.txt")
+    (root / "tree").symlink_to(outside / "folder")
+    os.mkfifo(root / "pipe.txt")
+    got = {r["location"].rsplit("/", 1)[-1]: (r["status"], r["reason"], r["text"]) for r in scan_files(spark, str(root)).collect()}
+    assert got == {"a.txt": ("full", None, "a"), "b.txt": ("full", None, "b"), "c.txt": ("full", None, "c"), "link.txt": ("excluded", "symlink_excluded", None), "tree": ("excluded", "symlink_excluded", None), "pipe.txt": ("excluded", "special_file_excluded", None)}
+    capped = {r["location"].rsplit("/", 1)[-1]: (r["status"], r["reason"]) for r in scan_files(spark, str(root), Options(max_files=2)).collect()}
+    assert capped == {"a.txt": ("full", None), "b.txt": ("full", None), "[coverage]": ("partial", "file_limit_reached")}
+
+
+def test_components_reach_the_end_of_long_paths(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000)] + [(9000, 9001), (9001, 9001)], "a int, b int")
+    got = {r["id"]: r["component"] for r in graph.components(edges, spark.createDataFrame([(5,), (7777,), (None,)], "id int")).collect()}
+    assert got == {**{i: 0 for i in range(3001)}, 9000: 9000, 9001: 9000, 7777: 7777}
+
+
 def test_stores_and_entities(spark):
     df = spark.createDataFrame([("a.txt", 10, "t"), ("a.txt", None, "t"), ("a.txt", 10, None), ("a.gz", 1, "t")], "path string, size long, etag string")
     status, reason = cloud_gate(F.col("size"), F.col("path"), F.col("etag"), Options())

@@ -1,9 +1,9 @@
 """Every query with SQL gives what the SQL gives in another engine."""
 
-import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from veilscan.plans.queries import REGISTRY
@@ -22,7 +22,7 @@ def con():
 def plain(df):
     def one(x):
         x = x.item() if hasattr(x, "item") else x
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if x is None or (not isinstance(x, (list, dict)) and pd.isna(x)):
             return "null"
         return f"{x:.9g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
@@ -37,4 +37,12 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in REGISTRY.items() if not sql])
 def test_runs(spark, name):
-    assert REGISTRY[name][0](spark, str(TABLES)).columns
+    """Without SQL: it gives rows, and the same ones again from rows in other partitions and order."""
+    tables = str(TABLES.with_name("sf0.01"))
+    first = plain(REGISTRY[name][0](spark, tables).toPandas())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert first[1] and plain(REGISTRY[name][0](spark, tables).toPandas()) == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

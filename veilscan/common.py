@@ -1,4 +1,4 @@
-"""Sending this package to the executors' Python."""
+"""Sending this package to the executors' Python, and cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +21,18 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._veilscan_core = True
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the checkpoint folder that driver and executors share.
+
+    A local session without one gets a temporary folder; on a cluster that would be the driver's alone, so a RuntimeError
+    is raised there.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="veilscan-"))
+    return df.checkpoint()

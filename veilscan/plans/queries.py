@@ -193,7 +193,7 @@ def column_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return columns.scan_table(t(spark, d, "nation"), "nation", key=["n_nationkey"])[0].select("location", "fingerprint")
 
 
-@query("""WITH s AS (SELECT c_custkey AS k FROM customer ORDER BY c_custkey LIMIT 1000)
+@query("""WITH s AS (SELECT c_custkey AS k FROM customer)
 SELECT 'visits/mrn' AS location, 'MRN' AS entity_type, 'personal_data' AS classification, 0.9::DOUBLE AS confidence, count(*)::BIGINT AS match_count, 'hospital_identifier_label_and_format' AS reason FROM s
 UNION ALL SELECT 'visits/diagnosis', 'HEALTH_INFORMATION', 'patient_linked_health', 0.85, (count(*) + count(*) FILTER (k % 5 <> 0))::BIGINT, 'clinical_content_with_patient_reference' FROM s WHERE k % 3 <> 0
 UNION ALL SELECT 'visits/diagnosis', 'HEALTH_INFORMATION', 'clinical_content', 0.7, (count(*) + count(*) FILTER (k % 5 <> 0))::BIGINT, 'clinical_content_with_ambiguous_patient_references' FROM s WHERE k % 3 = 0
@@ -416,7 +416,7 @@ def event_runs(spark: SparkSession, d: str) -> DataFrame:
 
 # Boxes, spans and graphs.
 
-BOX_SQL = "(SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id, l_suppkey AS page, (l_partkey % 97) / 100.0::DOUBLE AS \"left\", (l_quantity * 13 % 89) / 100.0::DOUBLE AS top, least(1.0, (l_partkey % 97) / 100.0::DOUBLE + 0.04) AS \"right\", least(1.0, (l_quantity * 13 % 89) / 100.0::DOUBLE + 0.02) AS bottom FROM lineitem WHERE l_orderkey % 8 = 0)"
+BOX_SQL = "(SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id, l_suppkey AS page, (l_partkey % 97) / 100.0::DOUBLE AS \"left\", (l_quantity * 13 % 89) / 100.0::DOUBLE AS top, least(1.0, (l_partkey % 97) / 100.0::DOUBLE + 0.04) AS \"right\", least(1.0, (l_quantity * 13 % 89) / 100.0::DOUBLE + 0.02) AS bottom FROM lineitem)"
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -430,8 +430,8 @@ def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return spatial.overlapping(b, b, "page", same=True).select("page", "a", "b")
 
 
-@query(f"""WITH w AS {BOX_SQL}, r AS (SELECT p.page, q.id, q.x / 4.0 AS l, (q.x + 1) / 4.0 AS r FROM (SELECT DISTINCT page FROM w) p, (VALUES (1, 0), (2, 1), (3, 2)) q(id, x)),
-m AS (SELECT w.page, w.id AS word, count(r.id) AS n, min(r.id) AS rectangle FROM w LEFT JOIN r ON r.page = w.page AND (w."left" + w."right") / 2 BETWEEN r.l AND r.r GROUP BY ALL) SELECT page, word, CASE WHEN n = 1 THEN rectangle END AS rectangle FROM m""")
+@query(f"""WITH w AS (SELECT row_number() OVER () AS k, * FROM {BOX_SQL}), r AS (SELECT p.page, q.id, q.x / 4.0 AS l, (q.x + 1) / 4.0 AS r FROM (SELECT DISTINCT page FROM w) p, (VALUES (1, 0), (2, 1), (3, 2)) q(id, x)),
+m AS (SELECT w.k, w.page, w.id AS word, count(r.id) AS n, min(r.id) AS rectangle FROM w LEFT JOIN r ON r.page = w.page AND (w."left" + w."right") / 2 BETWEEN r.l AND r.r GROUP BY ALL) SELECT page, word, CASE WHEN n = 1 THEN rectangle END AS rectangle FROM m""")
 def rectangle_owners(spark: SparkSession, d: str) -> DataFrame:
     w = boxes(spark, d)
     gold = w.select("page").distinct().withColumn("id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("page", "id", ((F.col("id") - 1) / 4.0).alias("left"), F.lit(0.0).alias("top"), (F.col("id") / 4.0).alias("right"), F.lit(1.0).alias("bottom"))

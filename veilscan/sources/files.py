@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..common import ship
+from ..common import durable, ship
 from ..functions.patterns import ARCHIVE_SUFFIXES, DOCUMENT_SUFFIXES, TEXT_SUFFIXES
 from ..functions.structured import extract_udf
 from ..functions.text import object_key
@@ -101,19 +101,48 @@ def gated(listed: DataFrame, options: Options) -> DataFrame:
     return listed.withColumns({"suffix": s, "status": status, "reason": reason})
 
 
+def local_root(root: str) -> str | None:
+    """The path of a tree that is mounted, or None for an address of a store."""
+    return root.removeprefix("file://") if root.startswith("file:///") else root if "://" not in root else None
+
+
+def plain_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, kind, length) of a tree. Mounted trees also list links, special files and what can't be read; links are
+    never followed, and what lies behind them is no part of the tree."""
+    if (mounted := local_root(root)) is not None:
+        return entries(spark, mounted).select("path", "kind", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select("path", F.lit("file").alias("kind"), "length")
+
+
 def scan_files(spark: SparkSession, root: str, options: Options = Options()) -> DataFrame:
     """Objects of a tree on any file system: (object_key, location, status, reason, unit, examined, fingerprint, text,
-    linkage_verified). Contents are read of those only that the gates let through: size is pushed down to the listing."""
+    linkage_verified). Contents are read of those only that the gates let through: size is pushed down to the listing.
+
+    The first `max_files` entries by path are objects; if there are more, a row `[coverage]` says so. A file that has
+    changed in size since it was listed is partial, and one that is gone by then is inaccessible.
+    """
     ship(spark)
+    names = listing(spark, root)
+    taken = names.orderBy("path").limit(options.max_files)  # a bounded top-n of names
+    listed = durable(gated(taken.withColumn("path", plain_path(F.col("path"))), options))
+    more = names.limit(options.max_files + 1).groupBy().agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > options.max_files)
+    none = [F.lit(None).cast("string").alias("fingerprint"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("linkage_verified")]
+    cap = more.select(F.lit("[coverage]").alias("path"), F.lit("partial").alias("status"), F.lit("file_limit_reached").alias("reason"), F.lit("bytes").alias("unit"), F.lit(options.max_files).cast("long").alias("examined"), *none)
+    out = listed.where("status is not null").select("path", "status", "reason", F.lit("bytes").alias("unit"), F.lit(0).cast("long").alias("examined"), *none)
+    wanted = listed.where("status is null").select(F.col("path").alias("wanted"), F.col("length").alias("listed"))  # max_files rows at most
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    listed = gated(files.select("path", "length").withColumn("kind", F.lit("file")), options)
-    out = listed.where("status is not null").select("path", "status", "reason", F.lit("bytes").alias("unit"), F.lit(0).cast("long").alias("examined"), F.lit(None).cast("string").alias("fingerprint"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("linkage_verified"))
-    s = suffix(F.col("path"))
-    wanted = files.where((F.col("length") <= options.max_file_bytes) & s.isin(*TEXT_SUFFIXES, *DOCUMENT_SUFFIXES))
-    read = wanted.select("path", "length", F.col("content"), extract_udf(options.max_text_chars)(F.col("content"), s).alias("x"))
-    grown = F.octet_length("content") != F.col("length")
-    read = read.select("path", F.when(grown, "partial").otherwise(F.col("x.status")).alias("status"), F.when(grown, "file_changed_during_scan").otherwise(F.col("x.reason")).alias("reason"), "x.unit", "x.examined", F.sha2("content", 256).alias("fingerprint"), "x.text", "x.linkage_verified")
-    every = out.unionByName(read)
+    contents = files.where((F.col("length") <= options.max_file_bytes) & suffix(F.col("path")).isin(*TEXT_SUFFIXES, *DOCUMENT_SUFFIXES)).withColumn("path", plain_path(F.col("path")))
+    found = contents.join(F.broadcast(wanted), F.col("path") == F.col("wanted"))
+    read = found.select("path", "length", "listed", "content", extract_udf(options.max_text_chars)(F.col("content"), suffix(F.col("path"))).alias("x"))
+    changed = (F.octet_length("content") != F.col("length")) | (F.col("length") != F.col("listed"))
+    read = durable(read.select("path", F.when(changed, "partial").otherwise(F.col("x.status")).alias("status"), F.when(changed, "file_changed_during_scan").otherwise(F.col("x.reason")).alias("reason"), "x.unit", "x.examined", F.sha2("content", 256).alias("fingerprint"), "x.text", "x.linkage_verified"))
+    gone = wanted.join(read.select(F.col("path").alias("wanted")), "wanted", "left_anti").select(F.col("wanted").alias("path"), F.lit("inaccessible").alias("status"), F.lit("path_not_readable").alias("reason"), F.lit("bytes").alias("unit"), F.lit(0).cast("long").alias("examined"), *none)
+    every = out.unionByName(read).unionByName(gone).unionByName(cap)
     return every.withColumn("location", F.col("path")).withColumn("object_key", object_key(F.col("path"))).drop("path")
 
 
