@@ -178,7 +178,13 @@ def test_op7(spark):
 def test_op8(spark, docs):
     library = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
     got = {r["doc_id"]: r for r in rows_of(spark, "op8_piece_scan")}
-    assert got.keys() == {d for d, *_ in docs} and sum(r["n_chunks"] > 1 for r in got.values()) >= 1
+    assert got.keys() == {d for d, *_ in docs}
+    chunked = P.encode_documents(spark.read.parquet(f"{SF}/documents.parquet"), chunk_chars=1500, fan=3).orderBy("doc_id", "chunk").collect()
+    again = collections.defaultdict(list)
+    for r in chunked:
+        assert r["first"] == len(again[r["doc_id"]]) and r["exact"]
+        again[r["doc_id"]] += r["ids"]
+    assert sum(r["chunk"] > 3 for r in chunked) > 5 and all(again[d] == library.encode(t or "") for d, t, _, _ in docs)
     for d, t, _, _ in docs:
         ids, points = np.array(library.encode(t or ""), np.int64), np.array([ord(c) for c in (t or "").replace(P.MARK, " ")], np.int64)
         weighted = lambda x: int((np.arange(1, len(x) + 1) % P.DIGEST * x % P.DIGEST).sum() % P.DIGEST)

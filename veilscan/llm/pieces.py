@@ -40,7 +40,7 @@ from .common import materialize, ship, table, tidy
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Documents of more characters are cut into chunks of so many, which any executor may take.
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 32_768
 #: Matrices that are multiplied, and whose states are chosen, in one task.
 FAN = 256
 #: Units whose pieces a worker remembers, and the longest of them.
