@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veilscan.functions.text import location, same_etag
 from veilscan.operators import catalog, columns, compare, evaluate, graph, retention, spatial
 from veilscan.sources.files import cloud_gate, entries, scan_files
-from veilscan.sources.options import InvalidOptions, Options, gate, normalized_config, patient_columns, private_address, redacted_config, wide_row_limits
+from veilscan.sources.options import InvalidOptions, Options, gate, normalized_config, private_address, redacted_config, wide_row_limits
 from veilscan.sources.scan import scan
 from veilscan.sources.tables import entities, inventory, projection
 
@@ -31,7 +31,6 @@ def test_configs():
         normalized_config("filesystem", {"root": "relative"})
     assert private_address("10.0.0.1") and private_address("localhost") and not private_address("8.8.8.8") and not private_address("example.com")
     assert redacted_config({"password": "p", "host": "h"}) == {"password": "[redacted]", "host": "h"}
-    assert patient_columns("labs", [{"referred_table": "patients", "referred_columns": ["id"], "constrained_columns": ["subject"]}], {"labs": ["ref"]}) == ({"subject", "ref"}, ["declared_foreign_key_to_patient_table_or_identifier", "hospital_configured_identifier_column"])
     assert projection("mssql", "dbo.t]x", [("a", False), ("b", True)], ["a"], Options(table_sample_rows=2)).startswith("SELECT TOP (3) LEFT(CAST([a] AS NVARCHAR(MAX))")
     assert [x[2:] for x in inventory([("v", "VIEW"), ("t", "TABLE"), ("u", "TABLE")], 2)] == [("excluded", "database_views_not_scanned"), (None, None), ("partial", "database_table_inventory_limit")]
 
@@ -46,6 +45,15 @@ def test_columns_of_a_table(spark):
     assert {(r["location"], r["entity_type"], r["classification"], r["match_count"]) for r in found.collect()} == {("visits/mrn", "MRN", "personal_data", 2), ("visits/note", "HEALTH_INFORMATION", "patient_linked_health", 2)}
 
 
+def test_columns_with_a_patients_key(spark):
+    keys = [("labs", "patients", ["id"], ["subject"]), ("labs", "wards", ["id"], ["ward"]), ("notes", "people", [None, "MRN"], ["who"]), ("wards", None, None, ["x"]), ("bare", "the_patient_list", ["id"], None)]
+    fks = spark.createDataFrame(keys, "table string, referred_table string, referred_columns array<string>, constrained_columns array<string>")
+    named = spark.createDataFrame([("labs", ["ref", "subject", None]), ("beds", []), ("stays", ["ref"])], "table string, columns array<string>")
+    fk, own = columns.DECLARED, columns.CONFIGURED
+    assert {(r["table"], *r["columns"], *r["evidence"]) for r in columns.patient_columns(fks, named).collect()} == {("labs", "ref", "subject", fk, own), ("notes", "who", fk), ("bare", fk), ("stays", "ref", own)}
+    assert columns.patient_columns(fks.limit(0)).count() == 0
+
+
 def test_declared_patient_columns(spark):
     labs = spark.createDataFrame([(1, "p7", "diabetes"), (2, "p8", '{"x": ')], "id int, subject string, diagnosis string")
     coverage, found = columns.scan_table(labs, "a/b", Options(), ["id"], {"subject"})

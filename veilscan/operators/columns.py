@@ -143,3 +143,21 @@ def missing_tables(requested: DataFrame, discovered: DataFrame) -> DataFrame:
 
 def selected_tables(discovered: DataFrame, requested: DataFrame) -> DataFrame:
     return discovered.join(requested.select("table").distinct(), "table", "left_semi")
+
+
+# The evidence that columns hold a patient's key.
+DECLARED, CONFIGURED = "declared_foreign_key_to_patient_table_or_identifier", "hospital_configured_identifier_column"
+
+
+def patient_columns(foreign_keys: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    """(table, columns, evidence) of the tables with columns that hold a patient's key, both sorted and without repeats.
+
+    `foreign_keys` has a row for each key: table, referred_table, referred_columns, constrained_columns; `configured` has
+    table and columns, as named by whoever runs the database. Nulls name nothing; a table without evidence has no row.
+    """
+    to_patient = F.col("referred_table").rlike(P.PATIENT_TABLE) | F.exists("referred_columns", lambda c: F.coalesce(c.rlike(P.PATIENT_COLUMN), F.lit(False)))
+    told = foreign_keys.where(to_patient).select("table", F.col("constrained_columns").alias("columns"), F.lit(DECLARED).alias("evidence"))
+    if configured is not None:
+        told = told.unionByName(configured.where(F.size("columns") > 0).select("table", "columns", F.lit(CONFIGURED).alias("evidence")))
+    each = told.select("table", "evidence", F.explode_outer("columns").alias("column"))
+    return each.groupBy("table").agg(F.array_sort(F.collect_set("column")).alias("columns"), F.array_sort(F.collect_set("evidence")).alias("evidence"))
