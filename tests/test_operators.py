@@ -45,6 +45,18 @@ def test_columns_of_a_table(spark):
     assert {(r["location"], r["entity_type"], r["classification"], r["match_count"]) for r in found.collect()} == {("visits/mrn", "MRN", "personal_data", 2), ("visits/note", "HEALTH_INFORMATION", "patient_linked_health", 2)}
 
 
+def test_fingerprints_of_whole_tables(spark):
+    def of(rows, parts):
+        df = spark.createDataFrame(rows, "id int, note string, scan binary").repartition(parts)
+        return {r["column"]: r["fingerprint"] for r in columns.scan_table(df, "t", Options(full_scan=True), ["id"])[0].collect()}
+
+    rows = [(1, "a", None), (2, "b", None), (3, None, None), (4, "", None)]
+    first = of(rows, 1)
+    assert of(rows[::-1], 3) == first and first["scan"] is None and len(first["note"]) == 64
+    for other in ([(1, "b", None), (2, "a", None), *rows[2:]], [*rows, rows[0]], [*rows[:2], (3, "", None), (4, None, None)]):
+        assert of(other, 2)["note"] != first["note"]
+
+
 def test_columns_with_a_patients_key(spark):
     keys = [("labs", "patients", ["id"], ["subject"]), ("labs", "wards", ["id"], ["ward"]), ("notes", "people", [None, "MRN"], ["who"]), ("wards", None, None, ["x"]), ("bare", "the_patient_list", ["id"], None)]
     fks = spark.createDataFrame(keys, "table string, referred_table string, referred_columns array<string>, constrained_columns array<string>")

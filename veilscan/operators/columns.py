@@ -94,6 +94,22 @@ def fingerprints(values: DataFrame) -> DataFrame:
     return values.select("column", "row", "full").repartition("column").sortWithinPartitions("column", "row").mapInPandas(digest, "column string, fingerprint string")
 
 
+def full_fingerprints(table: DataFrame, key: list[str]) -> DataFrame:
+    """(column, fingerprint) of a whole table: SHA-256 over sums of the digests of its cells, each with its row's key.
+
+    Sums don't depend on how the input is split or sorted, and are built up within each task, so no column passes
+    through one. A value that moves to another key changes them; without a key only the multiset of values counts.
+    """
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in key])) if key else F.lit("")
+    digest = lambda f: F.sha2(F.concat(row, F.lit("="), F.coalesce(F.concat(F.lit("v"), as_text(F.col(f"`{f.name}`"), f.dataType)), F.lit("n"))), 256)
+    text = [f for f in table.schema.fields if not isinstance(f.dataType, T.BinaryType)]
+    if not text:
+        return table.sparkSession.createDataFrame([], "column string, fingerprint string")
+    each = table.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), digest(f).alias("digest")) for f in text])).alias("c")).select("c.*")
+    lanes = [F.sum(F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(8)]
+    return each.groupBy("column").agg(F.sha2(F.concat_ws(",", *lanes), 256).alias("fingerprint"))
+
+
 def scan_table(table: DataFrame, name: str, options: Options = Options(), key: list[str] | None = None, patients: set[str] = frozenset(), rules: tuple[Recognizer, ...] = RULES, fingerprint: bool = True) -> tuple[DataFrame, DataFrame]:  # type: ignore[assignment]
     """Coverage (a row for each column) and findings (by column, type, class and reason).
 
@@ -121,7 +137,8 @@ def scan_table(table: DataFrame, name: str, options: Options = Options(), key: l
     reason = F.when(F.col("binary"), "binary_column_not_inspected").when(F.coalesce("cut", F.lit(False)), "cell_text_limit_reached").when(F.coalesce("unverified", F.lit(False)), "structured_cell_boundaries_unverified").when(F.col("more"), "bounded_prefix_sample")
     coverage = coverage.select(location(F.lit(name), F.col("column")).alias("location"), "column", status.alias("status"), reason.alias("reason"), F.when(F.col("binary"), 0).otherwise(F.coalesce("examined", F.lit(0))).cast("long").alias("examined"), F.lit("rows").alias("unit"), F.coalesce("nonempty", F.lit(0)).cast("long").alias("nonempty"))
     if fingerprint:
-        coverage = coverage.join(F.broadcast(fingerprints(values)), "column", "left")  # a row for each column
+        digests = full_fingerprints(table, key or []) if options.full_scan else fingerprints(values)
+        coverage = coverage.join(F.broadcast(digests), "column", "left")  # a row for each column
 
     prefix = F.concat(F.regexp_replace("column", r"(?U)\s+", " "), F.lit(": "))
     said = values.where("value is not null and trim(value) <> ''").withColumns({"id": F.struct("column", "row"), "t": F.when(kinds.isNotNull(), F.col("value")).otherwise(F.concat(prefix, F.col("value")))})

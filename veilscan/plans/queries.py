@@ -193,6 +193,15 @@ def column_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return columns.scan_table(t(spark, d, "nation"), "nation", key=["n_nationkey"])[0].select("location", "fingerprint")
 
 
+FULL_CELLS_SQL = " UNION ALL ".join(f"""SELECT '{c}' AS c, sha256('{{"c_custkey":' || c_custkey || '}}' || '=' || coalesce('v' || {c}, 'n')) AS h FROM customer""" for c in ("c_custkey", "c_name", "c_mktsegment"))
+
+
+@query("SELECT 'customer/' || c AS location, sha256(concat_ws(',', " + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8)) + f")) AS fingerprint FROM ({FULL_CELLS_SQL}) GROUP BY c")
+def full_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    table = t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return columns.scan_table(table, "customer", Options(full_scan=True), ["c_custkey"])[0].select("location", "fingerprint")
+
+
 @query("""WITH s AS (SELECT c_custkey AS k FROM customer)
 SELECT 'visits/mrn' AS location, 'MRN' AS entity_type, 'personal_data' AS classification, 0.9::DOUBLE AS confidence, count(*)::BIGINT AS match_count, 'hospital_identifier_label_and_format' AS reason FROM s
 UNION ALL SELECT 'visits/diagnosis', 'HEALTH_INFORMATION', 'patient_linked_health', 0.85, (count(*) + count(*) FILTER (k % 5 <> 0))::BIGINT, 'clinical_content_with_patient_reference' FROM s WHERE k % 3 <> 0
@@ -495,3 +504,96 @@ def channel_texts(spark: SparkSession, d: str) -> DataFrame:
     read = w.withColumn("text", F.when((F.col("page") % 2 == 1) & (F.col("text") == "diabetes"), "cancer").otherwise(F.col("text")))
     both = w.withColumn("channel", F.lit("native")).unionByName(read.withColumn("channel", F.lit("ocr")))
     return layout.page_texts(both, ["page"]).select("page", "text", "suppressed", "conflicts")
+
+
+# Catalogue, retention and evaluation over states derived from orders.
+
+
+@query("""SELECT p_brand AS "table", string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS columns, 'declared_foreign_key_to_patient_table_or_identifier' AS evidence
+FROM part WHERE p_size % 3 = 0 OR p_size % 5 = 0 GROUP BY 1""")
+def patient_key_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Each part is a foreign key of its brand's table: some refer to a table of patients, some to a column of them."""
+    size = F.col("p_size")
+    to = F.when(size % 3 == 0, "ward_patients").otherwise("wards")
+    keys = t(spark, d, "part").select(F.col("p_brand").alias("table"), to.alias("referred_table"), F.array(F.when(size % 5 == 0, "Patient_ID").otherwise("id")).alias("referred_columns"), F.array("p_type").alias("constrained_columns"))
+    return columns.patient_columns(keys).select("table", F.array_join("columns", ",").alias("columns"), F.array_join("evidence", ",").alias("evidence"))
+
+
+def scan_states(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as scans: an open one is queued, a half-delivered one is running."""
+    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("scan_id"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
+
+@query("SELECT o_orderkey AS scan_id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def scans_newest(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.newest(scan_states(spark, d)).select("scan_id")
+
+
+@query("SELECT o_orderkey AS scan_id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def scan_next(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.oldest_queued(scan_states(spark, d)).select("scan_id")
+
+
+@query("SELECT o_orderkey AS scan_id, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'interrupted' ELSE 'completed' END AS status FROM orders")
+def scans_drained(spark: SparkSession, d: str) -> DataFrame:
+    return retention.drained(scan_states(spark, d)).select("scan_id", "status")
+
+
+@query("SELECT l_orderkey AS scan_id, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL 30 DAY <= TIMESTAMP '1996-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 100)")
+def content_purged(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the scans that one pass of retention leaves."""
+    gone, _ = retention.purge(scan_states(spark, d), F.lit("1996-01-01").cast("timestamp"))
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("scan_id"), "l_linenumber", "l_partkey")
+    return retention.without_content(lines, gone)
+
+
+@query("SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 AND o_orderdate > TIMESTAMP '1996-01-01'")
+def sessions_live(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as sessions of customers; those in debt are no longer active."""
+    sessions = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("username"), F.col("o_orderdate").cast("timestamp").alias("expires_at"))
+    users = t(spark, d, "customer").select(F.col("c_custkey").alias("username"), (F.col("c_acctbal") > 0).alias("active"))
+    return retention.live_sessions(sessions, users, F.lit("1996-01-01").cast("timestamp")).select("o_orderkey")
+
+
+@query("SELECT s_suppkey, s_name AS host, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '[redacted]' END AS password FROM supplier")
+def sources_redacted(spark: SparkSession, d: str) -> DataFrame:
+    secret = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("s3cret")
+    sources = t(spark, d, "supplier").select("s_suppkey", F.create_map(F.lit("host"), F.col("s_name"), F.lit("password"), secret).alias("config"))
+    return catalog.redacted(sources, "admin").select("s_suppkey", F.col("config")["host"].alias("host"), F.col("config")["password"].alias("password"))
+
+
+METRICS_SQL = "(SELECT o_orderpriority AS label, count(*) FILTER (o_orderkey % 2 = 0) AS tp, count(*) FILTER (o_orderkey % 2 = 1 AND o_orderstatus = 'P') AS fp, count(*) FILTER (o_orderkey % 101 = 0) AS fn, count(*) FILTER (o_orderkey % 7 = 0) AS tn FROM orders GROUP BY 1)"
+
+
+@query(f"""SELECT label, concat_ws(',', CASE WHEN tp + fn < 30 THEN 'positive_evidence_insufficient' END, CASE WHEN fp + tn < 30 THEN 'negative_evidence_insufficient' END, CASE WHEN label LIKE '5%' THEN 'coverage_incomplete' END,
+CASE WHEN coalesce(tp / (tp + fp), 0) < 0.95 THEN 'precision_below_target' END, CASE WHEN coalesce(tp / (tp + fn), 0) < 0.95 THEN 'recall_below_target' END) AS blockers FROM {METRICS_SQL}""")
+def eval_blockers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    counts = t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count_if(k % 2 == 0).alias("tp"), F.count_if((k % 2 == 1) & (F.col("o_orderstatus") == "P")).alias("fp"), F.count_if(k % 101 == 0).alias("fn"), F.count_if(k % 7 == 0).alias("tn"))
+    rates = counts.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn")), "complete": ~F.col("label").startswith("5")})
+    return evaluate.blockers(rates).select("label", F.array_join("blockers", ",").alias("blockers"))
+
+
+@query("SELECT l_orderkey AS object, l_returnflag AS label, l_linestatus AS reason FROM lineitem WHERE l_orderkey % 3 <> 0")
+def eval_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as observations; the findings of every third order count one more than was observed."""
+    seen = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("object"), F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("reason"))
+    found = seen.groupBy("object", "label", "reason").agg((F.count("*") + F.when(F.col("object") % 3 == 0, 1).otherwise(0)).alias("match_count"))
+    return evaluate.reconciled(seen, found)
+
+
+@query(f"""SELECT page, id, sum(s) OVER (PARTITION BY page, top ORDER BY "left", "right" RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS run FROM
+(SELECT *, CASE WHEN n = 1 OR "left" - p >= 4 * 0.021 THEN 1 ELSE 0 END AS s FROM (SELECT *, row_number() OVER w AS n, lag("right") OVER w AS p FROM {BOX_SQL} WINDOW w AS (PARTITION BY page, top ORDER BY "left", "right")))""")
+def line_runs(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.horizontal_runs(boxes(spark, d).withColumn("height", F.lit(0.021)), ["page", "top"]).select("page", "id", "run")
+
+
+@query(f"""SELECT page, id, k % 7 <> 0 AND least(0.04, 0.04 - x) >= 0.8 * 0.04 AND 2 * x <= 0.04 AS same FROM (SELECT *, id // 100000 AS k, (id // 100000 % 4) * 0.007::DOUBLE AS x FROM {BOX_SQL}) WHERE "left" < 0.9""")
+def words_seen_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Each word and itself read again, a little to the right, and sometimes as another word."""
+    b = boxes(spark, d).where(F.col("left") < 0.9).withColumn("k", F.floor(F.col("id") / 100000))
+    shift = (F.col("k") % 4) * 0.007
+    a = F.struct(F.lit("word").alias("text"), "left", "top", (F.col("left") + 0.04).alias("right"), (F.col("top") + 0.02).alias("bottom"))
+    again = F.struct(F.when(F.col("k") % 7 == 0, "other").otherwise("word").alias("text"), (F.col("left") + shift).alias("left"), "top", (F.col("left") + 0.04 + shift).alias("right"), (F.col("top") + 0.02).alias("bottom"))
+    return b.select("page", "id", a.alias("a"), again.alias("b")).select("page", "id", spatial.same_word("a", "b").alias("same"))
