@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,6 +111,21 @@ def full_fingerprints(table: DataFrame, key: list[str]) -> DataFrame:
     return each.groupBy("column").agg(F.sha2(F.concat_ws(",", *lanes), 256).alias("fingerprint"))
 
 
+def cell_findings(values: DataFrame, own: list[str], rules: tuple[Recognizer, ...] = RULES) -> DataFrame:
+    """(column, row, entity_type, classification, confidence, match_count, reason) of cells, as `cells` gives them.
+
+    `own`: columns that name a patient. A filled cell of one without an identifier is a reference by its column.
+    """
+    kinds = structured_kind(F.col("value"))
+    prefix = F.concat(F.regexp_replace("column", r"(?U)\s+", " "), F.lit(": "))
+    said = values.where("value is not null and trim(value) <> ''").withColumns({"id": F.struct("column", "row"), "t": F.when(kinds.isNotNull(), F.col("value")).otherwise(F.concat(prefix, F.col("value")))})
+    found = detect(said, "id", "t", Context(column="column", references="references", ambiguous="ambiguous"), rules).select("object.column", "object.row", "entity_type", "classification", "confidence", "match_count", "reason")
+    if not own:
+        return found
+    named = said.where(F.col("column").isin(*own)).select("column", "row").join(found.where(F.col("entity_type").isin(*IDENTIFIERS)).select("column", "row").distinct(), ["column", "row"], "left_anti")
+    return found.unionByName(named.select("column", "row", F.lit("PATIENT_REFERENCE").alias("entity_type"), F.lit(P.PERSONAL).alias("classification"), F.lit(0.85).alias("confidence"), F.lit(1).cast("long").alias("match_count"), F.lit(P.REASON_COLUMN).alias("reason")))
+
+
 def scan_table(table: DataFrame, name: str, options: Options = Options(), key: list[str] | None = None, patients: set[str] = frozenset(), rules: tuple[Recognizer, ...] = RULES, fingerprint: bool = True) -> tuple[DataFrame, DataFrame]:  # type: ignore[assignment]
     """Coverage (a row for each column) and findings (by column, type, class and reason).
 
@@ -140,18 +156,37 @@ def scan_table(table: DataFrame, name: str, options: Options = Options(), key: l
         digests = full_fingerprints(table, key or []) if options.full_scan else fingerprints(values)
         coverage = coverage.join(F.broadcast(digests), "column", "left")  # a row for each column
 
-    prefix = F.concat(F.regexp_replace("column", r"(?U)\s+", " "), F.lit(": "))
-    said = values.where("value is not null and trim(value) <> ''").withColumns({"id": F.struct("column", "row"), "t": F.when(kinds.isNotNull(), F.col("value")).otherwise(F.concat(prefix, F.col("value")))})
-    found = detect(said, "id", "t", Context(column="column", references="references", ambiguous="ambiguous"), rules).select("object.column", "object.row", "entity_type", "classification", "confidence", "match_count", "reason")
-    own = [c for c in table.columns if c in patients or _is_patient(c)]
-    if own:
-        named = said.where(F.col("column").isin(*own)).select("column", "row").join(found.where(F.col("entity_type").isin(*IDENTIFIERS)).select("column", "row").distinct(), ["column", "row"], "left_anti")
-        found = found.unionByName(named.select("column", "row", F.lit("PATIENT_REFERENCE").alias("entity_type"), F.lit(P.PERSONAL).alias("classification"), F.lit(0.85).alias("confidence"), F.lit(1).cast("long").alias("match_count"), F.lit(P.REASON_COLUMN).alias("reason")))
+    found = cell_findings(values, [c for c in table.columns if c in patients or _is_patient(c)], rules)
     findings = found.groupBy("column", "entity_type", "classification", "reason").agg(F.max("confidence").alias("confidence"), F.sum("match_count").alias("match_count"))
     findings = findings.select(location(F.lit(name), F.col("column")).alias("location"), "entity_type", "classification", "confidence", "match_count", "reason", F.lit("column").alias("segment"))
     return coverage, findings
 
 
+def scan_entities(table: DataFrame, options: Options = Options(), partition: str | None = None, rules: tuple[Recognizer, ...] = RULES, keys: tuple[str, str] = ("PartitionKey", "RowKey")) -> tuple[DataFrame, DataFrame]:
+    """Coverage and findings where each row of a key-value table is an object with its properties for columns.
+
+    `partition` keeps the entities of one partition only. Entities are taken in key order up to the lesser of the
+    options' rows and objects; a row `[cloud-coverage]` says how many there were and whether there are more. Findings
+    are by entity, and their segments `property:<name>`. An entity's key is the SHA-256 of its two keys as JSON.
+    """
+    ship(table.sparkSession)
+    n = min(options.table_sample_rows, options.max_files)
+    rows = table if partition is None else table.where(F.col(f"`{keys[0]}`") == partition)
+    taken, _ = sample(rows, replace(options, table_sample_rows=n, full_scan=False), list(keys))
+    kept = taken.where(F.col("_row") <= n)
+    entity = F.sha2(F.to_json(F.array(*[F.col(f"`{k}`").cast("string") for k in keys])), 256)
+    limit, _ = wide_row_limits(len(table.columns), options.cell_chars, options.batch_size)
+    limit = min(limit, options.cell_chars)
+    values = cells(kept, set(), limit)
+    named = kept.select(F.col("_row").alias("row"), entity.alias("object"))  # n rows at most
+    cut = values.groupBy("row").agg(F.max(F.coalesce(F.char_length("full") > limit, F.lit(False))).alias("cut"))
+    objects = named.join(F.broadcast(cut), "row", "left").select(F.col("object").alias("location"), F.when(F.col("cut"), "partial").otherwise("full").alias("status"), F.when(F.col("cut"), "cell_text_limit_reached").alias("reason"), F.lit(1).cast("long").alias("examined"))
+    more = F.count(F.lit(1)) > n
+    whole = taken.agg(more.alias("more"), F.least(F.count(F.lit(1)), F.lit(n)).alias("examined")).select(F.lit("[cloud-coverage]").alias("location"), F.when(F.col("more"), "sampled").otherwise("full").alias("status"), F.when(F.col("more"), "bounded_prefix_sample").alias("reason"), F.col("examined").cast("long").alias("examined"))
+    found = cell_findings(values, [c for c in table.columns if _is_patient(c)], rules).join(F.broadcast(named), "row")
+    return objects.unionByName(whole), found.select("object", "entity_type", "classification", "confidence", "match_count", "reason", F.concat(F.lit("property:"), "column").alias("segment"))
+
+
 def missing_tables(requested: DataFrame, discovered: DataFrame) -> DataFrame:
     """Requested tables that aren't there, as coverage rows."""
     gone = requested.select("table").distinct().join(discovered.select("table"), "table", "left_anti")

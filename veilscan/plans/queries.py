@@ -14,7 +14,7 @@ from ..common import ship
 from ..functions.recognizers import CARDS, RULES
 from ..functions.structured import page_text_udf, render_udf
 from ..functions.text import bounded, csv_guard, location, object_key, segments, structured_kind, windows
-from ..operators import catalog, columns, compare, evaluate, findings, graph, layout, retention, spatial
+from ..operators import catalog, columns, compare, control, evaluate, findings, graph, layout, retention, spatial
 from ..sources.options import Options
 from ..sources.tables import parquet_table
 
@@ -188,7 +188,7 @@ def table_coverage(spark: SparkSession, d: str) -> DataFrame:
     return customer.unionByName(nation).select("location", "status", "reason", "examined", "nonempty")
 
 
-@query()
+@query("SELECT 'nation/' || c AS location, sha256(string_agg(repeat(chr(0), 7) || chr(length(v)::INTEGER) || v, '' ORDER BY n_nationkey)) AS fingerprint FROM (" + " UNION ALL ".join(f"SELECT n_nationkey, '{c}' AS c, {c}::VARCHAR AS v FROM nation" for c in ("n_nationkey", "n_name", "n_regionkey")) + ") GROUP BY c")
 def column_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return columns.scan_table(t(spark, d, "nation"), "nation", key=["n_nationkey"])[0].select("location", "fingerprint")
 
@@ -597,3 +597,105 @@ def words_seen_twice(spark: SparkSession, d: str) -> DataFrame:
     a = F.struct(F.lit("word").alias("text"), "left", "top", (F.col("left") + 0.04).alias("right"), (F.col("top") + 0.02).alias("bottom"))
     again = F.struct(F.when(F.col("k") % 7 == 0, "other").otherwise("word").alias("text"), (F.col("left") + shift).alias("left"), "top", (F.col("left") + 0.04 + shift).alias("right"), (F.col("top") + 0.02).alias("bottom"))
     return b.select("page", "id", a.alias("a"), again.alias("b")).select("page", "id", spatial.same_word("a", "b").alias("same"))
+
+
+# Control of scans, comparison as shown, and key-value tables.
+
+CUSTOMER_SCANS_SQL = "(SELECT o_orderkey AS scan_id, o_custkey AS source_id, CASE o_orderkey % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'paused' WHEN 3 THEN 'interrupted' ELSE 'completed' END AS status FROM orders)"
+
+
+def customer_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as scans of their customers, with a heartbeat on the day of the order."""
+    r = F.col("o_orderkey") % 5
+    status = F.when(r == 0, "queued").when(r == 1, "running").when(r == 2, "paused").when(r == 3, "interrupted").otherwise("completed")
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("scan_id"), F.col("o_custkey").alias("source_id"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("heartbeat_at"))
+
+
+@query(f"""SELECT scan_id, a AS action, CASE WHEN a = 'pause' AND status IN ('queued', 'running') THEN 'paused' WHEN a = 'resume' AND status = 'paused' AND o_orderdate >= TIMESTAMP '1996-01-01' THEN 'running'
+WHEN a = 'resume' AND status IN ('paused', 'interrupted') THEN 'queued' WHEN a = 'cancel' AND status <> 'completed' THEN 'cancelled' ELSE status END AS status,
+CASE WHEN a IS NOT NULL THEN (a = 'pause' AND status IN ('queued', 'running')) OR (a = 'resume' AND status IN ('paused', 'interrupted')) OR (a = 'cancel' AND status <> 'completed') END AS accepted
+FROM {CUSTOMER_SCANS_SQL} JOIN (SELECT o_orderkey AS scan_id, o_orderdate, CASE o_orderkey % 4 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' WHEN 2 THEN 'cancel' END AS a FROM orders) USING (scan_id)""")
+def scan_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Each scan but every fourth is asked twice; the first request counts."""
+    scans = customer_scans(spark, d)
+    k = F.col("scan_id")
+    first = F.when(k % 4 == 0, "pause").when(k % 4 == 1, "resume").when(k % 4 == 2, "cancel")
+    asked = scans.where(k % 4 != 3).select("scan_id", F.explode(F.array(F.struct(F.lit(1).alias("at"), first.alias("action")), F.struct(F.lit(2).alias("at"), F.lit("cancel").alias("action")))).alias("x")).select("scan_id", "x.*")
+    now = F.lit("1996-01-01").cast("timestamp") + F.make_dt_interval(secs=F.lit(29))
+    return control.acted(scans, asked, now).select("scan_id", "action", "status", "accepted")
+
+
+@query(f"SELECT c_custkey AS source_id, CASE WHEN c_acctbal <= 0 THEN 'source_disabled' WHEN c_custkey IN (SELECT source_id FROM {CUSTOMER_SCANS_SQL} WHERE status IN ('queued', 'running', 'paused')) THEN 'active_scan' END AS refusal FROM customer")
+def scan_refusals(spark: SparkSession, d: str) -> DataFrame:
+    sources = t(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), (F.col("c_acctbal") > 0).alias("enabled"))
+    return control.refusals(sources, customer_scans(spark, d)).select("source_id", "refusal")
+
+
+@query("""SELECT (SELECT count(*) FROM orders WHERE o_orderdate + INTERVAL 30 DAY <= TIMESTAMP '1996-01-01') AS scans, (SELECT count(*) FROM events WHERE ts <= (SELECT min(ts) + INTERVAL 10 DAY FROM events)) AS sessions,
+(SELECT count(*) FROM lineitem WHERE l_shipdate + INTERVAL 365 DAY <= TIMESTAMP '1996-01-01') AS audit""")
+def catalogue_expired(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as audit entries; events, moved so that ten days of them have passed, as sessions."""
+    now = F.lit("1996-01-01").cast("timestamp")
+    events = t(spark, d, "events").select("ts")
+    moved = events.join(F.broadcast(events.agg(F.min("ts").alias("least")))).select((now + (F.col("ts") - F.col("least")) - F.make_dt_interval(F.lit(10))).alias("expires_at"))
+    return control.expired_counts(scan_states(spark, d), moved, t(spark, d, "lineitem").select(F.col("l_shipdate").cast("timestamp").alias("at")), now)
+
+
+@query("SELECT o_orderkey AS session_id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 100)")
+def sessions_purged(spark: SparkSession, d: str) -> DataFrame:
+    sessions = t(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").cast("timestamp").alias("expires_at"))
+    return control.sessions_left(sessions, F.lit("1996-01-01").cast("timestamp")).select("session_id")
+
+
+@query("SELECT o_orderkey AS audit_id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL 365 DAY <= TIMESTAMP '1996-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 100)")
+def audit_purged(spark: SparkSession, d: str) -> DataFrame:
+    audit = t(spark, d, "orders").select(F.col("o_orderkey").alias("audit_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    return control.audit_left(audit, F.lit("1996-01-01").cast("timestamp")).select("audit_id")
+
+
+@query("SELECT o_clerk AS actor, 'scan_' || CASE o_orderstatus WHEN 'O' THEN 'queued' ELSE 'done' END AS action, '{\"scan_id\":' || o_orderkey || ',\"source_id\":' || o_custkey || '}' AS detail FROM (SELECT *, 'clerk' || o_custkey % 7 AS o_clerk FROM orders)")
+def audit_trail(spark: SparkSession, d: str) -> DataFrame:
+    events = t(spark, d, "orders").withColumns({"scan_id": F.col("o_orderkey"), "source_id": F.col("o_custkey")})
+    action = F.concat(F.lit("scan_"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done"))
+    return control.trail(events, F.concat(F.lit("clerk"), F.col("o_custkey") % 7), action, F.col("o_orderdate"), "scan_id", "source_id").drop("at")
+
+
+@query(f"SELECT scan_id FROM {CUSTOMER_SCANS_SQL} WHERE source_id = (SELECT o_custkey FROM orders WHERE o_orderkey = 1) AND scan_id <> 1")
+def comparison_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return control.candidates(customer_scans(spark, d), 1).select("scan_id")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'coverage_lost' WHEN 1 THEN 'not_comparable' WHEN 2 THEN 'changed' ELSE 'unchanged' END AS change, o_orderkey % 7 <> 0 AS ok FROM orders),
+p AS (SELECT l_orderkey AS k, count(*) FILTER (l_quantity <> l_tax * 100) AS x, count(*) FILTER (l_quantity = l_tax * 100) AS y, bool_or(l_linenumber = 6) AS bad FROM lineitem GROUP BY 1),
+r AS (SELECT c.*, x, y, CASE WHEN c.k % 5 < 2 THEN 'coverage_insufficient' WHEN NOT ok THEN 'findings_unavailable' WHEN coalesce(bad, false) THEN 'counts_unavailable' END AS reason FROM c LEFT JOIN p USING (k))
+SELECT k AS object_key, change, reason, CASE WHEN reason IS NULL THEN coalesce(x, 0) END AS changed, CASE WHEN reason IS NULL THEN coalesce(y, 0) END AS unchanged FROM r""")
+def deltas_shown(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as deltas of their orders; a sixth line has a count that can't be read."""
+    k = F.col("o_orderkey")
+    change = F.when(k % 5 == 0, "coverage_lost").when(k % 5 == 1, "not_comparable").when(k % 5 == 2, "changed").otherwise("unchanged")
+    changes = t(spark, d, "orders").select(k.alias("object_key"), change.alias("change"), (k % 7 != 0).alias("comparable"))
+    same = F.col("l_quantity") == F.col("l_tax") * 100
+    deltas = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("object_key"), F.when(same, "unchanged").otherwise("changed").alias("change"), F.when(F.col("l_linenumber") == 6, -1).otherwise(1).alias("before_count"), F.lit(1).alias("after_count"))
+    return control.shown_deltas(changes, deltas)
+
+
+def key_value(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    said = F.when(k % 2 == 0, "diabetes").otherwise("none")
+    return t(spark, d, "customer").select(F.col("c_mktsegment").alias("PartitionKey"), F.lpad(k.cast("string"), 12, "0").alias("RowKey"), F.concat(F.lit("C000"), k).alias("mrn"), said.alias("diagnosis"))
+
+
+ENTITY_SQL = """(SELECT c_custkey AS k, sha256('["' || c_mktsegment || '","' || lpad(c_custkey::VARCHAR, 12, '0') || '"]') AS object FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1000)"""
+
+
+@query(f"SELECT object AS location, 'full' AS status, NULL AS reason, 1::BIGINT AS examined FROM {ENTITY_SQL} UNION ALL SELECT '[cloud-coverage]', CASE WHEN n > 1000 THEN 'sampled' ELSE 'full' END, CASE WHEN n > 1000 THEN 'bounded_prefix_sample' END, least(n, 1000) FROM (SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING')")
+def entity_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The feature itself is bounded: the first 1,000 entities of a partition, with a row that says so."""
+    return columns.scan_entities(key_value(spark, d), partition="BUILDING")[0]
+
+
+@query(f"""SELECT object, 'MRN' AS entity_type, 'personal_data' AS classification, 1::BIGINT AS match_count, 'property:mrn' AS segment FROM {ENTITY_SQL}
+UNION ALL SELECT object, 'HEALTH_INFORMATION', 'patient_linked_health', CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END, 'property:diagnosis' FROM {ENTITY_SQL}""")
+def entity_findings(spark: SparkSession, d: str) -> DataFrame:
+    """An entity's diagnosis is linked by the identifier among its own properties."""
+    return columns.scan_entities(key_value(spark, d), partition="BUILDING")[1].select("object", "entity_type", "classification", "match_count", "segment")
