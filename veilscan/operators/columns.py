@@ -20,11 +20,13 @@ from pyspark.sql.window import Window
 from ..functions import patterns as P
 from ..functions.recognizers import IDENTIFIERS, RULES, Recognizer
 from ..functions.structured import render_udf
-from ..functions.text import location, structured_kind
+from ..functions.text import location, segments, structured_kind
 from ..common import ship
 from ..sources.options import Options, wide_row_limits
-from .findings import Context, detect
+from .findings import Context, detect, evidence
 
+#: A fixed value: what the segment that begins a text is called.
+FIRST_SEGMENT = "segment:1/block:1/row:1"
 REFERENCE = "struct<kind:string,value:string>"
 
 
@@ -111,14 +113,23 @@ def full_fingerprints(table: DataFrame, key: list[str]) -> DataFrame:
     return each.groupBy("column").agg(F.sha2(F.concat_ws(",", *lanes), 256).alias("fingerprint"))
 
 
+def cell_texts(values: DataFrame) -> DataFrame:
+    """Cells that hold something, with `id` and the text `t` to search: their column's name and value, or a record alone.
+
+    `lead` is the length of the name before the value.
+    """
+    kinds = structured_kind(F.col("value"))
+    prefix = F.concat(F.regexp_replace("column", r"(?U)\s+", " "), F.lit(": "))
+    filled = values.where("value is not null and trim(value) <> ''")
+    return filled.withColumns({"id": F.struct("column", "row"), "t": F.when(kinds.isNotNull(), F.col("value")).otherwise(F.concat(prefix, F.col("value"))), "lead": F.when(kinds.isNotNull(), 0).otherwise(F.char_length(prefix))})
+
+
 def cell_findings(values: DataFrame, own: list[str], rules: tuple[Recognizer, ...] = RULES) -> DataFrame:
     """(column, row, entity_type, classification, confidence, match_count, reason) of cells, as `cells` gives them.
 
     `own`: columns that name a patient. A filled cell of one without an identifier is a reference by its column.
     """
-    kinds = structured_kind(F.col("value"))
-    prefix = F.concat(F.regexp_replace("column", r"(?U)\s+", " "), F.lit(": "))
-    said = values.where("value is not null and trim(value) <> ''").withColumns({"id": F.struct("column", "row"), "t": F.when(kinds.isNotNull(), F.col("value")).otherwise(F.concat(prefix, F.col("value")))})
+    said = cell_texts(values)
     found = detect(said, "id", "t", Context(column="column", references="references", ambiguous="ambiguous"), rules).select("object.column", "object.row", "entity_type", "classification", "confidence", "match_count", "reason")
     if not own:
         return found
@@ -126,6 +137,30 @@ def cell_findings(values: DataFrame, own: list[str], rules: tuple[Recognizer, ..
     return found.unionByName(named.select("column", "row", F.lit("PATIENT_REFERENCE").alias("entity_type"), F.lit(P.PERSONAL).alias("classification"), F.lit(0.85).alias("confidence"), F.lit(1).cast("long").alias("match_count"), F.lit(P.REASON_COLUMN).alias("reason")))
 
 
+def cell_evidence(values: DataFrame, rules: tuple[Recognizer, ...] = RULES) -> DataFrame:
+    """At most three examples for each column, type and reason, the first by row: (column, entity_type, reason, example, segment, value, excerpt, start, end).
+
+    `values` as `cells` gives them. Places and excerpts are those within the cell: the column's name, which was put
+    before it to be searched, is taken off again, and a span that reaches into it, or whose value isn't found at its
+    place in the cell, is no example. Segments are `scan_row:<row>/<segment of the cell>`. Nulls and empty cells have none.
+    """
+    ship(values.sparkSession)
+    said = cell_texts(values)
+    seen = evidence(said, "id", "t", Context(column="column"), rules).withColumns({"column": F.col("object.column"), "row": F.col("object.row")})
+    kind = structured_kind(F.col("value"))
+    shown = F.coalesce(render_udf()(F.when(kind.isNotNull(), F.col("value")), kind)["text"], F.col("value"))
+    own = said.select("column", "row", "lead", F.explode(segments(shown)).alias("s")).select("column", "row", "lead", "s.segment", F.col("s.text").alias("cell"))
+    both = seen.join(own, ["column", "row", "segment"])
+    # Only the first segment begins with the column's name.
+    lead = F.when(F.col("segment") == FIRST_SEGMENT, F.col("lead")).otherwise(0)
+    both = both.withColumns({"start": F.col("start") - lead, "end": F.col("end") - lead}).where("start >= 0")
+    there = F.substring(F.col("cell"), F.col("start") + 1, F.least(F.col("end") - F.col("start"), F.lit(P.VALUE_CHARS)))
+    both = both.where(there == F.col("value")).withColumn("excerpt", F.substring(F.col("cell"), F.greatest(F.lit(1), F.col("start") + 1 - P.EXCERPT_BEFORE), F.lit(P.EXCERPT_CHARS)))
+    w = Window.partitionBy("column", "entity_type", "reason").orderBy("row", "segment", "start", "end")
+    first = both.withColumn("example", F.row_number().over(w)).where(F.col("example") <= P.EXAMPLES)
+    return first.select("column", "entity_type", "reason", "example", F.concat(F.lit("scan_row:"), "row", F.lit("/"), "segment").alias("segment"), "value", "excerpt", "start", "end")
+
+
 def scan_table(table: DataFrame, name: str, options: Options = Options(), key: list[str] | None = None, patients: set[str] = frozenset(), rules: tuple[Recognizer, ...] = RULES, fingerprint: bool = True) -> tuple[DataFrame, DataFrame]:  # type: ignore[assignment]
     """Coverage (a row for each column) and findings (by column, type, class and reason).
 

@@ -202,6 +202,12 @@ def full_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return columns.scan_table(table, "customer", Options(full_scan=True), ["c_custkey"])[0].select("location", "fingerprint")
 
 
+def visits(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    said = F.concat(F.when(k % 5 == 0, "no findings").otherwise("diabetes"), F.when(k % 3 == 0, F.concat(F.lit(", see MRN: X000"), k)).otherwise(""))
+    return t(spark, d, "customer").select(F.concat(F.lit("A000"), k).alias("mrn"), said.alias("diagnosis"), k.alias("visit"))
+
+
 @query("""WITH s AS (SELECT c_custkey AS k FROM customer)
 SELECT 'visits/mrn' AS location, 'MRN' AS entity_type, 'personal_data' AS classification, 0.9::DOUBLE AS confidence, count(*)::BIGINT AS match_count, 'hospital_identifier_label_and_format' AS reason FROM s
 UNION ALL SELECT 'visits/diagnosis', 'HEALTH_INFORMATION', 'patient_linked_health', 0.85, (count(*) + count(*) FILTER (k % 5 <> 0))::BIGINT, 'clinical_content_with_patient_reference' FROM s WHERE k % 3 <> 0
@@ -209,10 +215,20 @@ UNION ALL SELECT 'visits/diagnosis', 'HEALTH_INFORMATION', 'clinical_content', 0
 UNION ALL SELECT 'visits/diagnosis', 'MRN', 'personal_data', 0.9, count(*)::BIGINT, 'hospital_identifier_label_and_format' FROM s WHERE k % 3 = 0""")
 def row_references(spark: SparkSession, d: str) -> DataFrame:
     """A row's identifier links its diagnosis, unless the diagnosis names another patient."""
-    k = F.col("c_custkey")
-    said = F.concat(F.when(k % 5 == 0, "no findings").otherwise("diabetes"), F.when(k % 3 == 0, F.concat(F.lit(", see MRN: X000"), k)).otherwise(""))
-    visits = t(spark, d, "customer").select(F.concat(F.lit("A000"), k).alias("mrn"), said.alias("diagnosis"), k.alias("visit"))
-    return columns.scan_table(visits, "visits", Options(full_scan=True), fingerprint=False)[1].drop("segment")
+    return columns.scan_table(visits(spark, d), "visits", Options(full_scan=True), fingerprint=False)[1].drop("segment")
+
+
+VISITS_SQL = "(SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'no findings' ELSE 'diabetes' END || CASE WHEN c_custkey % 3 = 0 THEN ', see MRN: X000' || c_custkey ELSE '' END AS said FROM customer)"
+
+
+@query(f"""WITH e AS (SELECT 'mrn' AS "column", 'MRN' AS entity_type, k, 'A000' || k AS value, 'A000' || k AS excerpt, 0 AS start FROM {VISITS_SQL}
+UNION ALL SELECT 'diagnosis', 'HEALTH_INFORMATION', k, 'diabetes', said, 0 FROM {VISITS_SQL} WHERE k % 5 <> 0
+UNION ALL SELECT 'diagnosis', 'MRN', k, 'X000' || k, said, length(said) - length('X000' || k) FROM {VISITS_SQL} WHERE k % 3 = 0)
+SELECT "column", entity_type, n AS example, 'scan_row:' || k || '/segment:1/block:1/row:1' AS segment, value, excerpt, start, start + length(value) AS "end" FROM (SELECT *, row_number() OVER (PARTITION BY "column", entity_type ORDER BY k) AS n FROM e) WHERE n <= 3""")
+def cell_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Rows are numbered by their keys, which are theirs already; at most three examples each are the feature."""
+    numbered = visits(spark, d).withColumn("_row", F.col("visit")).drop("visit")
+    return columns.cell_evidence(columns.cells(numbered, set(), 10_000)).drop("reason")
 
 
 @query("SELECT 'no%20such%2Ftable' AS location, 'inaccessible' AS status, 'requested_table_not_discovered' AS reason")
