@@ -1,7 +1,10 @@
-"""SQL, for another engine, of the queries that SQL can express: URL filter, quality rules and sharding."""
+"""SQL, for another engine, of the queries that SQL can express."""
 
 from __future__ import annotations
 
+from .ball_clusters import CLUSTERS, DIMENSIONS, ROUNDS, SCALE, SEED as BALL_SEED
+from .lexical_search import B, BEST, K
+from .line_dedup import MIN_CHARS
 from .quality_rules import COMMON_WORDS, COMPARE_WORDS, DIGITS, MAX_CLASS_DISTANCE, MAX_REPEAT_PERCENT, MAX_WORD_DISTANCE, MIN_WORDS, POINTS, POINTS_AS_GAPS, SYMBOLS, UPPER
 from .shards import SEED, SHARDS
 from .url_filter import ALPHABET, FOLDS, ORDER, RULES, UNIT
@@ -85,3 +88,43 @@ stat AS (SELECT ruled, sum(m * score) / sum(m)::DOUBLE AS mean, sum(m * score::D
 ab AS (SELECT max(mean) FILTER (ruled = 'allow') AS ma, max(mean) FILTER (ruled = 'block') AS mr, max(sqrt(greatest(0, square - mean * mean))) FILTER (ruled = 'allow') AS da, max(sqrt(greatest(0, square - mean * mean))) FILTER (ruled = 'block') AS dr FROM stat),
 cut AS (SELECT coalesce(floor(CASE WHEN da + dr > 0 THEN (ma * dr + mr * da) / (da + dr) ELSE (ma + mr) / 2 END), 0) AS cut FROM ab)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN ruled IS NULL THEN score END AS url_score FROM j JOIN scores USING (s), cut"""
+
+
+def clusters() -> str:
+    """Lloyd's rounds by comparing every vector with every centroid."""
+    n = DIMENSIONS
+    dist = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    near = lambda i: f"a{i} AS MATERIALIZED (SELECT k, id, v, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT k, id, v, j, {dist} AS d FROM kept, c{i}) GROUP BY k, id, v)"
+    rounds = []
+    for i in range(ROUNDS):
+        sums = f"SELECT j, p, ((s - ((s % m) + m) % m) // m)::BIGINT AS x FROM (SELECT j, p, sum(v[p])::HUGEINT AS s, count(*)::HUGEINT AS m FROM a{i}, range(1, {n + 1}) r(p) GROUP BY j, p)"
+        rounds += [near(i), f"c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(m.v, c) AS c FROM c{i} LEFT JOIN (SELECT j, list(x ORDER BY p) AS v FROM ({sums}) GROUP BY j) m USING (j))"]
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id AS id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {n} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT sha256('{BALL_SEED}' || coalesce(id::VARCHAR, '')) AS h, v FROM kept ORDER BY h, v LIMIT {CLUSTERS})),
+{", ".join(rounds)}, {near(ROUNDS)}
+SELECT id AS vec_id, a{ROUNDS}.j::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a{ROUNDS}.j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{ROUNDS} JOIN c{ROUNDS} USING (j)"""
+
+
+def search() -> str:
+    """Scores of every document that holds a term of an item."""
+    terms = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {terms("text")} AS t FROM documents),
+n AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS len FROM d WHERE len(t) > 0),
+q AS MATERIALIZED (SELECT DISTINCT i, item_id, term FROM (SELECT row_number() OVER () AS i, item_id, unnest({terms("text")}) AS term FROM benchmark)),
+p AS MATERIALIZED (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY k, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, n GROUP BY term, docs),
+m AS (SELECT k, doc_id, {100 - B} + ({B} * len(t) * docs) // len AS m FROM d, n WHERE len(t) > 0),
+s AS (SELECT i, item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + {K} * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= {BEST}"""
+
+
+def lines() -> str:
+    """Lines with the smallest document of their key, joined in order again."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT k, doc_id, i, x[i] AS line, translate(trim(x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{UPPER.lower()}') AS key FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM d)),
+f AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT l.*, coalesce(first <> doc_id, false) AS gone FROM l LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY k, doc_id"""

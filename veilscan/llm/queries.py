@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ball_clusters import op11_ball_clusters
 from .credential_scan import op4_secret_links
 from . import oracles
 from .decontamination import op1_simhash_decontamination
+from .lexical_search import op12_lexical_max_tree
+from .line_dedup import op13_line_dedup
 from .near_duplicates import op9_weighted_minhash
 from .pieces import op8_piece_scan
 from .quality_classifier import op5_quality_fm
@@ -31,8 +34,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_scan": op8_piece_scan,
         "op9_weighted_minhash": op9_weighted_minhash,
         "op10_shard_interleave": op10_shard_interleave,
+        "op11_ball_clusters": op11_ball_clusters,
+        "op12_lexical_max_tree": op12_lexical_max_tree,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_markov": oracles.urls(), "op3_quality_divergence": oracles.quality(), "op10_shard_interleave": oracles.shards()}
+    return {
+        "op2_url_markov": oracles.urls(), "op3_quality_divergence": oracles.quality(), "op10_shard_interleave": oracles.shards(),
+        "op11_ball_clusters": oracles.clusters(), "op12_lexical_max_tree": oracles.search(), "op13_line_dedup": oracles.lines(),
+    }
