@@ -79,13 +79,25 @@ def assigned(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
 def means(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """Componentwise exact floors of the members' means; a cluster without members keeps its centroid.
 
-    Sums are added up in each task before they are shuffled; the driver gets a row for each cluster.
+    Each task adds up its members; the driver gets a number for each cluster and component.
     """
-    n = centroids.shape[1]
-    sums = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("v")[i].cast("decimal(19,0)")).alias(f"s{i}") for i in range(n)])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(len(centroids), np.int64), np.zeros(centroids.shape, np.int64)
+        for batch in batches:
+            cluster, x = batch["cluster"].to_numpy(), batch["v"].flatten().to_numpy().reshape(-1, centroids.shape[1])
+            for j in np.unique(cluster).tolist():
+                own = x[cluster == j]
+                count[j] += len(own)
+                total[j] += own.sum(axis=0)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(count[some]), pa.array(total[some].tolist(), pa.list_(pa.int64()))], ["cluster", "n", "s"])
+
+    parts = rows.select("cluster", "v").mapInArrow(partial, "cluster int, n long, s array<bigint>")
+    sums = parts.select("cluster", "n", F.posexplode("s").alias("at", "s")).groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(19,0)")).alias("s"))
     out = centroids.copy()
     for row in sums.collect():
-        out[row["cluster"]] = [int(row[f"s{i}"]) // row["n"] for i in range(n)]
+        out[row["cluster"], row["at"]] = int(row["s"]) // row["n"]
     return out
 
 
