@@ -40,14 +40,14 @@ from .common import materialize, ship, table, tidy
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Documents of more characters are cut into chunks of so many, which any executor may take.
-CHUNK_CHARS = 32_768
+CHUNK_CHARS = 8_192
 #: Matrices that are multiplied, and whose states are chosen, in one task.
 FAN = 256
 #: Units whose pieces a worker remembers, and the longest of them.
 REMEMBERED, LONGEST_UNIT = 200_000, 64
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Tokens that are handed on at once.
-TOKENS_AT_ONCE = 500_000
+TOKENS_AT_ONCE = 100_000
 DIGEST = 2_147_483_647
 NEVER = float("-inf")
 
@@ -216,33 +216,65 @@ def states_at(v: Vocabulary, text: str, at: int) -> list[State]:
     return [(s, e) for s in range(max(0, at - v.longest), at) for e in v.at(text, s) if e >= at]
 
 
-def transfer(v: Vocabulary, text: str, entries: list[State], at: int) -> tuple[Matrix, dict[State, dict[State, State]]]:
-    """Best weights from each entry to each state at `at`, and for each entry the step before each state."""
-    ends: Matrix = {}
-    back: dict[State, dict[State, State]] = {}
-    for entry in entries:
-        best, before = {entry: 0.0}, {}
-        open_at: dict[int, list[State]] = {entry[1]: [entry]}
-        for pos in range(entry[1], at):
-            for state in open_at.pop(pos, ()):
-                for e in v.at(text, pos):
-                    step = (pos, e)
-                    if (w := v.weight(text, state, step)) == NEVER:
-                        continue
-                    if step not in best:
-                        open_at.setdefault(e, []).append(step)
-                    if best[state] + w > best.get(step, NEVER):
-                        best[step], before[step] = best[state] + w, state
-        ends[entry] = {s: best[s] for left in open_at.values() for s in left}
-        back[entry] = before
-    return {s: row for s, row in ends.items() if row}, back
+def transfer(v: Vocabulary, text: str, entries: list[State], at: int) -> Matrix:
+    """Best weights from each entry to each state at `at`, in one pass over the text for all entries.
+
+    A state carries a weight for each entry: a vector, or for BPE, whose weights are 0 and minus infinity, the bits of a
+    number. Once paths from several entries meet in a state they go on as one.
+    """
+    bits = v.kind == "bpe"
+    meet, extend = (int.__or__, lambda row, w: row) if bits else (np.maximum, np.add)
+    carried: dict[State, int | np.ndarray] = {s: 1 << i if bits else np.where(np.arange(len(entries)) == i, 0.0, NEVER) for i, s in enumerate(entries)}
+    open_at: dict[int, list[State]] = {}
+    for s in entries:
+        open_at.setdefault(s[1], []).append(s)
+    for pos in range(min(open_at, default=at), at):
+        states = open_at.pop(pos, ())
+        ends = list(v.at(text, pos)) if states else []
+        for state in states:
+            row = carried.pop(state)
+            for e in ends:
+                step = (pos, e)
+                if (w := v.weight(text, state, step)) == NEVER:
+                    continue
+                further = extend(row, w)
+                if step in carried:
+                    carried[step] = meet(carried[step], further)
+                else:
+                    carried[step] = further
+                    open_at.setdefault(e, []).append(step)
+    matrix: Matrix = {}
+    for state, row in carried.items():
+        for i, entry in enumerate(entries):
+            if (row >> i & 1) if bits else row[i] > NEVER:
+                matrix.setdefault(entry, {})[state] = 0.0 if bits else float(row[i])
+    return matrix
+
+
+def forward(v: Vocabulary, text: str, entry: State, at: int) -> tuple[dict[State, float], dict[State, State]]:
+    """Best weights from one entry to each state at `at`, and the step before each state."""
+    best, before = {entry: 0.0}, {}
+    open_at: dict[int, list[State]] = {entry[1]: [entry]}
+    for pos in range(entry[1], at):
+        states = open_at.pop(pos, ())
+        ends = list(v.at(text, pos)) if states else []
+        for state in states:
+            for e in ends:
+                step = (pos, e)
+                if (w := v.weight(text, state, step)) == NEVER:
+                    continue
+                if step not in best:
+                    open_at.setdefault(e, []).append(step)
+                if best[state] + w > best.get(step, NEVER):
+                    best[step], before[step] = best[state] + w, state
+    return {s: best[s] for left in open_at.values() for s in left}, before
 
 
 def best_path(v: Vocabulary, text: str) -> list[State]:
     """The whole text in one go."""
-    matrix, back = transfer(v, text, [START], len(text))
-    end = max(((w, s) for s, w in matrix[START].items() if s[1] == len(text)))[1]
-    return walk(back[START], START, end)
+    ends, before = forward(v, text, START, len(text))
+    end = max(((w, s) for s, w in ends.items() if s[1] == len(text)))[1]
+    return walk(before, START, end)
 
 
 def walk(before: dict[State, State], entry: State, end: State) -> list[State]:
@@ -274,7 +306,7 @@ class Chunk:
         """Places, in self.text, of the first and last cut that lie in the chunk and touch no piece over its bounds."""
         if not v.cuts:
             return None
-        low, high = self.start - self.offset + v.longest, self.end - self.offset
+        low, high = max([e for _, e in self.entries(v)]) - self.offset, self.end - self.offset
         cut = re.compile(f"(?<=[^{MARK}]){MARK}")
         first = cut.search(self.text, max(1, low), high)
         if not first:
@@ -295,11 +327,11 @@ class Chunk:
         entries = [self._local(s) for s in self.entries(v)]
         inner = self._inner(v)
         if inner is None:
-            found, _ = transfer(v, self.text, entries, at)
+            found = transfer(v, self.text, entries, at)
         else:
-            head, _ = transfer(v, self.text, entries, inner[0])
+            head = transfer(v, self.text, entries, inner[0])
             middle = 0.0 if v.kind == "bpe" else sum(self._score(v, u) for u in UNIT.findall(self.text[inner[0] : inner[1]]))
-            tail, _ = transfer(v, self.text, [(-1, inner[1])], at)
+            tail = transfer(v, self.text, [(-1, inner[1])], at)
             # All paths go through both cuts, and what follows a cut doesn't depend on what was before.
             found = {s: {e: max(row.values()) + middle + w for e, w in tail[-1, inner[1]].items()} for s, row in head.items()}
         return {self._whole(s): {self._whole(e): w for e, w in row.items() if not self.last or self._whole(e)[1] == self.end} for s, row in found.items()}
@@ -316,13 +348,12 @@ class Chunk:
         inner = self._inner(v)
         ids = lambda path: np.array([i for s, e in path for i in v.to_ids(self.text[s:e])], v.dtype).tobytes()
         if inner is None:
-            _, back = transfer(v, self.text, [entry], at)
-            return ids(walk(back[entry], entry, end))
-        head, back = transfer(v, self.text, [entry], inner[0])
-        through = max((w, s) for s, w in head[entry].items())[1]
+            return ids(walk(forward(v, self.text, entry, at)[1], entry, end))
+        head, before = forward(v, self.text, entry, inner[0])
+        through = max((w, s) for s, w in head.items())[1]
         cut = (-1, inner[1])
-        _, after = transfer(v, self.text, [cut], at)
-        return ids(walk(back[entry], entry, through)) + v.encode(self.text[inner[0] : inner[1]]) + ids(walk(after[cut], cut, end))
+        after = forward(v, self.text, cut, at)[1]
+        return ids(walk(before, entry, through)) + v.encode(self.text[inner[0] : inner[1]]) + ids(walk(after, cut, end))
 
 
 def chunks_of(text: str, size: int, margin: int) -> list[Chunk]:
