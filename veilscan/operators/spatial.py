@@ -23,20 +23,36 @@ def overlap_area(a: str, b: str) -> Column:
     return side("left", "right") * side("top", "bottom")
 
 
-def overlapping(a: DataFrame, b: DataFrame, page: str, key: str = "id", same: bool = False) -> DataFrame:
-    """(page, a, b, area) of boxes that overlap: `page`, `key`, left, top, right, bottom on either side.
+def meeting(a: DataFrame, b: DataFrame, page: str, key: str = "id", same: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(page, a, b) of boxes that touch one cell: structs of id, left, top, right, bottom and what `carry` names.
 
     An equality join on page and cell finds candidates, so no page is compared with another and far boxes never meet.
-    A pair that shares several cells is kept in the one where its overlap begins, so nothing has to be made distinct.
-    With `same`, each pair of one table is given once, and no box with itself.
+    A pair that shares several cells is kept in the first of them, so nothing has to be made distinct. With `same`, each
+    pair of one table is given once, and no box with itself.
     """
-    box = lambda df, n: df.select(F.col(page).alias("page"), F.struct(F.col(key).alias("id"), "left", "top", "right", "bottom").alias(n), F.explode(cells(F.col("left"), F.col("top"), F.col("right"), F.col("bottom"))).alias("cell"))
+    box = lambda df, n: df.select(F.col(page).alias("page"), F.struct(F.col(key).alias("id"), "left", "top", "right", "bottom", *carry).alias(n), F.explode(cells(F.col("left"), F.col("top"), F.col("right"), F.col("bottom"))).alias("cell"))
     at = lambda x: F.least(F.lit(GRID - 1), F.greatest(F.lit(0), F.floor(x * GRID))).cast("int")
     first = at(F.greatest(F.col("a.top"), F.col("b.top"))) * GRID + at(F.greatest(F.col("a.left"), F.col("b.left")))
     met = box(a, "a").join(box(b, "b"), ["page", "cell"]).where(F.col("cell") == first)
     if same:
         met = met.where("a.id < b.id")
-    return met.withColumn("area", overlap_area("a", "b")).where("area > 0").select("page", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "area")
+    return met.select("page", "a", "b")
+
+
+def overlapping(a: DataFrame, b: DataFrame, page: str, key: str = "id", same: bool = False) -> DataFrame:
+    """(page, a, b, area) of boxes that overlap: `page`, `key`, left, top, right, bottom on either side. See `meeting`."""
+    met = meeting(a, b, page, key, same).withColumn("area", overlap_area("a", "b"))
+    return met.where("area > 0").select("page", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "area")
+
+
+def covering(a: str, b: str, part: tuple[float, float]) -> Column:
+    """Whether what structs a and b share has these parts of the smaller width and height."""
+
+    def side(low: str, high: str, least: float) -> Column:
+        x, y = ((F.col(f"{w}.{high}") - F.col(f"{w}.{low}")) for w in (a, b))
+        return F.greatest(F.lit(0.0), F.least(F.col(f"{a}.{high}"), F.col(f"{b}.{high}")) - F.greatest(F.col(f"{a}.{low}"), F.col(f"{b}.{low}"))) >= least * F.least(x, y)
+
+    return side("left", "right", part[0]) & side("top", "bottom", part[1])
 
 
 def owners(words: DataFrame, rectangles: DataFrame, page: str) -> DataFrame:

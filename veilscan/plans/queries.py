@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..common import ship
 from ..functions.recognizers import CARDS, RULES
 from ..functions.structured import page_text_udf, render_udf
 from ..functions.text import bounded, csv_guard, location, object_key, segments, structured_kind, windows
-from ..operators import catalog, columns, compare, control, evaluate, findings, graph, layout, retention, spatial
+from ..operators import catalog, channels, columns, compare, control, evaluate, findings, geometry, graph, layout, retention, spatial
 from ..sources.options import Options
 from ..sources.tables import parquet_table
 
@@ -513,13 +514,140 @@ def layout_findings(spark: SparkSession, d: str) -> DataFrame:
     return layout.document_findings(page_words(spark, d), ["page"]).select("page", "entity_type", "classification", "match_count", "segment")
 
 
-@query("SELECT c_custkey AS page, 'MRN: C000' || c_custkey || chr(10) || 'Diagnosis: diabetes' || chr(10) || 'Dr. Somebody' || CASE WHEN c_custkey % 2 = 1 THEN chr(10) || chr(10) || 'Diagnosis: cancer' ELSE '' END AS text, CASE WHEN c_custkey % 2 = 1 THEN 2 ELSE 3 END::BIGINT AS suppressed, (c_custkey % 2)::BIGINT AS conflicts FROM customer")
-def channel_texts(spark: SparkSession, d: str) -> DataFrame:
+def two_channels(spark: SparkSession, d: str) -> DataFrame:
     """The second channel repeats the first, but for one word on every other page."""
     w = page_words(spark, d)
     read = w.withColumn("text", F.when((F.col("page") % 2 == 1) & (F.col("text") == "diabetes"), "cancer").otherwise(F.col("text")))
-    both = w.withColumn("channel", F.lit("native")).unionByName(read.withColumn("channel", F.lit("ocr")))
-    return layout.page_texts(both, ["page"]).select("page", "text", "suppressed", "conflicts")
+    return w.withColumn("channel", F.lit("native")).unionByName(read.withColumn("channel", F.lit("ocr")))
+
+
+NATIVE_SQL = "'MRN: C000' || c_custkey || chr(10) || 'Diagnosis: diabetes' || chr(10) || 'Dr. Somebody'"
+BOTH_SQL = f"{NATIVE_SQL} || CASE WHEN c_custkey % 2 = 1 THEN chr(10) || chr(10) || 'Diagnosis: cancer' ELSE '' END"
+
+
+@query(f"SELECT c_custkey AS page, {BOTH_SQL} AS text, CASE WHEN c_custkey % 2 = 1 THEN 2 ELSE 3 END::BIGINT AS suppressed, (c_custkey % 2)::BIGINT AS conflicts FROM customer")
+def channel_texts(spark: SparkSession, d: str) -> DataFrame:
+    return channels.page_texts(two_channels(spark, d), ["page"]).select("page", "text", "suppressed", "conflicts")
+
+
+@query(f"SELECT c_custkey AS page, 'native' AS channel, 1 AS fragment, {NATIVE_SQL} AS text FROM customer UNION ALL SELECT c_custkey, 'ocr', 1, 'Diagnosis: cancer' FROM customer WHERE c_custkey % 2 = 1")
+def channel_fragments(spark: SparkSession, d: str) -> DataFrame:
+    return channels.fragments(channels.reconciled(two_channels(spark, d), ["page"]), ["page"])
+
+
+DOCUMENT_SQL = f"(SELECT c_custkey AS doc, {NATIVE_SQL} AS native, CASE c_custkey % 4 WHEN 1 THEN {BOTH_SQL} || chr(12) || 'found elsewhere' WHEN 2 THEN 'other ' || {BOTH_SQL} ELSE {BOTH_SQL} END AS text FROM customer)"
+
+
+def customer_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A document of one page for each customer: as its channels say, with a supplement, with other text, or cut off."""
+    k = F.col("c_custkey")
+    native = F.concat(F.lit("MRN: C000"), k, F.lit("\nDiagnosis: diabetes\nDr. Somebody"))
+    both = F.concat(native, F.when(k % 2 == 1, "\n\nDiagnosis: cancer").otherwise(""))
+    text = F.when(k % 4 == 1, F.concat(both, F.lit("\ffound elsewhere"))).when(k % 4 == 2, F.concat(F.lit("other "), both)).otherwise(both)
+    c = t(spark, d, "customer")
+    documents = c.select(k.alias("doc"), text.alias("text"), (k % 4 == 3).alias("truncated"))
+    whole = k % 5 != 0
+    units = c.select(k.alias("doc"), F.lit(1).alias("unit"), F.lit("pdf").alias("kind"), whole.alias("eligible"), F.when(whole, channels.VERIFIED).otherwise(channels.INCOMPLETE).alias("reason"), F.lit(True).alias("processed"), native.alias("native_text"), native.alias("text"))
+    words = two_channels(spark, d).select(F.col("page").alias("doc"), F.lit(1).alias("unit"), "channel", "ordinal", "text", "left", "top", "right", "bottom", "block", "line")
+    return documents, units, words
+
+
+@query(f"SELECT doc, CASE doc % 4 WHEN 0 THEN '' WHEN 1 THEN 'found elsewhere' ELSE text END AS residual, doc % 4 >= 2 AS fallback, CASE doc % 4 WHEN 0 THEN 'aligned' WHEN 1 THEN 'unmapped_supplement' WHEN 2 THEN 'document_text_alignment_unverified' ELSE 'document_text_truncated' END AS reason FROM {DOCUMENT_SQL}")
+def document_residuals(spark: SparkSession, d: str) -> DataFrame:
+    return channels.document_channels(*customer_documents(spark, d))[2]
+
+
+@query(f"""SELECT doc, 1 AS unit, 'native' AS channel, 0::BIGINT AS "start", length(native)::BIGINT AS "end", doc % 5 <> 0 AND doc % 2 = 0 AS eligible, CASE WHEN doc % 5 = 0 THEN 'document_inventory_incomplete' WHEN doc % 2 = 0 THEN 'verified' ELSE 'native_ocr_overlap_unresolved' END AS reason FROM {DOCUMENT_SQL} WHERE doc % 4 < 2
+UNION ALL SELECT doc, 1, 'ocr', length(native) + 2, length(native) + 19, FALSE, CASE WHEN doc % 5 = 0 THEN 'document_inventory_incomplete' ELSE 'native_ocr_overlap_unresolved' END FROM {DOCUMENT_SQL} WHERE doc % 4 = 1""")
+def document_channels(spark: SparkSession, d: str) -> DataFrame:
+    return channels.document_channels(*customer_documents(spark, d))[0].select("doc", "unit", "channel", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "eligible", "reason")
+
+
+@query(f"""WITH d AS {DOCUMENT_SQL}, e AS (SELECT * FROM d WHERE doc % 4 = 0 AND doc % 5 <> 0)
+SELECT doc, 'page:1/channel:native/region:1' AS prefix, left(native, length(native) - 13) AS text, TRUE AS candidate FROM e UNION ALL SELECT doc, 'page:1/channel:native/region:2', 'Dr. Somebody', FALSE FROM e
+UNION ALL SELECT doc, 'page:1/channel:native/region:1', native, FALSE FROM d WHERE doc % 4 < 2 AND doc NOT IN (SELECT doc FROM e) UNION ALL SELECT doc, 'page:1/channel:ocr/region:1', 'Diagnosis: cancer', FALSE FROM d WHERE doc % 4 = 1
+UNION ALL SELECT doc, 'document:unmapped/channel:unmapped/region:1', CASE WHEN doc % 4 = 1 THEN 'found elsewhere' ELSE text END, FALSE FROM d WHERE doc % 4 > 0""")
+def document_plan(spark: SparkSession, d: str) -> DataFrame:
+    return channels.document_regions(*customer_documents(spark, d)).drop("words")
+
+
+@query("""SELECT c_custkey AS doc, 'MRN' AS entity_type, 'personal_data' AS classification, 1::BIGINT AS match_count FROM customer
+UNION ALL SELECT c_custkey, 'HEALTH_INFORMATION', CASE WHEN c_custkey % 4 = 0 AND c_custkey % 5 <> 0 THEN 'patient_linked_health' ELSE 'clinical_content' END, 2 + 2 * (c_custkey % 2) FROM customer""")
+def document_plan_findings(spark: SparkSession, d: str) -> DataFrame:
+    found = channels.plan_findings(channels.document_regions(*customer_documents(spark, d)))
+    return found.groupBy("doc", "entity_type", "classification").agg(F.sum("match_count").alias("match_count"))
+
+
+@query("SELECT c_custkey AS page, 0 AS ordinal, 0::BIGINT AS times FROM customer WHERE c_custkey % 3 = 0")
+def words_lost(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of every page hold each word once; then the first record of every third page is taken away, with the word
+    that only it holds."""
+    w = page_words(spark, d)
+    found = layout.page_regions(w, ["page"]).select("page", F.when(F.col("page") % 3 == 0, F.array_remove("words", 0)).otherwise(F.col("words")).alias("words"))
+    return channels.lost_words(found, w.select("page", F.row_number().over(Window.partitionBy("page").orderBy("ordinal")).alias("n")).select("page", (F.col("n") - 1).alias("ordinal")), ["page"])
+
+
+# Words from what tools write about a page: a page for each customer, a line for each of its orders.
+
+ORDER_LINES_SQL = "(SELECT o_custkey AS page, o_orderkey AS k, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INTEGER AS n FROM orders)"
+WORDS_SQL = f"""SELECT page, (2 * (n - 1) + j)::INTEGER AS ordinal, CASE j WHEN 0 THEN 'Order' ELSE '#' || k END AS text, (10 + 100 * j) / 600.0::DOUBLE AS "left", (20 * n) / 4000.0::DOUBLE AS top, (70 + 100 * j) / 600.0::DOUBLE AS "right", (20 * n + 8) / 4000.0::DOUBLE AS bottom, 1 AS block, n AS line FROM {ORDER_LINES_SQL}, range(2) r(j)"""
+
+
+def order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(page, n, words) with the two words of each line: text, left, top, right, bottom in points."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("page"), n.alias("n"), F.concat(F.lit("#"), "o_orderkey").alias("k"))
+    word = lambda text, left: F.struct(text.alias("text"), F.lit(left).alias("left"), (F.col("n") * 20).alias("top"), F.lit(left + 60).alias("right"), (F.col("n") * 20 + 8).alias("bottom"))
+    return o.select("page", "n", F.array(word(F.lit("Order"), 10), word(F.col("k"), 110)).alias("words"))
+
+
+def page_of(lines: DataFrame, line: Column, gap: str) -> DataFrame:
+    """(page, body) with the text of all lines in order."""
+    return lines.select("page", F.struct("n", line.alias("line")).alias("x")).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), gap).alias("body"))
+
+
+@query(WORDS_SQL)
+def markup_words(spark: SparkSession, d: str) -> DataFrame:
+    word = lambda w: F.format_string('<word xMin="%d.000000" yMin="%d.000000" xMax="%d.000000" yMax="%d.000000">%s</word>', w["left"], w["top"], w["right"], w["bottom"], w["text"])
+    bodies = page_of(order_lines(spark, d), F.concat(F.lit("<line>"), F.array_join(F.transform("words", word), ""), F.lit("</line>")), "")
+    markup = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><body><doc><page width="600" height="4000"><flow><block>'), "body", F.lit("</block></flow></page></doc></body></html>"))
+    return geometry.markup_words(bodies.select("page", markup.alias("markup")), ["page"]).drop("fault")
+
+
+@query(WORDS_SQL)
+def tsv_words(spark: SparkSession, d: str) -> DataFrame:
+    row = lambda w, i: F.format_string("5\t1\t7\t3\t%d\t%d\t%d\t%d\t%d\t%d\t90.5\t%s", F.col("n") * 2, i + 1, w["left"], w["top"], w["right"] - w["left"], w["bottom"] - w["top"], w["text"])
+    bodies = page_of(order_lines(spark, d), F.array_join(F.transform("words", row), "\n"), "\n")
+    tsv = F.concat(F.lit("\t".join(geometry.TSV_COLUMNS) + "\n1\t1\t0\t0\t0\t0\t0\t0\t600\t4000\t-1\t\n"), "body", F.lit("\n"))
+    return geometry.tsv_words(bodies.select("page", tsv.alias("tsv"), F.lit(600).alias("pixel_width"), F.lit(4000).alias("pixel_height")), ["page"]).drop("fault")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'geometry_text_unverified' WHEN 2 THEN 'geometry_invalid' WHEN 3 THEN 'geometry_invalid' END AS fault FROM lineitem WHERE l_partkey % 6 <> 0""")
+def geometry_faults(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each line item: one without words, one with a word of two parts, one out of bounds, one without its page's row, and
+    two that are right."""
+    k = F.col("l_partkey") % 6
+    word = F.format_string("5\t1\t1\t1\t1\t1\t%d\t10\t20\t10\t90\t%s", F.when(k == 2, 590).otherwise(10), F.when(k == 1, "two parts").otherwise("one"))
+    page = F.when(k == 3, "").otherwise("1\t1\t0\t0\t0\t0\t0\t0\t600\t4000\t-1\t\n")
+    tsv = F.concat(F.lit("\t".join(geometry.TSV_COLUMNS) + "\n"), page, F.when(k == 0, "").otherwise(word))
+    # Line items may share an order and a number: each is a page of its own.
+    pages = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.monotonically_increasing_id().alias("page"), tsv.alias("tsv"), F.lit(600).alias("pixel_width"), F.lit(4000).alias("pixel_height"))
+    return geometry.tsv_words(pages, ["l_orderkey", "l_linenumber", "page"]).select("l_orderkey", "l_linenumber", "fault")
+
+
+@query("SELECT c_custkey, c_custkey % 5 IN (0, 4) AS mapped FROM customer")
+def page_mappings(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each customer: upright, turned, cropped, of another size, and one whose file has but this page."""
+    k = F.col("c_custkey")
+    size = lambda w: F.format_string("%.2f %.2f", w, F.lit(841.8898))
+    width = 500 + (k % 100) * 1.0006
+    name = F.when(k % 5 == 4, "").otherwise(F.concat(F.lit("Page "), k, F.lit(" ")))
+    info = F.concat(
+        F.lit("Producer: x\n"), F.when(k % 5 == 4, "Page").otherwise(F.concat(F.lit("Page "), k)), F.when(k % 5 == 1, " rot: 90\n").otherwise(" rot: 0\n"),
+        name, F.lit("MediaBox: 0.00 0.00 "), size(width), F.lit("\n"), name, F.lit("CropBox: 0.00 "), F.when(k % 5 == 2, "1.00 ").otherwise("0.00 "), size(width), F.lit("\n"),
+    )
+    dots = F.ceil(width * 200 / 72) + F.when(k % 5 == 3, 1).otherwise(0)
+    return t(spark, d, "customer").select("c_custkey", geometry.mapping_verified(info, k, width, F.lit(841.8898), dots, F.lit(2339)).alias("mapped"))
 
 
 # Catalogue, retention and evaluation over states derived from orders.
