@@ -263,3 +263,13 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(i)))
         assert 0 < docs.count() <= n
     assert docs.where("not exact").count() == 0
+
+
+def test_units_are_merged_at_once_as_one_by_one(text):
+    v = P.vocabulary()
+    rng = random.Random(4)
+    units = [P.MARK + "".join(rng.choice("etaoinshrdluäß🙂#▁9") for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [P.MARK + w for w in text(2000, 3).split()] + ["x", P.MARK, "🙂"]
+    one = [np.array([i for p in v.merge(u) for i in v.to_ids(p)], v.dtype).tobytes() for u in units]
+    assert v.merged(units) == one and v.merged([]) == []
+    texts = [P.normalised(text(n % 40, n)) for n in range(300)] + ["", P.normalised("y" * 5000)]
+    assert list(v.encode_all(texts)) == [v.encode(t) for t in texts]

@@ -45,6 +45,8 @@ CHUNK_CHARS = 8_192
 FAN = 256
 #: Units whose pieces a worker remembers, and the longest of them.
 REMEMBERED, LONGEST_UNIT = 200_000, 64
+#: Units that are merged in one go, and characters of texts whose units are.
+UNITS_AT_ONCE, CHARS_AT_ONCE = 4_096, 500_000
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Tokens that are handed on at once.
 TOKENS_AT_ONCE = 100_000
@@ -73,12 +75,35 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         self.cuts = not any(p[i] == MARK != p[i - 1] for p in self.ids for i in range(1, len(p)))
         self.penalty = min([self.scores[i] for i in self.ids.values()], default=0.0) - 10.0
+        #: Ids of units: those of late, and those before them.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.dtype = np.dtype("<u2" if len(self.pieces) <= 65_536 else "<u4")
         self.plain = [p.replace(MARK, " ").encode() if i not in self.special else b"" for i, p in enumerate(self.pieces)]
         for b, i in enumerate(self.byte_ids):
             self.plain[i] = bytes([b])
+        if self.kind == "bpe":
+            self._tabulate()
+
+    def _tabulate(self) -> None:
+        """Pairs of symbols that a merge joins, as sorted codes, with the rank of each by score and the symbol it makes.
+
+        Symbols are the pieces, by their ids, and the characters of pieces that are none themselves.
+        """
+        symbols = dict(self.ids)
+        for p in self.ids:
+            for c in p:
+                symbols.setdefault(c, len(self.pieces) + len(symbols))
+        rank = {s: i for i, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.n_symbols = len(self.pieces) + len(symbols) + 1
+        made = [(symbols[p[:i]] * self.n_symbols + symbols[p[i:]], rank[self.score[p]], n) for p, n in self.ids.items() for i in range(1, len(p)) if p[:i] in symbols and p[i:] in symbols]
+        codes, ranks, makes = zip(*sorted(made) or [(-1, 0, 0)], strict=True)
+        self.pair_codes, self.pair_ranks, self.pair_makes = np.array(codes, np.int64), np.array(ranks, np.int32), np.array(makes, np.int32)
+        self.characters = np.full(0x110000, -2, np.int32)  # by code point
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.characters[ord(c)] = i
 
     # Encoding of short stretches, by the definition of each kind.
 
@@ -96,6 +121,83 @@ class Vocabulary:
                 joint[k - 1] = score(parts[k - 1] + parts[k], NEVER)
         return parts
 
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of pairs of symbols in the table, or -1. Symbols below 0 are none."""
+        code = a.astype(np.int64) * self.n_symbols + b
+        at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+        return np.where((self.pair_codes[at] == code) & (a >= 0) & (b >= 0), at, -1).astype(np.int32)
+
+    def merged(self, units: list[str]) -> list[bytes]:
+        """Ids of many short units at once: in each round every unit joins its best pair, as `merge` does for one."""
+        out: list[bytes] = [b""] * len(units)
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        for low in range(0, len(order), UNITS_AT_ONCE):
+            rows = np.array(order[low : low + UNITS_AT_ONCE])
+            width = max(2, len(units[rows[-1]]))
+            part = [units[i] for i in rows]
+            s = np.full((len(rows), width), -1, np.int32)
+            s[np.arange(width) < np.array([len(u) for u in part])[:, None]] = self.characters[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            at = self._pairs(s[:, :-1], s[:, 1:])
+            never = len(self.pair_ranks)
+            rank = np.where(at >= 0, self.pair_ranks[at], never)
+            while len(rows):
+                best = rank.argmin(axis=1)
+                each = np.arange(len(rows))
+                goes_on = rank[each, best] < never
+                done, ended = rows[~goes_on], s[~goes_on]
+                filled = ended != -1
+                plain = ((ended < len(self.pieces)) & (ended != -2)).all(axis=1)
+                data, ends = ended[filled].astype(self.dtype).tobytes(), (np.cumsum(filled.sum(axis=1)) * self.dtype.itemsize).tolist()
+                for i, begin, end, known in zip(done.tolist(), [0, *ends], ends, plain.tolist(), strict=False):
+                    out[i] = data[begin:end] if known else np.array([x for p in self.merge(units[i]) for x in self.to_ids(p)], self.dtype).tobytes()
+                rows, s, at, rank, best = rows[goes_on], s[goes_on], at[goes_on], rank[goes_on], best[goes_on]
+                each = np.arange(len(rows))
+                s[each, best] = self.pair_makes[at[each, best]]
+                # What stands right of the joint pair moves up by one.
+                place = np.arange(width)
+                s = np.take_along_axis(np.concatenate([s, np.full((len(rows), 1), -1, np.int32)], axis=1), place + (place > best[:, None]), axis=1)
+                moved = place[:-1] + (place[:-1] >= best[:, None])
+                at = np.take_along_axis(np.concatenate([at, np.full((len(rows), 1), -1, np.int32)], axis=1), moved, axis=1)
+                for k in (best - 1, best):
+                    ok = (k >= 0) & (k < width - 1)
+                    at[each[ok], k[ok]] = self._pairs(s[each[ok], k[ok]], s[each[ok], k[ok] + 1])
+                rank = np.where(at >= 0, self.pair_ranks[at], never)
+        return out
+
+    def prepare(self, lists: list[list[str]]) -> None:
+        """Remember the ids of all short units in these lists. Units that were not met again since half of the room was
+        filled go first."""
+        if self.kind != "bpe":
+            return
+        units = {u for units in lists for u in units if len(u) <= LONGEST_UNIT}
+        if len(self.known) + len(units) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        new = []
+        for u in units.difference(self.known):
+            if (ids := self.older.get(u)) is None:
+                new.append(u)
+            else:
+                self.known[u] = ids
+        self.known.update(zip(new, self.merged(new), strict=True))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of normalised texts, some CHARS_AT_ONCE characters at a time."""
+        if not self.cuts:
+            yield from map(self.encode, texts)
+            return
+        low = 0
+        while low < len(texts):
+            high, held = low, 0
+            while high < len(texts) and held < CHARS_AT_ONCE:
+                held += len(texts[high])
+                high += 1
+            lists = [UNIT.findall(t) for t in texts[low:high]]
+            self.prepare(lists)
+            get = self.known.get
+            for units in lists:
+                yield b"".join([get(u) or self.unit(u) for u in units])
+            low = high
+
     def fit(self, a: str, b: str) -> bool:
         if (known := self.fits.get((a, b))) is None:
             if len(self.fits) > REMEMBERED:
@@ -143,8 +245,8 @@ class Vocabulary:
             return b""
         if not self.cuts:
             return np.array([i for s, e in best_path(self, text) for i in self.to_ids(text[s:e])], self.dtype).tobytes()
-        unit = self.unit
-        return b"".join([unit(u) for u in UNIT.findall(text)])
+        get = self.known.get
+        return b"".join([get(u) or self.unit(u) for u in UNIT.findall(text)])
 
     def decode(self, ids: bytes) -> str:
         """The normalised text with spaces for marks."""
@@ -447,8 +549,9 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
         v = vocabulary(path)
         for batch in batches:
             rows, held = [], 0
-            for row, k, t in batch.itertuples(index=False, name=None):
-                rows.append((row, k, 0, 0, 0, *part(v, v.encode(normalised(t or "")), t or "", True, with_ids)))
+            every = v.encode_all([normalised(t or "") for t in batch["t"]])
+            for (row, k, t), ids in zip(batch.itertuples(index=False, name=None), every, strict=True):
+                rows.append((row, k, 0, 0, 0, *part(v, ids, t or "", True, with_ids)))
                 held += rows[-1][5]
                 if held >= TOKENS_AT_ONCE:
                     yield pd.DataFrame(rows, columns=columns)
@@ -502,6 +605,8 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
         v = vocabulary(path)
         for batch in batches:
             rows = []
+            for low in range(0, len(batch) if v.cuts else 0, max(1, CHARS_AT_ONCE // chunk_chars)):
+                v.prepare([UNIT.findall(t) for t in batch["text"].iloc[low : low + max(1, CHARS_AT_ONCE // chunk_chars)]])
             for row, k, n, s0, s1, e0, e1, *c in batch[["row", "k", "chunk", "s0", "s1", "e0", "e1", *CHUNK]].itertuples(index=False, name=None):
                 chunk = Chunk(*c)
                 ids = chunk.backtrace(v, (s0, s1), (e0, e1))
