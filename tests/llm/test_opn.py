@@ -226,15 +226,18 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame([(*p, "mine") for p in pages], "page_id long, url string, html string, Host string").write.parquet(f"{at}/pages.parquet")
     spark.createDataFrame([(1, "one two three four"), (2, None), (None, ""), (3, words[:400])], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     spark.createDataFrame([(1, 1, 0), (5, 0, None), (None, 1, 0), (7, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    vectors = [(1, [0.5] * 64), (1, [0.5] * 64), (None, [1.0] * 64), (2, None), (3, [0.5] * 63), (4, [None] * 64)]
+    spark.createDataFrame([(*v, "mine") for v in vectors], "vec_id long, embedding array<float>, Cluster string").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
 def test_odd_rows_keep_their_rows(spark, odd, tmp_path):
-    for name, n in (("op3_quality_divergence", 11), ("op4_secret_links", 11), ("op5_quality_fm", 11), ("op8_piece_scan", 11), ("op9_weighted_minhash", 11), ("op10_shard_interleave", 11), ("op2_url_markov", 5), ("op7_warc_derivatives", 10)):
+    for name, n in (("op3_quality_divergence", 11), ("op4_secret_links", 11), ("op5_quality_fm", 11), ("op8_piece_scan", 11), ("op9_weighted_minhash", 11), ("op10_shard_interleave", 11), ("op2_url_markov", 5), ("op7_warc_derivatives", 10), ("op11_ball_clusters", 3), ("op13_line_dedup", 11)):
         assert len(rows_of(spark, name, odd)) == n, name
     assert {(r["doc_id"], r["item_id"]) for r in rows_of(spark, "op1_simhash_decontamination", odd)} == {(1, 3), (8, 1)}
     assert sum(r["n_docs"] for r in rows_of(spark, "op6_token_rollup", odd)) == 11
-    for t in ("documents", "pages", "benchmark", "labels"):
+    assert {(r["item_id"], r["doc_id"]) for r in rows_of(spark, "op12_lexical_max_tree", odd) if r["rank"] == 1} == {(1, 8), (3, 1)}
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{odd}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, f in queries().items():
         assert f(spark, str(tmp_path)).count() == 0, name

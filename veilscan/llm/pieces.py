@@ -40,7 +40,7 @@ from .common import materialize, ship, table, tidy
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Documents of more characters are cut into chunks of so many, which any executor may take.
-CHUNK_CHARS = 8_192
+CHUNK_CHARS = 16_384
 #: Matrices that are multiplied, and whose states are chosen, in one task.
 FAN = 256
 #: Units whose pieces a worker remembers, and the longest of them.
@@ -78,6 +78,7 @@ class Vocabulary:
         #: Ids of units: those of late, and those before them.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.bare: dict[int, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.dtype = np.dtype("<u2" if len(self.pieces) <= 65_536 else "<u4")
         self.plain = [p.replace(MARK, " ").encode() if i not in self.special else b"" for i, p in enumerate(self.pieces)]
@@ -136,7 +137,10 @@ class Vocabulary:
             width = max(2, len(units[rows[-1]]))
             part = [units[i] for i in rows]
             s = np.full((len(rows), width), -1, np.int32)
-            s[np.arange(width) < np.array([len(u) for u in part])[:, None]] = self.characters[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+            found = self.characters[points]
+            # Characters of no piece are known by their code points, below -1.
+            s[np.arange(width) < np.array([len(u) for u in part])[:, None]] = np.where(found == -2, -2 - points.astype(np.int32), found)
             at = self._pairs(s[:, :-1], s[:, 1:])
             never = len(self.pair_ranks)
             rank = np.where(at >= 0, self.pair_ranks[at], never)
@@ -146,10 +150,12 @@ class Vocabulary:
                 goes_on = rank[each, best] < never
                 done, ended = rows[~goes_on], s[~goes_on]
                 filled = ended != -1
-                plain = ((ended < len(self.pieces)) & (ended != -2)).all(axis=1)
+                plain = ((ended < len(self.pieces)) & (ended >= -1)).all(axis=1)
                 data, ends = ended[filled].astype(self.dtype).tobytes(), (np.cumsum(filled.sum(axis=1)) * self.dtype.itemsize).tolist()
-                for i, begin, end, known in zip(done.tolist(), [0, *ends], ends, plain.tolist(), strict=False):
-                    out[i] = data[begin:end] if known else np.array([x for p in self.merge(units[i]) for x in self.to_ids(p)], self.dtype).tobytes()
+                for i, begin, end in zip(done.tolist(), [0, *ends], ends, strict=False):
+                    out[i] = data[begin:end]
+                for n in np.flatnonzero(~plain).tolist():
+                    out[done[n]] = b"".join([self.symbol(x) for x in ended[n][filled[n]].tolist()])
                 rows, s, at, rank, best = rows[goes_on], s[goes_on], at[goes_on], rank[goes_on], best[goes_on]
                 each = np.arange(len(rows))
                 s[each, best] = self.pair_makes[at[each, best]]
@@ -164,12 +170,21 @@ class Vocabulary:
                 rank = np.where(at >= 0, self.pair_ranks[at], never)
         return out
 
+    def symbol(self, x: int) -> bytes:
+        """Ids of what is left of a unit after all merges: a piece, or a character that is none."""
+        if 0 <= x < len(self.pieces):
+            return np.array([x], self.dtype).tobytes()
+        if (found := self.bare.get(x)) is None:
+            c = chr(-2 - x) if x < 0 else next(c for c in {c for p in self.ids for c in p} if self.characters[ord(c)] == x)
+            found = self.bare[x] = np.array(self.to_ids(c), self.dtype).tobytes()
+        return found
+
     def prepare(self, lists: list[list[str]]) -> None:
         """Remember the ids of all short units in these lists. Units that were not met again since half of the room was
         filled go first."""
         if self.kind != "bpe":
             return
-        units = {u for units in lists for u in units if len(u) <= LONGEST_UNIT}
+        units = {u for u in set().union(*lists) if len(u) <= LONGEST_UNIT}
         if len(self.known) + len(units) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
         new = []
@@ -180,6 +195,13 @@ class Vocabulary:
                 self.known[u] = ids
         self.known.update(zip(new, self.merged(new), strict=True))
 
+    def joined(self, units: list[str]) -> bytes:
+        """Ids of units in a row."""
+        try:
+            return b"".join(map(self.known.__getitem__, units))
+        except KeyError:  # long ones, and those that weren't prepared
+            return b"".join(map(self.unit, units))
+
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of normalised texts, some CHARS_AT_ONCE characters at a time."""
         if not self.cuts:
@@ -193,9 +215,8 @@ class Vocabulary:
                 high += 1
             lists = [UNIT.findall(t) for t in texts[low:high]]
             self.prepare(lists)
-            get = self.known.get
             for units in lists:
-                yield b"".join([get(u) or self.unit(u) for u in units])
+                yield self.joined(units)
             low = high
 
     def fit(self, a: str, b: str) -> bool:
@@ -245,8 +266,7 @@ class Vocabulary:
             return b""
         if not self.cuts:
             return np.array([i for s, e in best_path(self, text) for i in self.to_ids(text[s:e])], self.dtype).tobytes()
-        get = self.known.get
-        return b"".join([get(u) or self.unit(u) for u in UNIT.findall(text)])
+        return self.joined(UNIT.findall(text))
 
     def decode(self, ids: bytes) -> str:
         """The normalised text with spaces for marks."""
