@@ -653,7 +653,8 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     if not found:
         return done.withColumnRenamed("k", key)
     states = materialize(found[0].unionByName(found[1]) if len(found) > 1 else found[0], "piece-states")
-    traced = rows.join(states, ["row", "chunk"]).mapInPandas(tidy(trace), out)
+    # There are as many states as chunks, so they are never broadcast.
+    traced = rows.join(states.hint("merge"), ["row", "chunk"]).mapInPandas(tidy(trace), out)
     before = lambda n: F.coalesce(F.sum(n).over(Window.partitionBy("row").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Rows of both branches are numbered by themselves: those of large documents are made negative.
     traced = traced.withColumns({"first": before("n_tokens"), "first_char": before("n_decoded"), "row": -1 - F.col("row")})
