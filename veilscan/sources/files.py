@@ -6,6 +6,7 @@ import os
 import stat
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -119,12 +120,55 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.lit("file").alias("kind"), "length")
 
 
+def open_below(root: str, path: str) -> int:
+    """A descriptor of a file below a root. No part of the way may be a link: each is opened from the one before it."""
+    at = os.open(root, os.O_RDONLY | os.O_DIRECTORY)
+    *folders, name = os.path.relpath(path, root).split(os.sep)
+    try:
+        for part in folders:
+            inner = os.open(part, os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW, dir_fd=at)
+            os.close(at)
+            at = inner
+        return os.open(name, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK, dir_fd=at)
+    finally:
+        os.close(at)
+
+
+def mounted_contents(wanted: DataFrame, root: str, most: int) -> DataFrame:
+    """(path, listed, length, changed, content) of the listed files (wanted, listed) of a mounted tree, and of no others.
+
+    A file is looked at before and after it is read; another size, time or file in between counts as changed. What is a
+    link or no plain file by then, or can't be opened, is left out. One file at a time is in a worker.
+    """
+    held = os.path.realpath(root)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, listed in batch.itertuples(index=False, name=None):
+                try:
+                    fd = open_below(held, os.path.join(held, os.path.relpath(path, root)))
+                except OSError:
+                    continue
+                with open(fd, "rb") as f:
+                    before = os.fstat(f.fileno())
+                    if not stat.S_ISREG(before.st_mode):
+                        continue
+                    content = f.read(most + 1)
+                    after = os.fstat(f.fileno())
+                same = (before.st_size, before.st_mtime_ns, before.st_ino) == (after.st_size, after.st_mtime_ns, after.st_ino) and len(content) == after.st_size == listed
+                yield pd.DataFrame({"path": [path], "listed": [listed], "length": [before.st_size], "changed": [not same], "content": [content]})
+
+    spread = wanted.repartition("wanted").select("wanted", "listed")
+    return spread.mapInPandas(read, "path string, listed long, length long, changed boolean, content binary")
+
+
 def scan_files(spark: SparkSession, root: str, options: Options = Options()) -> DataFrame:
     """Objects of a tree on any file system: (object_key, location, status, reason, unit, examined, fingerprint, text,
-    linkage_verified). Contents are read of those only that the gates let through: size is pushed down to the listing.
+    linkage_verified). In mounted trees, those files only are opened that are listed and that the gates let through, and no
+    link on the way to them. Stores have no links; their reader opens all files of known suffixes and sizes.
 
     The first `max_files` entries by path are objects; if there are more, a row `[coverage]` says so. A file that has
-    changed in size since it was listed is partial, and one that is gone by then is inaccessible.
+    changed since it was listed, or while it was read, is partial, and one that is gone by then is inaccessible.
     """
     ship(spark)
     names = listing(spark, root)
@@ -135,12 +179,15 @@ def scan_files(spark: SparkSession, root: str, options: Options = Options()) ->
     cap = more.select(F.lit("[coverage]").alias("path"), F.lit("partial").alias("status"), F.lit("file_limit_reached").alias("reason"), F.lit("bytes").alias("unit"), F.lit(options.max_files).cast("long").alias("examined"), *none)
     out = listed.where("status is not null").select("path", "status", "reason", F.lit("bytes").alias("unit"), F.lit(0).cast("long").alias("examined"), *none)
     wanted = listed.where("status is null").select(F.col("path").alias("wanted"), F.col("length").alias("listed"))  # max_files rows at most
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    contents = files.where((F.col("length") <= options.max_file_bytes) & suffix(F.col("path")).isin(*TEXT_SUFFIXES, *DOCUMENT_SUFFIXES)).withColumn("path", plain_path(F.col("path")))
-    found = contents.join(F.broadcast(wanted), F.col("path") == F.col("wanted"))
-    read = found.select("path", "length", "listed", "content", extract_udf(options.max_text_chars)(F.col("content"), suffix(F.col("path"))).alias("x"))
-    changed = (F.octet_length("content") != F.col("length")) | (F.col("length") != F.col("listed"))
-    read = durable(read.select("path", F.when(changed, "partial").otherwise(F.col("x.status")).alias("status"), F.when(changed, "file_changed_during_scan").otherwise(F.col("x.reason")).alias("reason"), "x.unit", "x.examined", F.sha2("content", 256).alias("fingerprint"), "x.text", "x.linkage_verified"))
+    if (mounted := local_root(root)) is not None:
+        found = mounted_contents(wanted, mounted, options.max_file_bytes)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        contents = files.where((F.col("length") <= options.max_file_bytes) & suffix(F.col("path")).isin(*TEXT_SUFFIXES, *DOCUMENT_SUFFIXES)).withColumn("path", plain_path(F.col("path")))
+        changed = (F.octet_length("content") != F.col("length")) | (F.col("length") != F.col("listed"))
+        found = contents.join(F.broadcast(wanted), F.col("path") == F.col("wanted")).withColumn("changed", changed)
+    read = found.select("path", "changed", "content", extract_udf(options.max_text_chars)(F.col("content"), suffix(F.col("path"))).alias("x"))
+    read = durable(read.select("path", F.when(F.col("changed"), "partial").otherwise(F.col("x.status")).alias("status"), F.when(F.col("changed"), "file_changed_during_scan").otherwise(F.col("x.reason")).alias("reason"), "x.unit", "x.examined", F.sha2("content", 256).alias("fingerprint"), "x.text", "x.linkage_verified"))
     gone = wanted.join(read.select(F.col("path").alias("wanted")), "wanted", "left_anti").select(F.col("wanted").alias("path"), F.lit("inaccessible").alias("status"), F.lit("path_not_readable").alias("reason"), F.lit("bytes").alias("unit"), F.lit(0).cast("long").alias("examined"), *none)
     every = out.unionByName(read).unionByName(gone).unionByName(cap)
     return every.withColumn("location", F.col("path")).withColumn("object_key", object_key(F.col("path"))).drop("path")
