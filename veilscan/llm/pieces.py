@@ -46,11 +46,14 @@ FAN = 256
 #: Units whose pieces a worker remembers, and the longest of them.
 REMEMBERED, LONGEST_UNIT = 200_000, 64
 #: Units that are merged in one go, and characters of texts whose units are.
-UNITS_AT_ONCE, CHARS_AT_ONCE = 4_096, 500_000
+UNITS_AT_ONCE, CHARS_AT_ONCE = 4_096, 250_000
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Tokens that are handed on at once.
 TOKENS_AT_ONCE = 100_000
 DIGEST = 2_147_483_647
+#: Values of a digest that are summed in one go, and their places.
+DIGESTED_AT_ONCE = 500_000
+PLACES = np.arange(1, DIGESTED_AT_ONCE + 1, dtype=np.int64)
 NEVER = float("-inf")
 
 #: (start, end) of a piece in the text; the state before all text is (-1, 0).
@@ -185,10 +188,11 @@ class Vocabulary:
         if self.kind != "bpe":
             return
         units = {u for u in set().union(*lists) if len(u) <= LONGEST_UNIT}
-        if len(self.known) + len(units) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
+        missing = units.difference(self.known)
+        if len(self.known) + len(missing) > REMEMBERED // 2:
+            self.known, self.older, missing = {}, self.known, units
         new = []
-        for u in units.difference(self.known):
+        for u in missing:
             if (ids := self.older.get(u)) is None:
                 new.append(u)
             else:
@@ -529,9 +533,13 @@ def encode_chunked(v: Vocabulary, text: str, size: int, fan: int = FAN) -> bytes
 
 def digest_parts(values: np.ndarray) -> tuple[int, int]:
     """Sum of the values, and of each times its place from 1, both modulo DIGEST; a later stretch adds its places' offset."""
-    x = values.astype(np.int64)
-    places = np.arange(1, len(x) + 1, dtype=np.int64) % DIGEST
-    return int(x.sum() % DIGEST), int((places * x % DIGEST).sum() % DIGEST)
+    total = weighted = 0
+    for low in range(0, len(values), DIGESTED_AT_ONCE):
+        x = values[low : low + DIGESTED_AT_ONCE].astype(np.int64)
+        part = int(x.sum())  # neither this nor the product below reaches 63 bits
+        total += part
+        weighted += int(np.dot(PLACES[: len(x)], x)) + low % DIGEST * part
+    return total % DIGEST, weighted % DIGEST
 
 
 CHUNK, STATE = ["text", "offset", "start", "end", "last"], ["s0", "s1", "e0", "e1"]
