@@ -220,7 +220,7 @@ class Page(html.parser.HTMLParser):
 
     def _mark(self, tag: str, attrs: dict[str, str | None]) -> None:
         classes = (attrs.get("class") or "").split()
-        mark = "\f" if tag == "tr" or (tag == "div" and "page" in classes) else "\n\n" if tag in self.BLOCKS else "\n" if tag == "br" else "\t" if tag in self.CELLS else " " if {"ocrx_word", "ocr_word"} & set(classes) else ""
+        mark = "\f" if tag == "tr" or (tag == "div" and {"page", "ocr_page"} & set(classes)) else "\n\n" if tag in self.BLOCKS else "\n" if tag == "br" else "\t" if tag in self.CELLS else " " if {"ocrx_word", "ocr_word"} & set(classes) else ""
         if mark and not self.silent:
             self.out.append(mark)
 
@@ -246,6 +246,55 @@ def page_text(markup: str) -> str:
     return "".join(page.out)
 
 
+class Sheets(Page):
+    """The text of each page element by itself, and what stands outside of all of them.
+
+    A page within a page, an element that ends twice or never: then the order of pages can't be trusted, and `sound` is
+    false. Text of a page that never ends counts as outside.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.outside, self.pages, self.divisions, self.sound = self.out, [], [], True
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        page = tag == "div" and "page" in (dict(attrs).get("class") or "").split()
+        begins = page and self.out is self.outside
+        if begins:
+            self.out = []
+        super().handle_starttag(tag, attrs)
+        if begins:
+            # The mark between pages belongs to neither of them.
+            self.out.clear()
+            self.pages.append(self.out)
+        if tag == "div":
+            self.divisions.append(begins)
+        self.sound &= begins or not page
+
+    def handle_endtag(self, tag: str) -> None:
+        super().handle_endtag(tag)
+        if tag == "div":
+            self.sound &= bool(self.divisions)
+            if self.divisions and self.divisions.pop():
+                self.out = self.outside
+
+    def result(self) -> tuple[list[str], str, bool]:
+        self.close()
+        if self.out is not self.outside:
+            self.outside += self.pages.pop()
+        return ["".join(p) for p in self.pages], "".join(self.outside), self.sound and not self.divisions
+
+
+SHEETS = T.StructType([T.StructField("pages", T.ArrayType(T.StringType())), T.StructField("outside", T.StringType()), T.StructField("sound", T.BooleanType()), T.StructField("text", T.StringType())])
+
+
+def page_sheets(markup: str | None) -> tuple[list[str], str, bool, str]:
+    """SHEETS of markup: its pages, the text outside of them, whether their order can be trusted, and all of its text."""
+    reader = Sheets()
+    reader.feed(markup or "")
+    return *reader.result(), page_text(markup or "").strip(" \n\r\t\f")
+
+
 def supplement(pages: list[str], native: list[str]) -> list[str]:
     """Pages that don't equal, but for white space and normal form, the native page at the same place."""
     plain = lambda x: " ".join(unicodedata.normalize("NFC", x).split())
@@ -316,3 +365,14 @@ def extract_udf(maximum: int = 1_000_000) -> Callable[..., Column]:
 
 def page_text_udf() -> Callable[..., Column]:
     return _series(lambda x: page_text(x or ""), T.StringType(), 1)
+
+
+def page_sheets_udf() -> Callable[..., Column]:
+    """markup -> SHEETS."""
+
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([page_sheets(x) for x in batch], columns=SHEETS.fieldNames())
+
+    read.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(read, SHEETS)

@@ -15,7 +15,7 @@ from ..common import ship
 from ..functions.recognizers import CARDS, RULES
 from ..functions.structured import page_text_udf, render_udf
 from ..functions.text import bounded, csv_guard, location, object_key, segments, structured_kind, windows
-from ..operators import catalog, channels, columns, compare, control, evaluate, findings, geometry, graph, layout, retention, spatial
+from ..operators import accounts, catalog, channels, columns, compare, control, evaluate, findings, geometry, graph, layout, retention, sheets, spatial
 from ..sources.options import Options
 from ..sources.tables import parquet_table
 
@@ -587,6 +587,130 @@ def words_lost(spark: SparkSession, d: str) -> DataFrame:
     return channels.lost_words(found, w.select("page", F.row_number().over(Window.partitionBy("page").orderBy("ordinal")).alias("n")).select("page", (F.col("n") - 1).alias("ordinal")), ["page"])
 
 
+# Accounts of page readers, and pages of two readers.
+
+
+def frame_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """An account for each customer, a frame for each order. Every seventh order can't be rendered, every eleventh is cut
+    off; every 13th customer claims the opposite, every 17th miscounts, every 19th gives a reason of its own."""
+    k, doc = F.col("o_orderkey"), F.col("doc")
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(k)).alias("ordinal"), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("Order "), k)).alias("text"), (k % 7 == 0).alias("lost"), (k % 11 == 0).alias("cut"))
+    status = lambda other: F.when(F.col("lost"), other).otherwise("completed")
+    unit = F.struct("ordinal", status("failed").alias("render_status"), status("not_attempted").alias("ocr_status"), "text", (F.col("cut") & ~F.col("lost")).alias("truncated"))
+    g = o.groupBy("doc").agg(F.array_sort(F.collect_list(unit)).alias("units"), F.count_if(~F.col("lost") & ~F.col("cut")).alias("read"), F.sum(F.char_length("text")).alias("n_chars"))
+    complete = (F.col("read") == F.size("units")) & (doc % 19 != 0)
+    account = F.struct(
+        F.lit(accounts.PROTOCOL).alias("protocol"), F.lit("image").alias("kind"), F.size("units").alias("original_unit_count"), F.lit(0).alias("units_omitted"), (complete != (doc % 13 == 0)).alias("page_accounting_complete"), F.lit(False).alias("limited"),
+        F.lit(False).alias("legibility_verified"), F.when(doc % 19 == 0, F.array(F.lit("odd"), F.lit("page_limit"), F.lit("odd"))).otherwise(F.array().cast("array<string>")).alias("reason_codes"), (doc % 3 == 0).alias("nonvisual_content_present"),
+        (F.col("n_chars") + F.when(doc % 17 == 0, 1).otherwise(0)).alias("text_characters"), "units",
+    )
+    return g.select("doc", F.lit("image").alias("kind"), F.to_json(account).alias("report"))
+
+
+FRAMES_SQL = """(SELECT *, n > 100 OR doc % 17 = 0 AS wrong, read = n AND doc % 19 <> 0 AS done FROM (SELECT o_custkey AS doc, count(*) AS n, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0) AS read,
+string_agg(CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Order ' || o_orderkey END, chr(12) ORDER BY o_orderkey) AS text FROM orders GROUP BY 1))"""
+
+
+@query(f"""SELECT doc, CASE WHEN f IS NOT NULL THEN 'failed' WHEN done AND doc % 3 <> 0 THEN 'full' ELSE 'partial' END AS status,
+CASE WHEN f IS NOT NULL THEN 'page_ocr_unavailable_or_invalid_response' WHEN NOT done THEN 'page_or_frame_ocr_incomplete' WHEN doc % 3 = 0 THEN 'image_nonvisual_metadata_not_inspected' END AS reason, f AS fault,
+CASE WHEN f IS NULL THEN text END AS text, CASE WHEN f IS NULL THEN read ELSE 0 END AS examined, CASE WHEN f IS NULL THEN CASE WHEN doc % 19 = 0 THEN 'page_limit,worker_reported_incomplete' ELSE '' END END AS reasons
+FROM (SELECT *, CASE WHEN wrong THEN 'invalid_accounting' WHEN doc % 13 = 0 THEN 'inconsistent_accounting' END AS f FROM {FRAMES_SQL})""")
+def ocr_accounts(spark: SparkSession, d: str) -> DataFrame:
+    told = accounts.accounted(frame_accounts(spark, d)).documents
+    return told.select("doc", "status", "reason", "fault", "text", "examined", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""SELECT doc, n <= 100 AS valid, CASE WHEN n <= 100 THEN n END AS total, CASE WHEN n <= 100 THEN read END AS completed, CASE WHEN n <= 100 THEN 0 END::BIGINT AS omitted,
+CASE WHEN n <= 100 THEN done <> (doc % 13 = 0) AND read = n END AS complete, CASE WHEN n <= 100 THEN doc % 3 = 0 END AS uninspected FROM {FRAMES_SQL}""")
+def ocr_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of the accounts as they stand: counts of units are made anew, sums of characters aren't looked at."""
+    shown = frame_accounts(spark, d).select("doc", accounts.coverage_view(F.col("report")).alias("v"))
+    return shown.select("doc", "v.valid", "v.total", "v.completed", "v.omitted", "v.complete", "v.uninspected")
+
+
+def page_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each customer with both channels. Every fourth has no verified places, every fifth no text of its own,
+    every seventh a text that its words don't spell; two of three have an inventory of features."""
+    k = F.col("page")
+    w = two_channels(spark, d).where((F.col("channel") == "ocr") | (k % 5 != 0))
+    lines = lambda rows: F.array_join(F.transform(rows, lambda x: x["text"]), " ")
+    word = F.struct("ordinal", "text", "left", "top", "right", "bottom", "block", "line")
+    side = lambda channel: F.array_sort(F.collect_list(F.when(F.col("channel") == channel, word)))
+    g = w.groupBy("page").agg(side("native").alias("native_words"), side("ocr").alias("ocr_words"))
+    g = g.withColumns({"native_text": lines("native_words"), "text": F.concat(lines("ocr_words"), F.when(k % 7 == 0, "!").otherwise(""))})
+    verified = k % 4 != 0
+    done = F.lit("completed")
+    unit = F.struct(
+        F.lit(1).alias("ordinal"), done.alias("render_status"), done.alias("ocr_status"), "text", F.lit(False).alias("truncated"), done.alias("native_status"), "native_text", F.lit(False).alias("native_text_truncated"), verified.alias("geometry_verified"),
+        F.when(verified, "verified").otherwise("mapping_unverified").alias("geometry_reason"), F.lit(1654).alias("pixel_width"), F.lit(2339).alias("pixel_height"), "ocr_words", "native_words",
+    )
+    counts = F.struct(*[(F.when(k % 5 != 0, 5).otherwise(0) if name == "native_text_operations" else F.lit(0)).alias(name) for name in accounts.FEATURES])
+    inventory = F.struct(
+        F.lit(accounts.FEATURE_PROTOCOL).alias("protocol"), done.alias("status"), F.lit(True).alias("inventory_complete"), F.lit(True).alias("can_extract"), F.lit(True).alias("ancillary_absent"), F.lit(1).alias("original_page_count"),
+        F.lit(False).alias("encrypted"), counts.alias("feature_counts"),
+    )
+    account = F.struct(
+        F.lit(accounts.PROTOCOL).alias("protocol"), F.lit("pdf").alias("kind"), F.lit(1).alias("original_unit_count"), F.lit(0).alias("units_omitted"), F.lit(True).alias("page_accounting_complete"), F.lit(False).alias("limited"), F.lit(False).alias("legibility_verified"),
+        F.array().cast("array<string>").alias("reason_codes"), (F.char_length("text") + F.char_length("native_text")).alias("text_characters"), F.array(unit).alias("units"), F.when(k % 3 != 0, inventory).alias("pdf_features"),
+    )
+    return g.select(k.alias("doc"), F.lit("pdf").alias("kind"), F.to_json(account).alias("report"))
+
+
+SPELLED_SQL = "'MRN: C000' || c_custkey || ' Diagnosis: diabetes Dr. Somebody'"
+PAGES_SQL = f"""(SELECT c_custkey AS doc, c_custkey % 2 = 1 AS odd, c_custkey % 4 <> 0 AS seen, c_custkey % 5 = 0 AS silent, c_custkey % 7 = 0 AS wrong, {NATIVE_SQL} AS native, {BOTH_SQL} AS twice, {SPELLED_SQL} AS spelled, c_custkey % 4 <> 0 AND (c_custkey % 5 = 0 OR c_custkey % 2 = 0) AS agreed FROM customer)"""
+
+
+@query(f"""SELECT doc, CASE WHEN wrong THEN 'failed' WHEN agreed AND silent AND doc % 3 <> 0 THEN 'full' ELSE 'partial' END AS status,
+CASE WHEN wrong THEN 'page_ocr_unavailable_or_invalid_response' WHEN agreed AND silent AND doc % 3 <> 0 THEN NULL WHEN agreed THEN 'pdf_native_representation_and_nonpage_coverage_unverified' ELSE 'pdf_native_ocr_overlap_unresolved' END AS reason,
+CASE WHEN wrong THEN 'pdf_word_text_mismatch' END AS fault, CASE WHEN NOT wrong THEN CASE WHEN silent AND seen THEN CASE WHEN odd THEN replace(native, 'diabetes', 'cancer') ELSE native END WHEN silent THEN spelled WHEN seen THEN twice ELSE spelled || chr(10) || chr(10) || spelled END END AS text,
+CASE WHEN NOT wrong THEN CASE WHEN silent OR NOT seen THEN 0 WHEN odd THEN 2 ELSE 3 END END::BIGINT AS suppressed, CASE WHEN NOT wrong THEN silent AND doc % 3 <> 0 END AS native_verified FROM {PAGES_SQL}""")
+def pdf_accounts(spark: SparkSession, d: str) -> DataFrame:
+    return accounts.accounted(page_accounts(spark, d)).documents.select("doc", "status", "reason", "fault", "text", "suppressed", "native_verified")
+
+
+@query(f"SELECT doc, 1 AS unit, seen AS eligible, CASE WHEN seen THEN 'verified' ELSE 'mapping_unverified' END AS reason, CASE WHEN seen THEN CASE WHEN silent THEN 6 ELSE 12 END ELSE 0 END::BIGINT AS words FROM {PAGES_SQL} WHERE NOT wrong")
+def pdf_units(spark: SparkSession, d: str) -> DataFrame:
+    told = accounts.accounted(page_accounts(spark, d))
+    n = told.words.groupBy("doc", "unit").agg(F.count("*").alias("words"))
+    return told.units.join(n, ["doc", "unit"], "left").select("doc", "unit", "eligible", "reason", F.coalesce("words", F.lit(0).cast("long")).alias("words"))
+
+
+def order_sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A document for each customer, a page for each order. By doc % 4, markup has the file's pages, has them backwards,
+    lacks the last one, or has one more. Every fifth page reads otherwise in the file; every third document has text
+    outside of its pages."""
+    k, doc = F.col("o_orderkey"), F.col("doc")
+    w = Window.partitionBy("o_custkey")
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.row_number().over(w.orderBy(k)).alias("unit"), F.count("*").over(w).alias("n"), F.concat(F.lit("Order "), k).alias("said"), (k % 5 == 0).alias("other"))
+    native = o.select("doc", "unit", F.when(F.col("other"), F.concat("said", F.lit(" other"))).otherwise(F.col("said")).alias("native_text"))
+    at = F.when(doc % 4 == 1, -F.col("unit")).otherwise(F.col("unit"))
+    left = o.where((doc % 4 != 2) | (F.col("unit") < F.col("n"))).select("doc", at.alias("at"), "said")
+    more = o.where("doc % 4 = 3 and unit = n").select("doc", (F.col("n") + 1).cast("int").alias("at"), F.lit("one more").alias("said"))
+    page = F.concat(F.lit('<div class="page">'), "said", F.lit(" </div>"))
+    g = left.unionByName(more).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", page.alias("p")))), lambda x: x["p"]), "").alias("body"))
+    outside = F.when(doc % 3 == 0, "Form field").otherwise("")
+    return g.select("doc", F.concat(F.lit("<html><head><title>t</title></head><body>"), "body", outside, F.lit("</body></html>")).alias("markup")), native
+
+
+SHEETS_SQL = """WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders),
+b AS (SELECT doc, n AS ordinal, 'Order ' || k || CASE WHEN k % 5 = 0 THEN ' other' ELSE '' END AS b FROM o WHERE doc % 4 <> 2 OR m > 1),
+a AS (SELECT doc, CASE WHEN doc % 4 = 1 THEN m + 1 - n ELSE n END AS ordinal, 'Order ' || k AS a, k % 5 <> 0 AS known FROM o WHERE doc % 4 <> 2 OR n < m UNION ALL SELECT doc, m + 1, 'one more', FALSE FROM o WHERE doc % 4 = 3 AND n = m),
+p AS (SELECT doc, ordinal, CASE WHEN a IS NULL THEN 'missing' WHEN b IS NULL THEN 'surplus' WHEN a = b THEN 'equal' WHEN known THEN 'moved' ELSE 'differs' END AS state, a || ' ' AS text FROM a FULL JOIN b USING (doc, ordinal))"""
+
+
+@query(f"{SHEETS_SQL} SELECT doc, ordinal::INTEGER AS ordinal, state, text FROM p")
+def pdf_page_pairs(spark: SparkSession, d: str) -> DataFrame:
+    markup, native = order_sheets(spark, d)
+    return sheets.sheet_pairs(sheets.read_sheets(markup, "doc"), native.join(markup.select("doc"), "doc", "left_semi"), "doc")
+
+
+@query(f"""{SHEETS_SQL} SELECT doc, CASE WHEN NOT mapped THEN rtrim(whole || CASE WHEN doc % 3 = 0 THEN 'Form field' ELSE '' END) ELSE concat_ws(chr(12), parts, CASE WHEN doc % 3 = 0 THEN 'Form field' END) END AS text, mapped,
+CASE WHEN mapped THEN equal ELSE 0 END AS suppressed, CASE WHEN mapped THEN unmatched END AS unmatched, doc % 3 = 0 AS outside
+FROM (SELECT doc, doc % 4 < 2 AS mapped, string_agg(text, chr(12) ORDER BY ordinal) AS whole, string_agg(text, chr(12) ORDER BY ordinal) FILTER (state IN ('differs', 'moved')) AS parts, count(*) FILTER (state = 'equal') AS equal, count(*) FILTER (state IN ('differs', 'moved')) AS unmatched FROM p GROUP BY 1)""")
+def pdf_supplements(spark: SparkSession, d: str) -> DataFrame:
+    return sheets.supplements(*order_sheets(spark, d))
+
+
 # Words from what tools write about a page: a page for each customer, a line for each of its orders.
 
 ORDER_LINES_SQL = "(SELECT o_custkey AS page, o_orderkey AS k, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INTEGER AS n FROM orders)"
