@@ -9,7 +9,7 @@ import pytest
 from veilscan.llm.credential_scan import BASE_KINDS, SCOPE, all_spans, redact_secrets, redacted, scan_secrets
 from veilscan.llm.quality_classifier import features, fit, learn, score_documents
 from veilscan.llm.token_counts import Rollup, changes, count_tokens, deleted, inserted, pieces, tokenizer, tokenizer_version
-from veilscan.llm.warc import Record, derive_pages, derive_records, derived, digest, parse_records, plain_text, read_warc, response_record, write_warc
+from veilscan.llm.warc import Record, derive_pages, derive_records, derived, digest, members, parse_file, parse_records, plain_text, read_warc, response_record, write_warc
 
 KEY = "AKIA" + "ABCDEFGH12345678"
 TOKEN = "Zx9kQ2mVb7Lp4Tr8Ys1Wd6"
@@ -178,3 +178,41 @@ def test_records_after_a_malformed_one_are_read(spark, tmp_path):
     assert derive_records(read_warc(spark, str(tmp_path))).count() == 12
     passed = []
     assert list(parse_records(bytes(a), passed)) == [a] and passed == []
+
+
+def test_many_gzip_members_take_linear_time():
+    import os
+    import time
+
+    def took(n):
+        data = b"".join(gzip.compress(bytes(Record({"WARC-Type": "resource", "N": str(i)}, os.urandom(3_000)))) for i in range(n))
+        start = time.perf_counter()
+        assert [int(r.headers["N"]) for r in parse_file(data)] == list(range(n))
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(8_000) < 12 * took(2_000) + 1
+
+
+def test_members_of_all_sizes_and_cuts():
+    parts = [b"x" * n for n in (0, 1, 65_535, 65_536, 65_537, 200_000)]
+    data = b"".join(map(gzip.compress, parts))
+    assert list(members(data)) == parts and list(members(b"plain")) == [b"plain"]
+    large = bytes(range(256)) * 4_000
+    import random
+
+    noise = random.Random(1).randbytes(300_000)
+    assert list(members(gzip.compress(noise) + gzip.compress(large))) == [noise, large]
+    passed = []
+    assert list(members(gzip.compress(b"a") + b"no member", passed)) == [b"a"] and passed == [b"no member"]
+    cut = list(members(gzip.compress(noise)[:-100_000], passed := []))
+    assert len(cut) == 1 and noise.startswith(cut[0]) and len(cut[0]) > 190_000 and passed == []
+
+
+def test_names_of_headers_in_any_case():
+    a = response_record("http://a/", b"<p>a")
+    plain = bytes(a)
+    for name in ("WARC-Type", "Content-Length", "WARC-Record-ID", "WARC-Target-URI"):
+        plain = plain.replace(name.encode() + b":", name.lower().encode() + b":", 1)
+    (got,) = parse_records(plain)
+    assert got == a and derived(got) == derived(a)

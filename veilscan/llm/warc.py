@@ -58,6 +58,15 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, '|'.join(parts))}>"
 
 
+# Names of WARC headers as they are written; any other case of them is the same header.
+NAMES = {name.lower(): name for name in (
+    "Content-Length", "Content-Type", "WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-IP-Address", "WARC-Refers-To", "WARC-Refers-To-Target-URI",
+    "WARC-Refers-To-Date", "WARC-Concurrent-To", "WARC-Truncated", "WARC-Warcinfo-ID", "WARC-Filename", "WARC-Profile", "WARC-Identified-Payload-Type", "WARC-Segment-Number", "WARC-Segment-Origin-ID", "WARC-Segment-Total-Length",
+)}
+#: Bytes of a compressed file that are read at once.
+STRETCH = 64 * 1024
+
+
 def one_line(value: str) -> str:
     """A header's value: line ends would start another header."""
     return re.sub(r"[\r\n]+", " ", value).strip()
@@ -196,26 +205,27 @@ def members(data: bytes, passed: list[bytes] | None = None) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    rest = data
-    while rest:
-        reader = zlib.decompressobj(31)
+    view, at = memoryview(data), 0
+    while at < len(data):
+        start, reader = at, zlib.decompressobj(31)
         out: list[bytes] = []
         try:
-            out.append(reader.decompress(rest))
+            while at < len(data) and not reader.eof:
+                out.append(reader.decompress(view[at : at + STRETCH]))
+                at = min(at + STRETCH, len(data)) - len(reader.unused_data)
         except zlib.error:
-            reader = zlib.decompressobj(31)  # byte by byte up to the fault would be slow: by small stretches
+            reader, out = zlib.decompressobj(31), []  # byte by byte up to the fault would be slow: by small stretches
             try:
-                for i in range(0, len(rest), 512):
-                    out.append(reader.decompress(rest[i : i + 512]))
+                for i in range(start, len(data), 512):
+                    out.append(reader.decompress(view[i : i + 512]))
             except zlib.error:
                 pass
             if out:
                 yield b"".join(out)
             if passed is not None:
-                passed.append(rest)
+                passed.append(data[start:])
             return
         yield b"".join(out)
-        rest = reader.unused_data
 
 
 def parse_file(data: bytes, passed: list[bytes] | None = None) -> Iterator[Record]:
@@ -240,7 +250,7 @@ def parse_records(data: bytes, passed: list[bytes] | None = None) -> Iterator[Re
         if end < 0:
             break
         pairs = (x.partition(":") for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:])
-        headers = {k.strip(): v.strip() for k, _, v in pairs if k}
+        headers = {NAMES.get(k.strip().lower(), k.strip()): v.strip() for k, _, v in pairs if k}
         length = headers.get("Content-Length", "")
         if not re.fullmatch("[0-9]{1,18}", length) or end + 4 + int(length) > len(data):
             seek = end + 4
