@@ -16,6 +16,7 @@ from ..functions.recognizers import CARDS, RULES
 from ..functions.structured import page_text_udf, render_udf
 from ..functions.text import bounded, csv_guard, location, object_key, segments, structured_kind, windows
 from ..operators import accounts, catalog, channels, columns, compare, control, evaluate, findings, geometry, graph, layout, retention, sheets, spatial
+from ..sources import inventory
 from ..sources.options import Options
 from ..sources.tables import parquet_table
 
@@ -232,10 +233,24 @@ def cell_examples(spark: SparkSession, d: str) -> DataFrame:
     return columns.cell_evidence(columns.cells(numbered, set(), 10_000)).drop("reason")
 
 
-@query("SELECT 'no%20such%2Ftable' AS location, 'inaccessible' AS status, 'requested_table_not_discovered' AS reason")
+@query("""SELECT replace(replace(replace(p_brand || '/' || p_type, '#', '%23'), '/', '%2F'), ' ', '%20') AS location, 'inaccessible' AS status, 'requested_table_not_discovered' AS reason FROM part GROUP BY p_brand, p_type HAVING min(p_size) >= 10""")
 def requested_tables_missing(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([("customer",), ("no such/table",), ("no such/table",)], "table string")
-    return columns.missing_tables(asked, spark.createDataFrame([("customer",), ("orders",)], "table string"))
+    """Every brand and type of a part is asked for; those with a small part are there."""
+    tables = t(spark, d, "part").select(F.concat("p_brand", F.lit("/"), "p_type").alias("table"), "p_size")
+    return columns.missing_tables(tables, tables.where("p_size < 10"))
+
+
+@query("""WITH p AS (SELECT 'part' || p_partkey AS name, p_partkey AS k, p_size, row_number() OVER (ORDER BY 'part' || p_partkey) AS n FROM part)
+SELECT name AS location, CASE WHEN p_size % 5 = 0 THEN 'excluded' WHEN p_size % 3 = 0 THEN 'unsupported' WHEN k % 7 = 0 THEN 'failed' END AS status,
+CASE WHEN p_size % 5 = 0 THEN 'database_views_not_scanned' WHEN p_size % 3 = 0 THEN 'mysql_storage_engine_not_supported' WHEN k % 7 = 0 THEN 'table_query_or_detection_failed' END AS reason FROM p WHERE n <= 1000
+UNION ALL SELECT '[inventory]', 'partial', 'database_table_inventory_limit' FROM p WHERE n = 1001""")
+def table_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as tables of a database: views, other engines, and tables that the account may write. The feature itself
+    stops after 1,000 names, with a row that says so."""
+    p = t(spark, d, "part").withColumn("table", F.concat(F.lit("part"), "p_partkey"))
+    found = p.select("table", F.when(F.col("p_size") % 5 == 0, "VIEW").otherwise("BASE TABLE").alias("type"), F.when(F.col("p_size") % 3 == 0, "MyISAM").otherwise("InnoDB").alias("engine"))
+    may = p.select("table", F.explode(F.array(F.lit("select"), F.when(F.col("p_partkey") % 7 == 0, "DELETE").otherwise("SHOW VIEW"))).alias("privilege"))
+    return inventory.judged(found, "mysql", grants=may).drop("table")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (CAST(c_acctbal AS VARCHAR) <> '') AS filled FROM customer")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import durable
 from ..operators.columns import scan_table
 from ..operators.findings import Context, detect
 from .files import scan_files
+from .inventory import ABSENT, FAILED
 from .options import InvalidOptions, Options, gate, normalized_config
 from .tables import jdbc_table, parquet_table
 
@@ -20,8 +24,8 @@ FINDINGS = "location string, entity_type string, classification string, confiden
 Reader = Callable[[SparkSession, dict[str, Any], Options], tuple[DataFrame, DataFrame]]
 
 
-def one_object(spark: SparkSession, location: str, status: str, reason: str) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame([(location, status, reason, 0, "bytes")], COVERAGE), spark.createDataFrame([], FINDINGS)
+def one_object(spark: SparkSession, location: str, status: str, reason: str, unit: str = "bytes") -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([(location, status, reason, 0, unit)], COVERAGE), spark.createDataFrame([], FINDINGS)
 
 
 def read_tree(spark: SparkSession, config: dict[str, Any], options: Options) -> tuple[DataFrame, DataFrame]:
@@ -31,15 +35,24 @@ def read_tree(spark: SparkSession, config: dict[str, Any], options: Options) ->
     return objects.select("location", "status", "reason", "examined", "unit", "object_key", "fingerprint"), found
 
 
-def read_tables(spark: SparkSession, config: dict[str, Any], options: Options) -> tuple[DataFrame, DataFrame]:
-    coverage, findings = None, None
-    for name in config["tables"]:
+def one_table(spark: SparkSession, config: dict[str, Any], options: Options, name: str) -> tuple[DataFrame, DataFrame]:
+    """A table's scan, carried out; a table that isn't there or can't be read is a row of its own."""
+    try:
         table = parquet_table(spark, config["path"], name) if "path" in config else jdbc_table(spark, config["kind"], config, config["queries"][name], options)
         c, f = scan_table(table, name, options, config.get("keys", {}).get(name), set(config.get("patient_columns", {}).get(name, ())))
-        coverage, findings = (c, f) if coverage is None else (coverage.unionByName(c), findings.unionByName(f))  # type: ignore[union-attr]
-    if coverage is None or findings is None:
-        return spark.createDataFrame([], COVERAGE), spark.createDataFrame([], FINDINGS)
-    return coverage, findings
+        return durable(c), durable(f)
+    except AnalysisException as e:
+        absent = e.getCondition() == "PATH_NOT_FOUND"
+        return one_object(spark, name, *(("inaccessible", ABSENT) if absent else ("failed", FAILED)), unit="rows")
+    except (PySparkException, Py4JJavaError):
+        return one_object(spark, name, "failed", FAILED, unit="rows")
+
+
+def read_tables(spark: SparkSession, config: dict[str, Any], options: Options) -> tuple[DataFrame, DataFrame]:
+    """All tables, each by itself: what one of them fails with stops no other."""
+    parts = [one_table(spark, config, options, name) for name in config["tables"]] or [(spark.createDataFrame([], COVERAGE), spark.createDataFrame([], FINDINGS))]
+    both = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    return reduce(both, [c for c, _ in parts]), reduce(both, [f for _, f in parts])
 
 
 READERS: dict[str, Reader] = {"filesystem": read_tree, "smb": read_tree, "s3": read_tree, "azure_blob": read_tree, "sqlite": read_tables, "postgresql": read_tables, "mysql": read_tables, "mssql": read_tables, "azure_table": read_tables}
