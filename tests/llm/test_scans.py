@@ -103,6 +103,24 @@ def test_failed_batch_is_written_again(spark, tmp_path):
     assert r.batches() == [] and r.apply("b1", inserted(counts(spark, (1, "a", 5)))) and r.totals().first()["n_tokens"] == 5
 
 
+@pytest.mark.parametrize("late", [True, False])
+def test_compactions_at_once_lose_no_batch(spark, tmp_path, late):
+    """One lists before the second batch is committed; both write the same version, in either order."""
+    r, other = Rollup(spark, str(tmp_path)), Rollup(spark, str(tmp_path))
+    r.apply("b1", inserted(counts(spark, (1, "a", 5))))
+    bases, attempts = r._bases(), r._attempts()
+    other._bases, other._attempts = lambda: bases, lambda: attempts
+    r.apply("b2", inserted(counts(spark, (2, "a", 7))))
+    versions = [x.compact() for x in ((r, other) if late else (other, r))]
+    total = lambda: [(x["source"], x["n_docs"], x["n_tokens"]) for x in Rollup(spark, str(tmp_path)).totals().collect()]
+    assert total() == [("a", 2, 12)] and versions == ([1, 1] if late else [1, 2])
+    # A third one that never came to its end doesn't count, and the next base is right again.
+    (tmp_path / "base/version=9/attempt=x").mkdir(parents=True)
+    r.apply("b3", inserted(counts(spark, (3, None, 1))))
+    r.compact()
+    assert sorted(total(), key=str) == [("a", 2, 12), (None, 1, 1)] and r.batches() == ["b1", "b2", "b3"]
+
+
 def test_changes_cancel_what_is_equal(spark):
     a = counts(spark, (1, "a", 5), (1, "a", 5), (2, "a", 1))
     assert changes(a, a).count() == 0

@@ -4,7 +4,9 @@ A change is a row with a sign: +1 for what a batch adds, -1 for what it takes ba
 batch is summed to one row for each group and written by each attempt into a folder of its own; the writer's success
 mark, which comes last, commits it. Of a batch that was written by several attempts, at once or again after a failure,
 one committed attempt counts: the one with the least name. Totals are the sum of the committed batches; compaction folds
-those into a base that names them.
+those into a base. A base holds its totals and the names of its batches in one write with one success mark, in a folder of
+its own attempt, so several compactions at once can't mix theirs: whichever base counts, it agrees with itself, and
+batches that it doesn't name are added from their own folders.
 """
 
 from __future__ import annotations
@@ -92,6 +94,10 @@ def changes(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFra
     return net.withColumns({"sign": F.signum("net").cast("int"), "_times": F.abs("net")}).select(*cols, "sign", F.explode(F.sequence(F.lit(1), "_times")).alias("_n")).drop("_n")
 
 
+def _version(base: str) -> int:
+    return int(base.split("/")[1].partition("=")[2])
+
+
 class Rollup:
     """Totals below one folder, on any file system that Spark writes to."""
 
@@ -114,8 +120,9 @@ class Rollup:
             found.setdefault(folder.split("/")[1].partition("=")[2], folder)
         return found
 
-    def _versions(self) -> list[int]:
-        return sorted(int(x.split("/")[1].partition("=")[2]) for x in self._committed("base/version=*/totals"))
+    def _bases(self) -> list[str]:
+        """Folders of the committed bases; the last one counts."""
+        return sorted(self._committed("base/version=*/attempt=*"), key=lambda x: (_version(x), x))
 
     def batches(self) -> list[str]:
         """Names of the committed batches."""
@@ -135,33 +142,37 @@ class Rollup:
         sums.write.parquet(f"{self.path}/deltas/batch={batch}/attempt={uuid4().hex}")
         return True
 
-    def _folded(self, version: int) -> set[str]:
-        return {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/base/version={version}/batches").collect()}
+    def _base(self, base: str) -> DataFrame:
+        """GROUPS and SUMS of the totals, where `batch` is null, and a row for each batch in them."""
+        return self.spark.read.schema(T.StructType([*self.SCHEMA, T.StructField("batch", T.StringType())])).parquet(f"{self.path}/{base}")
+
+    def _folded(self, bases: list[str]) -> set[str]:
+        return {r["batch"] for r in self._base(bases[-1]).where("batch is not null").select("batch").collect()} if bases else set()
 
-    def _sum(self, versions: list[int], attempts: dict[str, str]) -> DataFrame:
+    def _sum(self, bases: list[str], attempts: dict[str, str]) -> DataFrame:
         """The last base and the attempts that are not in it."""
-        folded = self._folded(versions[-1]) if versions else set()
-        folders = [f"base/version={versions[-1]}/totals"] if versions else []
-        folders += [f for b, f in attempts.items() if b not in folded]
-        parts = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], self.SCHEMA)
+        folded = self._folded(bases)
+        folders = [f"{self.path}/{f}" for b, f in attempts.items() if b not in folded]
+        parts = self.spark.read.schema(self.SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
+        if bases:
+            parts = parts.unionByName(self._base(bases[-1]).where("batch is null").drop("batch"))
         summed = parts.groupBy(*GROUPS).agg(*[F.sum(s).alias(s) for s in SUMS])
         return summed.where(" or ".join(f"{s} <> 0" for s in SUMS))
 
     def totals(self) -> DataFrame:
         """Totals of all committed batches; groups that have come down to nothing are left out."""
-        return self._sum(self._versions(), self._attempts())
+        return self._sum(self._bases(), self._attempts())
 
     def compact(self) -> int:
-        """Fold the batches that are committed now into a new base, whose totals are written last; returns its version.
+        """Fold the batches that are committed now into a new base; returns its version.
 
-        Names and totals come from one listing, so a batch that is committed meanwhile is in neither and still counts.
+        Names and totals come from one listing and are committed together, so a batch that is committed meanwhile, or by
+        a compaction of the same version, still counts once.
         """
-        versions, attempts = self._versions(), self._attempts()
-        version = max([0, *versions]) + 1
-        base = f"{self.path}/base/version={version}"
-        names = sorted({*attempts, *(self._folded(versions[-1]) if versions else ())})
-        self.spark.createDataFrame([(b,) for b in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{base}/batches")
-        self._sum(versions, attempts).write.mode("overwrite").parquet(f"{base}/totals")
+        bases, attempts = self._bases(), self._attempts()
+        version = (_version(bases[-1]) if bases else 0) + 1
+        names = self.spark.createDataFrame([(b,) for b in sorted({*attempts, *self._folded(bases)})], "batch string")
+        self._sum(bases, attempts).unionByName(names, allowMissingColumns=True).write.parquet(f"{self.path}/base/version={version}/attempt={uuid4().hex}")
         return version
 
 
