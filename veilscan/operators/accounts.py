@@ -11,6 +11,7 @@ An account that names a key twice is no JSON here, and is refused as such.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -106,6 +107,11 @@ def holds(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def first_of(*ladder: tuple[Column, str]) -> Column:
     """The code of the first condition that doesn't hold."""
     return F.coalesce(*[F.when(~holds(condition), code) for condition, code in ladder])
@@ -337,20 +343,29 @@ def coverage_view(report: Column) -> Column:
     don't agree with its totals. It may stand by itself or below `page_ocr`.
     """
     outer = F.when((F.char_length(report) > 0) & (F.char_length(report) <= MAX_VIEW), F.try_parse_json(report))
-    v = F.when(shape(outer, "$.page_ocr").startswith("OBJECT"), F.try_variant_get(outer, "$.page_ocr", "variant")).otherwise(outer)
-    known = holds((string(v, "$.extractor") == READER) | (string(v, "$.protocol") == PROTOCOL))
-    total, omitted, given = whole(v, "$.original_unit_count"), whole(v, "$.units_omitted"), listed(v, "$.units")
+    below = bound(outer, lambda o: F.when(shape(o, "$.page_ocr").startswith("OBJECT"), F.try_variant_get(o, "$.page_ocr", "variant")).otherwise(o))
+    return bound(below, lambda v: F.when(holds((string(v, "$.extractor") == READER) | (string(v, "$.protocol") == PROTOCOL)), bound(listed(v, "$.units"), lambda given: _view(v, given))))
+
+
+def _view(v: Column, given: Column) -> Column:
+    total, omitted = whole(v, "$.original_unit_count"), whole(v, "$.units_omitted")
     is_null = lambda path: shape(v, path) == "VOID"
     cut = lambda u: F.when(absent(u, "$.text_truncated"), flag(u, "$.truncated")).otherwise(flag(u, "$.text_truncated"))
-    count = lambda u, path: F.when(whole(u, path) >= 0, whole(u, path))
-    units = F.transform(given, lambda u: F.struct(count(u, "$.ordinal").alias("ordinal"), string(u, "$.render_status").alias("render"), string(u, "$.ocr_status").alias("ocr"), cut(u).alias("truncated"), count(u, "$.text_characters").alias("characters")))
-    stands = F.transform(units, lambda u, i: holds((u["ordinal"] == i + 1) & u["render"].isin(*RENDERED) & u["ocr"].isin(*READ) & u["truncated"].isNotNull() & ((u["render"] == "completed") | (u["ocr"] == "not_attempted"))))
+    count = lambda u, path: bound(whole(u, path), lambda n: F.when(n >= 0, n))
+    rows = F.transform(given, lambda u: F.struct(count(u, "$.ordinal").alias("ordinal"), string(u, "$.render_status").alias("render"), string(u, "$.ocr_status").alias("ocr"), cut(u).alias("truncated"), count(u, "$.text_characters").alias("characters")))
     n = F.size(given)
     sums = F.when(is_null("$.original_unit_count"), (n == 0) & is_null("$.units_omitted")).otherwise((total >= 1) & (n <= total) & (omitted == total - n))
-    valid = holds((n <= MAX_UNITS) & F.forall(stands, lambda x: x) & sums)
-    completed = F.size(F.filter(units, lambda u: (u["render"] == "completed") & (u["ocr"] == "completed") & ~u["truncated"])).cast("long")
-    shown = lambda x, name: F.when(valid, x).alias(name)
-    return F.when(known, F.struct(
-        valid.alias("valid"), shown(total, "total"), shown(completed, "completed"), shown(omitted, "omitted"), shown(holds(flag(v, "$.page_accounting_complete") & (completed == total)), "complete"),
-        shown(~holds(~flag(v, "$.nonvisual_content_present")), "uninspected"), shown(holds(string(v, "$.embedded_annotation_coverage") == "unverified"), "ancillary_unverified"), shown(units, "units"),
-    ))
+
+    def stands(units: Column) -> Column:
+        each = F.transform(units, lambda u, i: holds((u["ordinal"] == i + 1) & u["render"].isin(*RENDERED) & u["ocr"].isin(*READ) & u["truncated"].isNotNull() & ((u["render"] == "completed") | (u["ocr"] == "not_attempted"))))
+        return holds((n <= MAX_UNITS) & F.forall(each, lambda x: x) & sums)
+
+    def told(units: Column, valid: Column) -> Column:
+        done = F.size(F.filter(units, lambda u: (u["render"] == "completed") & (u["ocr"] == "completed") & ~u["truncated"])).cast("long")
+        shown = lambda x, name: F.when(valid, x).alias(name)
+        return F.struct(
+            valid.alias("valid"), shown(total, "total"), shown(done, "completed"), shown(omitted, "omitted"), shown(holds(flag(v, "$.page_accounting_complete") & (done == total)), "complete"),
+            shown(~holds(~flag(v, "$.nonvisual_content_present")), "uninspected"), shown(holds(string(v, "$.embedded_annotation_coverage") == "unverified"), "ancillary_unverified"), shown(units, "units"),
+        )
+
+    return bound(rows, lambda units: bound(stands(units), lambda valid: told(units, valid)))
