@@ -12,6 +12,7 @@ import sentencepiece
 
 from veilscan.llm import pieces as P
 from veilscan.llm.credential_scan import ADDRESS, BASE_KINDS, EMAIL, ENDPOINT, IDENTIFIER, KINDS, SCOPE, TOKEN, WEAK_SECRET, all_spans, secret_like
+from veilscan.llm.decontamination import RADIUS
 from veilscan.llm.quality_rules import judge_quality
 from veilscan.llm.queries import queries
 from veilscan.llm.shards import assign_shards
@@ -57,7 +58,7 @@ def test_op1(spark, docs):
                 want.add((d, i))
     got = rows_of(spark, "op1_simhash_decontamination")
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and want
-    assert all(r["similarity"] >= 0.8 and r["hamming"] <= 20 and r["start"] < r["end"] for r in got)
+    assert all(r["similarity"] >= 0.8 and r["hamming"] <= RADIUS and r["start"] < r["end"] for r in got)
 
 
 def brute_spans(text):

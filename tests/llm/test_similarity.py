@@ -10,7 +10,7 @@ import sentencepiece
 
 from veilscan.llm import pieces as P
 from veilscan.llm.components import connected
-from veilscan.llm.decontamination import RADIUS, BlockIndex, find_leaks, packed, signs
+from veilscan.llm.decontamination import BITS, RADIUS, BlockIndex, find_leaks, packed, signs
 from veilscan.llm.near_duplicates import Sampler, Weights, drop_duplicates, duplicate_classes, weighted_jaccard
 from veilscan.llm.shingles import counted, keys_of
 
@@ -92,14 +92,21 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("n", [1, 3, 300, 20_000])
+def test_index_finds_all_within_the_radius(n):
     rng = np.random.default_rng(2)
-    prints = rng.integers(0, 1 << 63, 300, np.uint64)
+    prints = rng.integers(0, 1 << 63, (n, 2), np.uint64)
     index = BlockIndex(prints)
-    asked = np.array([*prints[:5], *rng.integers(0, 1 << 63, 20, np.uint64), prints[0] ^ np.uint64((1 << RADIUS) - 1), *[p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, False))) for k in (RADIUS, RADIUS + 1) for p in prints[:50]]])
-    want = [(q, i, int(d)) for q, f in enumerate(asked) for i, d in enumerate(np.bitwise_count(prints ^ f)) if d <= RADIUS]
-    assert sorted(zip(*(x.tolist() for x in index.within(asked)), strict=True)) == want and len(want) >= 55
-    assert packed(signs(prints[:3]))[0] == prints[0]
+
+    def flipped(p, k):
+        bits = np.zeros(BITS, np.int8)
+        bits[rng.choice(BITS, k, False)] = 1
+        return p ^ packed(bits[None, :])[0]
+
+    asked = np.stack([*prints[:5], *rng.integers(0, 1 << 63, (20, 2), np.uint64), *[flipped(p, k) for k in (RADIUS, RADIUS + 1, 7) for p in prints[:50]]])
+    want = [(q, int(i), int(d[i])) for q, f in enumerate(asked) for d in [np.bitwise_count(prints ^ f).sum(1)] for i in np.flatnonzero(d <= RADIUS)]
+    assert sorted(zip(*(x.tolist() for x in index.within(asked)), strict=True)) == want and len(want) >= min(n, 5) + 2 * min(n, 50)
+    assert (packed(signs(prints[:, 0]))[:, 0] == prints[:, 0]).all()
 
 
 def brute_leaks(doc, item):
