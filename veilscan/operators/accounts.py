@@ -306,7 +306,7 @@ def accounted(reports: DataFrame, doc: str = "doc", maximum: int = MAX_TEXT) ->
     # Pages whose channels can be reconciled; a verified page without words is one as well.
     pages = C.page_texts(words.where("kind = 'pdf'").drop("kind"), by).select(*by, c("text").alias("joined"), c("suppressed").alias("gone"), "conflicts", F.lit(True).alias("met"))
     clean = lambda name: F.replace(F.coalesce(c(name), F.lit("")), F.lit(C.UNIT_GAP), F.lit("\n"))
-    seen = good.join(pages, by, "left").withColumn("planned", c("asked") & c("verified") & (c("met").isNull() | c("conflicts").isNotNull()))
+    seen = good.join(pages.hint("merge"), by, "left").withColumn("planned", c("asked") & c("verified") & (c("met").isNull() | c("conflicts").isNotNull()))
     side_by_side = F.array_join(F.filter(F.array(clean("native_text"), clean("text")), lambda x: x != ""), C.PART_GAP)
     canonical = F.when(c("planned"), F.coalesce(clean("joined"), F.lit(""))).when(c("asked"), side_by_side).otherwise(clean("text"))
     seen = durable(seen.withColumns({"canonical": canonical, "agreed": c("planned") & c("processed") & (F.coalesce("conflicts", F.lit(0)) == 0)}))
