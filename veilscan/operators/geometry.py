@@ -12,12 +12,12 @@ from dataclasses import dataclass, field
 from math import isfinite
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..common import ship
+from ..common import ship, spread
 
 # Limits of a page's geometry, codes, columns of the rows, dots of an inch and points of an inch.
 MAX_BYTES, MAX_WORDS, MAX_CHARS, MAX_WORD, ROWS_A_WORD = 4 * 1024 * 1024, 10_000, 250_000, 512, 5
@@ -160,17 +160,25 @@ def markup_words(pages: DataFrame, by: list[str], markup: str = "markup") -> Dat
     out = f"{keys}, before string, ordinal int, text string, left double, top double, right double, bottom double, block int, line int, page_width double, page_height double"
     names = [*by, "before", "ordinal", "text", *BOXES, "block", "line", "page_width", "page_height"]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [pa.string(), pa.int32(), pa.string(), *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *key, text in batch[[*by, "_markup"]].itertuples(index=False, name=None):
+            all_types, found = [*[f.type for f in batch.schema][: len(by)], *types], []
+            sent = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), all_types, strict=True)], names=names)  # noqa: B023, E731
+            for *key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 try:
                     size, rows = read_boxes(text)
-                    found = [(*key, None, i, *r, *size) for i, r in enumerate(rows)]
+                    found += [(*key, None, i, *r, *size) for i, r in enumerate(rows)]
                 except Fault as e:
-                    found = [(*key, str(e), 0, *[None] * 9)]
-                yield pd.DataFrame(found, columns=names)
+                    found.append((*key, str(e), 0, *[None] * 9))
+                if len(found) >= MAX_WORDS:
+                    yield sent()
+                    found = []
+            if found:
+                yield sent()
 
-    return checked(pages.select(*by, F.col(markup).alias("_markup")).mapInPandas(read, out), by, F.col("before"))
+    return checked(spread(pages.select(*by, F.col(markup).alias("_markup")), *by).mapInArrow(read, out), by, F.col("before"))
 
 
 def tsv_words(pages: DataFrame, by: list[str], tsv: str = "tsv", width: str = "pixel_width", height: str = "pixel_height") -> DataFrame:
@@ -179,14 +187,16 @@ def tsv_words(pages: DataFrame, by: list[str], tsv: str = "tsv", width: str = "p
     Blocks and lines are numbered anew, in the order in which they first appear. A header other than TSV_COLUMNS, a second
     page or none, a word number given twice, and numbers that are none are faults. Null texts are invalid.
     """
+    # Pages are dealt out whole, so no window over a page or a part of it needs another shuffle.
     text = F.coalesce(F.col(tsv), F.lit(""))
-    lines = pages.select(*by, F.col(width).cast("double").alias("page_width"), F.col(height).cast("double").alias("page_height"), (F.octet_length(text) > MAX_BYTES).alias("large"), F.posexplode(F.split(text, "\r?\n")).alias("ordinal", "row"))
+    dealt = spread(pages.select(*by, *dict.fromkeys((tsv, width, height))), *by)
+    lines = dealt.select(*by, F.col(width).cast("double").alias("page_width"), F.col(height).cast("double").alias("page_height"), (F.octet_length(text) > MAX_BYTES).alias("large"), F.posexplode(F.split(text, "\r?\n")).alias("ordinal", "row"))
     lines = lines.where((F.col("ordinal") == 0) | (F.col("row") != "")).withColumn("c", F.split("row", "\t"))
     whole = lambda i: F.when(F.get("c", F.lit(i)).rlike(r"^[+-]?\d{1,9}$"), F.get("c", F.lit(i))).try_cast("int")
     real = lambda i: F.get("c", F.lit(i)).try_cast("double")
     named = {n: whole(i) for i, n in enumerate(TSV_COLUMNS[:6])} | {n: real(i) for i, n in enumerate(TSV_COLUMNS) if 6 <= i < 10}
     head = F.col("ordinal") == 0
-    rows = lines.select(*by, "ordinal", "page_width", "page_height", "large", "row", F.size("c").alias("n"), *[c.alias(f"x_{n}") for n, c in named.items()], F.get("c", F.lit(11)).alias("x_text"))
+    rows = lines.select(*by, "ordinal", "page_width", "page_height", "large", (F.col("row") != "\t".join(TSV_COLUMNS)).alias("other"), F.size("c").alias("n"), *[c.alias(f"x_{n}") for n, c in named.items()], F.get("c", F.lit(11)).alias("x_text"))
     of = lambda n: F.col(f"x_{n}")
     is_word = ~head & (of("level") == 5) & (F.col("x_text") != "")
     page = Window.partitionBy(*by)
@@ -201,7 +211,7 @@ def tsv_words(pages: DataFrame, by: list[str], tsv: str = "tsv", width: str = "p
         numbered = numbered & of(n).between(1, MAX_WORDS)
     before = (
         F.when(F.col("large"), LIMIT)
-        .when(head & (F.col("row") != "\t".join(TSV_COLUMNS)), INVALID)
+        .when(head & F.col("other"), INVALID)
         .when(head & (F.col("pages") != 1), INVALID)
         .when(~head & ((F.col("n") > len(TSV_COLUMNS)) | (F.col("ordinal") > MAX_WORDS * ROWS_A_WORD)), LIMIT)
         .when(~head & ~holds(of("level").between(1, 5) & (of("page_num") == 1)), INVALID)
