@@ -5,10 +5,12 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 
 from veilscan.llm import pieces as P
+from veilscan.llm.common import BYTES_AT_ONCE, ship
 from veilscan.llm.components import connected
 from veilscan.llm.decontamination import BITS, RADIUS, BlockIndex, find_leaks, packed, signs
 from veilscan.llm.near_duplicates import Sampler, Weights, drop_duplicates, duplicate_classes, weighted_jaccard
@@ -231,6 +233,26 @@ def test_encoding_of_documents(spark, documents, library, text):
     assert sorted((k[1], "".join(t for _, t in sorted(v))) for k, v in back.items()) == sorted((i, t or "") for i, t, _, _ in rows)
 
 
+def test_chunks_come_in_batches_of_few_bytes(spark, documents):
+    P.encode_documents(documents([(1, "a", "en", "s")])).count()
+    rows = spark.range(0, 900, 1, 1).selectExpr("id", "repeat('▁abcdefgh', 2000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)], "held": [batch["text"].str.encode("utf-8").str.len().sum()]})
+
+    got = rows.mapInPandas(sizes, "n long, held long").collect()
+    assert sum(r["n"] for r in got) == 900 and max(r["held"] for r in got) <= BYTES_AT_ONCE + 22_000
+
+
+def test_batches_of_an_other_size_stay(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    other = spark.newSession()
+    other.conf.set(name, 1 << 20)
+    ship(other)
+    assert other.conf.get(name) == str(1 << 20)
+
+
 def test_keys_of_text_and_several_texts_of_a_key(spark, text):
     a, b = text(120, 1), text(120, 2)
     rows = [("x", a), ("y", a.upper()), ("z", b), ("w", edited(b, 0.01, 3)), ("v", text(120, 4)), (None, a)]

@@ -21,14 +21,17 @@ OWN = "__veilscan_"
 #: Rows of a batch that goes to a Python worker. Whole texts in batches of Spark's 10,000 take a worker's memory several
 #: times over: as Arrow buffers in the JVM and in Python, and as strings.
 ROWS_AT_ONCE = 1_000
+#: Bytes after which a batch ends however few rows it has: 1,000 chunks of a text are over 20 MB, and Spark allows 64.
+BYTES_AT_ONCE = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """The package for the executors, and batches of ROWS_AT_ONCE rows for this session where Spark's default holds."""
+    """The package for the executors, and batches of ROWS_AT_ONCE rows and BYTES_AT_ONCE bytes, and no more than a row
+    over, for this session where Spark's defaults hold."""
     ship_package(spark)
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting) == "10000":
-        spark.conf.set(setting, ROWS_AT_ONCE)
+    for setting, default, held in (("maxRecordsPerBatch", "10000", ROWS_AT_ONCE), ("maxBytesPerBatch", "67108864b", BYTES_AT_ONCE)):
+        if spark.conf.get(name := f"spark.sql.execution.arrow.{setting}") == default:
+            spark.conf.set(name, held)
 
 
 def own_name(name: str) -> str:

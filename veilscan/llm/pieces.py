@@ -632,7 +632,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for low in range(0, len(batch) if v.cuts else 0, max(1, CHARS_AT_ONCE // chunk_chars)):
                 v.prepare([UNIT.findall(t) for t in batch["text"].iloc[low : low + max(1, CHARS_AT_ONCE // chunk_chars)]])
             for row, k, n, s0, s1, e0, e1, *c in batch[["row", "k", "chunk", "s0", "s1", "e0", "e1", *CHUNK]].itertuples(index=False, name=None):
@@ -640,6 +640,10 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
                 ids = chunk.backtrace(v, (s0, s1), (e0, e1))
                 wanted = chunk.text[s1 - chunk.offset : e1 - chunk.offset].replace(MARK, " ")
                 rows.append((row, k, n, 0, 0, *part(v, ids, wanted[1:] if n == 0 else wanted, n == 0, with_ids)))
+                held += rows[-1][5]
+                if held >= TOKENS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
     long = F.char_length(F.coalesce("t", F.lit(""))) > chunk_chars - 1
