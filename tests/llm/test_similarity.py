@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -302,3 +303,31 @@ def test_units_are_merged_at_once_as_one_by_one(text):
     assert v.merged(units) == one and v.merged([]) == []
     texts = [P.normalised(text(n % 40, n)) for n in range(300)] + ["", P.normalised("y" * 5000)]
     assert list(v.encode_all(texts)) == [v.encode(t) for t in texts]
+
+
+def test_merging_takes_time_in_proportion_to_characters():
+    """A round's work on a unit is the joint pair and its two neighbours, however long the unit is."""
+    v = P.vocabulary()
+    rng = random.Random(5)
+
+    def a_character(width):
+        units = ["".join(rng.choice("etaoinshrdlu") for _ in range(width)) for _ in range(8192)]
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            v.merged(units)
+            took.append(time.process_time() - began)
+        return min(took) / width
+
+    assert a_character(60) < 1.8 * a_character(6)
+
+
+def test_merging_handles_ties_and_characters_of_no_piece():
+    pieces = ["a", "b", "aa", "ab", "ba", "aab", "ç", "\n", "c", "cd"]  # "d" is part of a piece, but none
+    for bytes_too in (False, True):
+        byte_pieces = [f"<0x{b:02X}>" for b in range(256)] if bytes_too else []
+        at = len(pieces) + 1
+        v = P.Vocabulary(["<unk>", *pieces, *byte_pieces], [0.0, 0, 0, -1, -1, -2, -3, 0, 0, 0, -1] + [0.0] * len(byte_pieces), "bpe", 0, list(range(at, at + len(byte_pieces))), frozenset({0, *range(at, at + len(byte_pieces))}))
+        rng = random.Random(6)
+        units = ["".join(rng.choice("aabbcdç\n\0\x7f\x80é🙂\udc80") for _ in range(rng.randint(0, 64))) for _ in range(3000)] + ["d", "", "aaaa"]
+        assert v.merged(units) == [np.array([i for p in v.merge(u) for i in v.to_ids(p)], v.dtype).tobytes() for u in units]

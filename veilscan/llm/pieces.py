@@ -108,6 +108,7 @@ class Vocabulary:
         for c, i in symbols.items():
             if len(c) == 1:
                 self.characters[ord(c)] = i
+        self.ascii = np.array([self.to_ids(chr(c))[0] for c in range(128)], np.int32)  # of those that no piece covers
 
     # Encoding of short stretches, by the definition of each kind.
 
@@ -132,45 +133,57 @@ class Vocabulary:
         return np.where((self.pair_codes[at] == code) & (a >= 0) & (b >= 0), at, -1).astype(np.int32)
 
     def merged(self, units: list[str]) -> list[bytes]:
-        """Ids of many short units at once: in each round every unit joins its best pair, as `merge` does for one."""
+        """Ids of many short units at once: in each round every unit joins its best pair, as `merge` does for one.
+
+        Symbols keep their places and know their neighbours, so a round does no more for a unit than find its best pair,
+        join it and look up the two pairs that the joint symbol is part of.
+        """
         out: list[bytes] = [b""] * len(units)
         order = sorted(range(len(units)), key=lambda i: len(units[i]))
         for low in range(0, len(order), UNITS_AT_ONCE):
-            rows = np.array(order[low : low + UNITS_AT_ONCE])
-            width = max(2, len(units[rows[-1]]))
+            rows = order[low : low + UNITS_AT_ONCE]
             part = [units[i] for i in rows]
-            s = np.full((len(rows), width), -1, np.int32)
+            n, width = len(part), max(2, len(part[-1]))
             points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
             found = self.characters[points]
-            # Characters of no piece are known by their code points, below -1.
-            s[np.arange(width) < np.array([len(u) for u in part])[:, None]] = np.where(found == -2, -2 - points.astype(np.int32), found)
-            at = self._pairs(s[:, :-1], s[:, 1:])
-            never = len(self.pair_ranks)
-            rank = np.where(at >= 0, self.pair_ranks[at], never)
-            while len(rows):
-                best = rank.argmin(axis=1)
-                each = np.arange(len(rows))
-                goes_on = rank[each, best] < never
-                done, ended = rows[~goes_on], s[~goes_on]
-                filled = ended != -1
-                plain = ((ended < len(self.pieces)) & (ended >= -1)).all(axis=1)
-                data, ends = ended[filled].astype(self.dtype).tobytes(), (np.cumsum(filled.sum(axis=1)) * self.dtype.itemsize).tolist()
-                for i, begin, end in zip(done.tolist(), [0, *ends], ends, strict=False):
-                    out[i] = data[begin:end]
-                for n in np.flatnonzero(~plain).tolist():
-                    out[done[n]] = b"".join([self.symbol(x) for x in ended[n][filled[n]].tolist()])
-                rows, s, at, rank, best = rows[goes_on], s[goes_on], at[goes_on], rank[goes_on], best[goes_on]
-                each = np.arange(len(rows))
-                s[each, best] = self.pair_makes[at[each, best]]
-                # What stands right of the joint pair moves up by one.
-                place = np.arange(width)
-                s = np.take_along_axis(np.concatenate([s, np.full((len(rows), 1), -1, np.int32)], axis=1), place + (place > best[:, None]), axis=1)
-                moved = place[:-1] + (place[:-1] >= best[:, None])
-                at = np.take_along_axis(np.concatenate([at, np.full((len(rows), 1), -1, np.int32)], axis=1), moved, axis=1)
-                for k in (best - 1, best):
-                    ok = (k >= 0) & (k < width - 1)
-                    at[each[ok], k[ok]] = self._pairs(s[each[ok], k[ok]], s[each[ok], k[ok] + 1])
-                rank = np.where(at >= 0, self.pair_ranks[at], never)
+            # A line for each place, and one of none that is next to the first and the last. Characters of no piece are
+            # known by their code points, below -1.
+            s = np.full((n, width + 1), -1, np.int32)
+            s[np.arange(width + 1) < np.array([len(u) for u in part])[:, None]] = np.where(found == -2, -2 - points.astype(np.int32), found)
+            s = np.ascontiguousarray(s.T)
+            at = self._pairs(s[:-1], s[1:])
+            # Of a unit's pairs the one with the least key is joined: the best score, and of equals the leftmost.
+            bits = width.bit_length()
+            kind = np.int32 if len(self.pair_ranks) << bits < 1 << 31 else np.int64
+            never, ranks = np.iinfo(kind).max, self.pair_ranks.astype(kind) << bits
+            key = np.full((width + 1, n), never, kind)
+            key[:-1] = np.where(at >= 0, ranks[at] | np.arange(width, dtype=kind)[:, None], never)
+            makes = np.concatenate([self.pair_makes[at], np.zeros((1, n), np.int32)])
+            cells = np.arange((width + 1) * n).reshape(width + 1, n)
+            right, left = np.roll(cells, -1, axis=0), np.roll(cells, 1, axis=0)
+            right[-1] = left[-1] = cells[-1]
+            keys = key[:-1]
+            s, key, makes, right, left = (x.reshape(-1) for x in (s, key, makes, right, left))
+            while len(each := np.flatnonzero((best := keys.min(axis=0)) < never)):
+                i = (best[each] & ((1 << bits) - 1)).astype(np.intp) * n + each
+                j, before = right[i], left[i]
+                after = right[j]
+                s[i], s[j], key[j] = makes[i], -1, never
+                right[i], left[after] = after, i
+                first, second = np.concatenate([before, i]), np.concatenate([i, after])
+                at = self._pairs(s[first], s[second])
+                key[first] = np.where(at >= 0, ranks[at] | (first // n).astype(kind), never)
+                makes[first] = self.pair_makes[at]
+            ended = np.ascontiguousarray(s[:-n].reshape(width, n).T)
+            bare = (ended < -1) & (ended > -2 - len(self.ascii))
+            ended[bare] = self.ascii[-2 - ended[bare]]
+            filled = ended != -1
+            plain = ((ended < len(self.pieces)) & (ended >= -1)).all(axis=1)
+            data, ends = ended[filled].astype(self.dtype).tobytes(), (np.cumsum(filled.sum(axis=1)) * self.dtype.itemsize).tolist()
+            for i, begin, end in zip(rows, [0, *ends], ends, strict=False):
+                out[i] = data[begin:end]
+            for r in np.flatnonzero(~plain).tolist():
+                out[rows[r]] = b"".join([self.symbol(x) for x in ended[r][filled[r]].tolist()])
         return out
 
     def symbol(self, x: int) -> bytes:
